@@ -74,3 +74,19 @@ def copy_number(df: DataFrame, keys: list[str], name: str) -> DataFrame:
     window = Window.partitionBy(*keys).orderBy(*keys)
     again = df.join(right, same, "left_semi").withColumn(name, F.row_number().over(window))
     return alone.unionByName(again)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once an application, so that tasks can import it on any cluster."""
+    import shutil
+    from pathlib import Path
+
+    sc = spark.sparkContext
+    if sc.applicationId not in _SHIPPED:
+        package = Path(__file__).resolve().parents[1]
+        into = tempfile.mkdtemp(prefix="deedflow-")
+        sc.addPyFile(shutil.make_archive(f"{into}/deedflow_tasks", "zip", package.parent, package.name))
+        _SHIPPED.add(sc.applicationId)

@@ -7,13 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing
+from . import mixing, packing
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def vocabulary() -> str:
+    """The public vocabulary that packing counts tokens by; another one is a parameter of the operator."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(documents(spark, sf_dir))
     taken = mixed.pieces.groupBy("sid", "line_start").agg(F.sum("length").alias("taken"))
@@ -23,7 +30,12 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filled.withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long")).select(*columns).unionByName(blank.select(*columns))
 
 
+def op9_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), vocabulary())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
+    "op9_pack_sequences": op9_pack_sequences,
 }
 ORACLE_SQL: dict[str, str] = {}
