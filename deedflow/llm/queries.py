@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, packing
+from . import langid, mixing, packing, toxicity
+from .common import crc32_bucket
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +31,12 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filled.withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long")).select(*columns).unionByName(blank.select(*columns))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", (crc32_bucket(F.col("doc_id"), 3) == 1).alias("held_out"))
+    model = toxicity.fit(docs.filter(~F.col("held_out")), toxicity.training_rows(spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return toxicity.score(docs, model, keep=["doc_id", "held_out"]).withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
 def op9_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), vocabulary())
 
@@ -40,6 +47,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_toxicity": op2_toxicity,
     "op9_pack_sequences": op9_pack_sequences,
     "op10_language_id": op10_language_id,
 }
