@@ -33,78 +33,95 @@ from pyspark.sql import types as T
 from . import textops as tx
 from .common import materialise, ship, unit_hash
 
-#: The pieces into which the vocabulary's own pre-tokenizer splits text; fixed by the vocabulary file.
-PRE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+def parts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lower-cased bytes and the runs of them (start, end, first run of each text) that a vocabulary of words encodes alone.
+
+    Runs are what the vocabulary's pre-tokenizer makes: letters, single digits, other signs. Words with an
+    apostrophe or beyond ASCII and the accented Latin letters are left whole: the library splits them.
+    """
+    lower = data.copy()
+    lower[(data >= 65) & (data <= 90)] += 32
+    lead = np.flatnonzero(data[:-1] == 0xC3)
+    tail = data[lead + 1]
+    lower[lead[(tail <= 0x9E) & (tail != 0x97)] + 1] += 32
+    ink = (data != 32) & ((data < 9) | (data > 13))
+    plain = data < 128
+    accent = lead[(tail != 0x97) & (tail != 0xB7)]
+    plain[accent] = plain[accent + 1] = True
+    odd = ~plain | (data == 0x27) | ((data < 32) & ink) | (data == 127)
+    kind = np.full(len(data), 3, np.uint8)
+    kind[((lower >= 97) & (lower <= 122)) | (data >= 128)] = 1
+    kind[(data >= 48) & (data <= 57)] = 2
+    kind[~ink] = 0
+    w = tx.words(data, offsets)
+    head = ink.copy()
+    head[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+    head[w.start] = True
+    if odd.any():
+        upto = np.concatenate([[0], np.cumsum(odd)])
+        for a, z in zip(*(x[upto[w.end] > upto[w.start]].tolist() for x in (w.start, w.end)), strict=True):
+            head[a + 1 : z] = False
+    start = np.flatnonzero(head)
+    end = np.minimum(np.concatenate([start[1:], [len(data)]]), np.repeat(w.end, np.diff(np.searchsorted(start, np.concatenate([w.start, [len(data)]])))))
+    return lower, start, end, np.searchsorted(start, offsets)
 
 
 class WordTokens:
-    """Token ids of words, each distinct word encoded once; holds at most ``most`` words and then starts anew."""
+    """Token ids of words, each distinct one encoded once; holds at most ``most`` and then starts anew."""
 
     def __init__(self, path: str, most: int = 800_000):
         import os
 
-        import regex
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
-        self.tokenizer, self.most, self.pre = Tokenizer.from_file(path), most, regex.compile(PRE)
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.forget()
 
     def forget(self) -> None:
         self.slot: dict[int, int] = {}
-        self.part: dict[str, list[int]] = {}
-        self.start, self.size, self.flat, self.used, self.kept = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32), 0, 0
-
-    def encode(self, pieces: list[str]) -> list[list[int]]:
-        out: list[list[int]] = [[] for _ in pieces]
-        for lo in range(0, len(pieces), 2000):
-            e = self.tokenizer.encode(pieces[lo : lo + 2000], is_pretokenized=True, add_special_tokens=False)
-            for i, w in zip(e.ids, e.word_ids, strict=True):
-                out[lo + w].append(i)
-        return out
+        self.start, self.size, self.flat, self.kept = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32), 0
 
     def learn(self, hashes: list[int], found: list[str]) -> None:
-        # only Latin-1 words are split here: for these, lower case and composition are the same in both libraries
-        split = [self.pre.findall(w.lower()) if w.isascii() or max(w) <= "ÿ" else [w] for w in found]
-        if len(self.part) > self.most // 2:
-            self.part = {}
-        fresh = list({p for parts in split for p in parts if p not in self.part})
-        self.part.update(zip(fresh, self.encode(fresh), strict=True))
-        ids = [[i for p in parts for i in self.part[p]] for parts in split]
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for x in ids for i in x), np.uint32, int(size.sum()))
-        n, k = len(self.slot), len(ids)
+        flat, size = [], []
+        for lo in range(0, len(found), 4000):
+            some = found[lo : lo + 4000]
+            e = self.tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
+            flat.append(np.array(e.ids, np.uint32))
+            size.append(np.bincount(np.array(e.word_ids, np.int64), minlength=len(some)))
+        ids, sizes = np.concatenate(flat), np.concatenate(size)
+        n, k = len(self.slot), len(found)
         while n + k > len(self.start):
             self.start, self.size = np.concatenate([self.start, self.start * 0]), np.concatenate([self.size, self.size * 0])
-        while self.kept + len(flat) > len(self.flat):
+        while self.kept + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, self.flat * 0])
-        self.start[n : n + k] = self.kept + np.cumsum(size) - size
-        self.size[n : n + k] = size
-        self.flat[self.kept : self.kept + len(flat)] = flat
-        self.kept += len(flat)
+        self.start[n : n + k] = self.kept + np.cumsum(sizes) - sizes
+        self.size[n : n + k] = sizes
+        self.flat[self.kept : self.kept + len(ids)] = ids
+        self.kept += len(ids)
         self.slot.update(zip(hashes, range(n, n + k), strict=True))
 
     def texts(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts end to end, each text followed by ``end_id``, and the texts' offsets among them."""
-        w = tx.words(data, offsets)
         n = len(offsets) - 1
-        if len(w.hash) == 0:
+        lower, start, end, first = parts(data, offsets) if len(data) else (data, offsets[:0], offsets[:0], offsets)
+        if len(start) == 0:
             return np.full(n, end_id, np.uint32), np.arange(n + 1)
-        distinct, at, back = np.unique(w.hash, return_index=True, return_inverse=True)
+        distinct, at, back = np.unique(tx.run_hashes(lower, start, end), return_index=True, return_inverse=True)
         keys = distinct.tolist()
         if len(self.slot) + len(keys) > self.most and self.slot:
             self.forget()
         slots = [self.slot.get(h, -1) for h in keys]
         new = [i for i, s in enumerate(slots) if s < 0]
         if new:
-            raw = data.tobytes()
-            self.learn([keys[i] for i in new], [raw[w.start[at[i]] : w.end[at[i]]].decode() for i in new])
+            raw = lower.tobytes()
+            self.learn([keys[i] for i in new], [raw[a:z].decode() for a, z in zip(start[at[new]].tolist(), end[at[new]].tolist(), strict=True)])
             slots = [self.slot[h] for h in keys]
         slot = np.array(slots)[back]
         size = self.size[slot]
         total = np.concatenate([[0], np.cumsum(size)])
         ids = self.flat[np.repeat(self.start[slot] - total[:-1], size) + np.arange(total[-1])]
-        ends = total[w.first[1:]] + np.arange(n)
+        ends = total[first[1:]] + np.arange(n)
         out = np.empty(len(ids) + n, np.uint32)
         inside = np.ones(len(out), bool)
         inside[ends] = False

@@ -98,17 +98,19 @@ def words(data: np.ndarray, offsets: np.ndarray) -> Words:
     if len(start) == 0:
         z = np.zeros(0, np.int64)
         return Words(data, z, z, np.zeros(0, np.uint64), np.zeros(n + 1, np.int64))
+    return Words(data, start, end, run_hashes(data, start, end), np.searchsorted(start, offsets).astype(np.int64))
+
+
+def run_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each run of bytes [start, end); runs are in order and not empty."""
     length = end - start
-    body = np.flatnonzero(ink)
-    place = body - np.repeat(start, length)
-    powers = np.empty(int(length.max()), np.uint64)
+    heads = np.cumsum(length) - length
+    place = np.arange(int(length.sum())) - np.repeat(heads, length)
+    powers = np.full(int(length.max()), _BASE)
     powers[0] = 1
-    powers[1:] = _BASE
     np.multiply.accumulate(powers, out=powers)
-    value = (data[body].astype(np.uint64) + U64(1)) * powers[place]
-    heads = np.concatenate([[0], np.cumsum(length)[:-1]])
-    h = mix(np.add.reduceat(value, heads) + length.astype(np.uint64) * _GOLD)
-    return Words(data, start, end, h, np.searchsorted(start, offsets).astype(np.int64))
+    value = (data[place + np.repeat(start, length)].astype(np.uint64) + U64(1)) * powers[place]
+    return mix(np.add.reduceat(value, heads) + length.astype(np.uint64) * _GOLD)
 
 
 @dataclass
