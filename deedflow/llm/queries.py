@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, near_duplicates, packing, toxicity
+from . import langid, mixing, near_duplicates, packing, passages, quality, toxicity
 from .common import crc32_bucket
 
 
@@ -37,10 +37,19 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model, keep=["doc_id", "held_out"]).withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return quality.quality(documents(spark, sf_dir)).select(*columns, F.round("quality", 6).alias("quality"))
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicate_classes(documents(spark, sf_dir)).select("doc_id", "class_id", "class_size")
 
 
+def op8_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeats(documents(spark, sf_dir)).drop("node")
+
+
 def op9_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), vocabulary())
 
@@ -52,7 +61,9 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_toxicity": op2_toxicity,
+    "op3_quality_rules": op3_quality_rules,
     "op4_near_duplicates": op4_near_duplicates,
+    "op8_repeated_passages": op8_repeated_passages,
     "op9_pack_sequences": op9_pack_sequences,
     "op10_language_id": op10_language_id,
 }
