@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, near_duplicates, packing, passages, quality, toxicity
+from . import fingerprints, langid, mixing, near_duplicates, packing, passages, quality, sharding, toxicity
 from .common import crc32_bucket
 
 
@@ -46,6 +46,27 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicate_classes(documents(spark, sf_dir)).select("doc_id", "class_id", "class_size")
 
 
+def op5_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard(documents(spark, sf_dir), shards=16, law="rows")
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
+
+
+def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprints.edited_fingerprints(documents(spark, sf_dir))
+    digest = lambda c: F.sha2(F.array_join(F.col(c).cast("array<string>"), " ").cast("binary"), 256)
+    hashes = found.withColumns({f"{c}_hashes": fingerprints.entry_hashes(F.col(c)) for c in ("print", "next_print", "edited_print")})
+    return hashes.select(
+        "doc_id",
+        "n_chars",
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        digest("print").alias("fingerprint"),
+        digest("edited_print").alias("edited_fingerprint"),
+        fingerprints.likeness(F.col("print_hashes"), F.col("edited_print_hashes")).alias("near_edited"),
+        fingerprints.likeness(F.col("print_hashes"), F.col("next_print_hashes")).alias("near_next"),
+        F.size("print").cast("long").alias("n_entries"),
+    )
+
+
 def op8_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.repeats(documents(spark, sf_dir)).drop("node")
 
@@ -63,6 +84,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_quality_rules": op3_quality_rules,
     "op4_near_duplicates": op4_near_duplicates,
+    "op5_hilbert_shards": op5_hilbert_shards,
+    "op7_winnowing": op7_winnowing,
     "op8_repeated_passages": op8_repeated_passages,
     "op9_pack_sequences": op9_pack_sequences,
     "op10_language_id": op10_language_id,
