@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, langid, mixing, near_duplicates, packing, passages, quality, sharding, toxicity
+from . import fingerprints, langid, mixing, near_duplicates, packing, passages, quality, sharding, toxicity, warc
 from .common import crc32_bucket
 
 
@@ -51,6 +51,10 @@ def op5_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
 
 
+def op6_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fingerprints.edited_fingerprints(documents(spark, sf_dir))
     digest = lambda c: F.sha2(F.array_join(F.col(c).cast("array<string>"), " ").cast("binary"), 256)
@@ -85,9 +89,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
     "op4_near_duplicates": op4_near_duplicates,
     "op5_hilbert_shards": op5_hilbert_shards,
+    "op6_warc_round_trip": op6_warc_round_trip,
     "op7_winnowing": op7_winnowing,
     "op8_repeated_passages": op8_repeated_passages,
     "op9_pack_sequences": op9_pack_sequences,
     "op10_language_id": op10_language_id,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_warc_round_trip": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        s AS (SELECT page_id, octet_length(encode(html)) AS payload_bytes, sha256(html) AS payload_digest FROM p),
+        r AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM s)
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN first < page_id THEN first END AS refers_to
+        FROM r
+    """,
+}
