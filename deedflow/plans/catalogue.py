@@ -4,7 +4,578 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from deedflow.functions import rules, text
+from deedflow.operators import chunking, evidence, extraction, matching, tables, timeline, trust, vectors
+from deedflow.sources.contracts import CONTRACTS_SQL, contract_pages
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query under its function's name, with its SQL twin if it has one."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def document_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as one page; tenant is the source."""
+    d = table(spark, sf_dir, "documents")
+    return d.select(F.col("doc_id").alias("document_id"), F.col("source").alias("user_id"), F.lit(1).alias("page_number"), F.col("doc_id").cast("string").alias("page_id"), "text")
+
+
+def version_pairs(pages: DataFrame) -> DataFrame:
+    """Both versions of each contract as a pair."""
+    one = pages.filter("page_number = 1").groupBy("pair_id").agg(F.min("document_id").alias("a_document_id"), F.max("document_id").alias("b_document_id"))
+    return one.filter("a_document_id <> b_document_id")
+
+
+# --- text functions -----------------------------------------------------------------------------------------------
+
+#: A text with control characters, mixed line ends and blank lines, made of a document's own words.
+MESSY_SQL = "chr(0) || '  ' || replace(text, '. ', '.' || chr(13) || chr(10) || chr(10) || chr(10) || chr(8)) || chr(13) || chr(12) || ' '"
+
+
+def messy() -> F.Column:
+    broken = F.replace(F.col("text"), F.lit(". "), F.lit(".\r\n\n\n\x08"))
+    return F.concat(F.lit("\x00  "), broken, F.lit("\r\x0c "))
+
+
+@query(f"""
+SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace({MESSY_SQL}, '\\r\\n?', chr(10), 'g'), '[\\x00-\\x08\\x0B-\\x1F\\x7F]', '', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(10) || chr(9)) AS normalized
+FROM documents""")
+def text_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", text.normalize_text(messy()).alias("normalized"))
+
+
+@query("""
+SELECT conv_id, turn + 1 AS page_number, length(text) AS char_count, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) AS word_count, text = '' AS is_empty
+FROM conversations""")
+def page_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations")
+    return c.select("conv_id", (F.col("turn") + 1).alias("page_number"), F.length("text").cast("long").alias("char_count"), text.word_count(F.col("text")).cast("long").alias("word_count"), (F.col("text") == "").alias("is_empty"))
+
+
+@query("""
+SELECT doc_id, CASE WHEN dense < 30 AND ocr <> '' THEN 'ocr' ELSE 'native' END AS extraction_method, dense < 30 AND ocr <> '' AS ocr_required,
+       length(CASE WHEN dense < 30 AND ocr <> '' THEN ocr ELSE text END) AS char_count
+FROM (SELECT doc_id, text, CASE WHEN doc_id % 2 = 0 THEN coalesce(lang, '') || ' scanned' ELSE '' END AS ocr, length(translate(text, ' ' || chr(10), '')) AS dense FROM documents)""")
+def ocr_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").withColumn("ocr", F.when(F.col("doc_id") % 2 == 0, F.concat(F.coalesce("lang", F.lit("")), F.lit(" scanned"))).otherwise(""))
+    use = (F.length(F.translate("text", " \n", "")) < 30) & (F.col("ocr") != "")
+    return d.select("doc_id", F.when(use, "ocr").otherwise("native").alias("extraction_method"), use.alias("ocr_required"), F.length(F.when(use, F.col("ocr")).otherwise(F.col("text"))).cast("long").alias("char_count"))
+
+
+@query("""
+SELECT page_id, CASE WHEN clean = '' THEN 'document.pdf' ELSE left(clean, 255) END AS filename
+FROM (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_extract(url, '([^/\\\\]*)$', 1), '^[./\\\\]+', ''), '[^A-Za-z0-9._\\- ]', '_', 'g')) AS clean FROM pages)""")
+def filename_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", text.clean_filename(F.col("url")).alias("filename"))
+
+
+@query("SELECT sha256(trim(text)) AS content_hash, count(*) AS copies, min(doc_id) AS first_doc_id FROM documents GROUP BY 1 HAVING count(*) > 1")
+def content_hash_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", F.sha2(text.strip(F.col("text")).cast("binary"), 256).alias("content_hash"))
+    return d.groupBy("content_hash").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_doc_id")).filter("copies > 1")
+
+
+@query("SELECT doc_id, greatest(1, round_even(length(text) / 4.0, 0)::BIGINT) AS token_estimate FROM documents")
+def token_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", text.token_estimate(F.length("text")).cast("long").alias("token_estimate"))
+
+
+@query(f"""
+SELECT conv_id, turn, regexp_matches(t, '(?i)\\b(?:{'|'.join(text.FORBIDDEN)})\\b') AS forbidden, regexp_replace(t, '(?i)\\b(?:{'|'.join(text.FORBIDDEN)})\\b', '{text.NEUTRAL}', 'g') AS neutral
+FROM (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'You should sign. ' || text || ' This is illegal!' ELSE text END AS t FROM conversations)""")
+def sanitize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations")
+    t = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("You should sign. "), "text", F.lit(" This is illegal!"))).otherwise(F.col("text"))
+    return c.select("conv_id", "turn", text.has_forbidden(t).alias("forbidden"), text.neutral(t).alias("neutral"))
+
+
+# --- chunks and vectors -------------------------------------------------------------------------------------------
+
+UNITS_SQL = """
+para AS (SELECT doc_id, unnest(string_split(text, chr(10) || chr(10))) AS p, generate_subscripts(string_split(text, chr(10) || chr(10)), 1) AS pi FROM documents),
+cut AS (SELECT doc_id, pi, CASE WHEN length(trim(p, ' ' || chr(10))) <= 600 THEN [p] ELSE string_split(regexp_replace(trim(p, ' ' || chr(10)), '([.?!;])\\s+', '\\1' || chr(1), 'g'), chr(1)) END AS l FROM para),
+flat AS (SELECT doc_id, pi, unnest(l) AS u, generate_subscripts(l, 1) AS ui FROM cut),
+units AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pi, ui) - 1 AS unit_index, trim(u, ' ' || chr(10)) AS text FROM flat WHERE trim(u, ' ' || chr(10)) <> '')
+"""
+
+
+@query(f"WITH {UNITS_SQL} SELECT doc_id AS document_id, unit_index, text FROM units")
+def units_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.units(document_pages(spark, sf_dir)).select("document_id", F.col("unit_index").cast("long").alias("unit_index"), "text")
+
+
+@query()
+def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = chunking.chunks(document_pages(spark, sf_dir))
+    return c.select("document_id", "chunk_index", "text", "page_start", "page_end", "char_count", "token_estimate", "content_hash")
+
+
+@query()
+def conversation_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations")
+    pages = c.select(F.col("conv_id").alias("document_id"), (F.col("turn") + 1).cast("int").alias("page_number"), F.concat_ws("-", "conv_id", "turn").alias("page_id"), "text")
+    return chunking.chunks(pages).select("document_id", "chunk_index", "text", "page_start", "page_end", F.size("page_ids").alias("n_pages"), "char_count")
+
+
+@query("""
+WITH w AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')) AS w FROM documents),
+d AS (SELECT doc_id, sha256(w) AS h, count(*) AS n FROM w GROUP BY ALL),
+s AS (SELECT doc_id, n, i, CAST('0x' || substr(h, 8 * i + 1, 8) AS BIGINT) AS slot FROM d CROSS JOIN range(8) r(i)),
+t AS (SELECT doc_id, sha256(trim(text, ' ' || chr(10))) AS h FROM documents),
+v AS (SELECT doc_id, slot % 384 AS slot, n * (((slot >> 16) & 255) / 255.0::DOUBLE - 0.5) / (i + 1) AS v FROM s
+      UNION ALL SELECT doc_id, i, (CAST('0x' || substr(h, 2 * i + 1, 2) AS INT) / 255.0::DOUBLE - 0.5) * 0.2 FROM t CROSS JOIN range(32) r(i)),
+a AS (SELECT doc_id, slot, sum(v) AS v FROM v GROUP BY ALL),
+n AS (SELECT doc_id, sqrt(sum(v * v)) AS norm FROM a GROUP BY 1)
+SELECT a.doc_id AS doc_id, slot, round(v / norm, 6) AS value FROM a JOIN n ON a.doc_id = n.doc_id WHERE abs(round(v / norm, 6)) > 0""")
+def term_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = vectors.term_vectors(table(spark, sf_dir, "documents"), id_cols=("doc_id",))
+    flat = v.select("doc_id", F.posexplode("vector").alias("slot", "value")).select("doc_id", F.col("slot").cast("long").alias("slot"), F.round("value", 6).alias("value"))
+    return flat.filter(F.abs("value") > 0)
+
+
+TOP_SQL = """
+WITH q AS (SELECT vec_id AS query_id, embedding AS qe FROM embeddings WHERE vec_id % 20 = 0),
+s AS (SELECT query_id, vec_id, list_cosine_similarity(qe::DOUBLE[], embedding::DOUBLE[]) AS sim FROM q CROSS JOIN embeddings {where}),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) AS rank FROM s)
+SELECT query_id, vec_id, rank, round(sim, 5) AS similarity FROM r WHERE rank <= 5"""
+
+
+def vector_search(spark: SparkSession, sf_dir: str, least: float | None) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    q = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    found = vectors.top_k(q, e.select("vec_id", F.col("embedding").alias("vector")), 5, order=("vec_id",), min_similarity=least)
+    return found.select("query_id", "vec_id", F.col("rank").cast("long").alias("rank"), F.round("similarity", 5).alias("similarity"))
+
+
+@query(TOP_SQL.format(where=""))
+def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search(spark, sf_dir, None)
+
+
+@query(TOP_SQL.format(where="WHERE list_cosine_similarity(qe::DOUBLE[], embedding::DOUBLE[]) >= 0.3"))
+def vector_topk_min_sim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search(spark, sf_dir, 0.3)
+
+
+@query()
+def chunk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Top chunks of every tenant for five query strings."""
+    pages = document_pages(spark, sf_dir)
+    made = chunking.chunks(pages).join(pages.select("document_id", "user_id"), "document_id").select("document_id", "chunk_index", "user_id", "text")
+    indexed = vectors.term_vectors(made, id_cols=("document_id", "chunk_index", "user_id"))
+    asked = spark.createDataFrame([(1, "the thing and the of"), (2, "que la de los"), (3, "der die und das"), (4, "all rights reserved"), (5, "apache license version")], "query_id int, text string")
+    queries = vectors.term_vectors(asked, id_cols=("query_id",)).withColumnRenamed("vector", "query_vector")
+    found = vectors.top_k(queries, indexed, 5, order=("document_id", "chunk_index"))
+    return found.select("query_id", "user_id", "document_id", "chunk_index", "rank", F.round("similarity", 6).alias("similarity"))
+
+
+@query("SELECT sha256(text) AS content_hash, count(*) AS n_documents FROM documents GROUP BY 1")
+def embed_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("content_hash"))
+    return d.groupBy("content_hash").agg(F.count("*").alias("n_documents"))
+
+
+# --- extraction ---------------------------------------------------------------------------------------------------
+
+SENT_SQL = """
+sents AS (SELECT document_id, page_number, unnest(l) AS s, generate_subscripts(l, 1) AS i
+          FROM (SELECT *, string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS l FROM cpages))"""
+NAME_RE = "[A-Z][A-Za-z0-9\\s,\\.&]+?"
+ROLE_RE = "(?:\\s*(?:\\(|,)\\s*[\"“]?([A-Za-z\\s]+)[\"”]?\\s*(?:\\)|,))?"
+BETWEEN_RE = f"(?i)between\\s+({NAME_RE}){ROLE_RE}\\s+and\\s+({NAME_RE}){ROLE_RE}(?:\\.|;|\\n|$)"
+PARTIES_SQL = f"""
+hits AS (SELECT document_id, page_number, regexp_extract(text, '{BETWEEN_RE}', ['n1', 'r1', 'n2', 'r2']) AS m, regexp_extract(text, '{BETWEEN_RE}', 0) AS span
+         FROM cpages WHERE page_number <= 2 AND regexp_matches(text, '{BETWEEN_RE}')),
+parties AS (SELECT document_id, page_number, 1 AS ordinal, trim(m.n1) AS name, coalesce(nullif(trim(m.r1), ''), 'Party') AS role, trim(span, ' ' || chr(10)) AS source_span FROM hits
+            UNION ALL SELECT document_id, page_number, 2, trim(m.n2), coalesce(nullif(trim(m.r2), ''), 'Party'), trim(span, ' ' || chr(10)) FROM hits)"""
+HEAD_RE = "^((?:(?:Section|Article|Clause)[ \\t]+)?(?:[0-9IVXLCDM]+(?:\\.[0-9]+)*|\\b[A-Z]\\b)[.:\\-][ \\t]*[^\\n\\r]+)$"
+CLAUSES_SQL = f"""
+heads AS (SELECT document_id, page_number, unnest(string_split(regexp_replace(text, '(?m){HEAD_RE}', chr(1) || '\\1', 'g'), chr(1))) AS part, generate_subscripts(string_split(regexp_replace(text, '(?m){HEAD_RE}', chr(1) || '\\1', 'g'), chr(1)), 1) AS i FROM cpages),
+titled AS (SELECT document_id, page_number, i, regexp_extract(part, '^([0-9IVXLCDM]+(?:\\.[0-9]+)*|[A-Z])[.:\\-]', 1) AS ident, trim(regexp_extract(part, '^[^.:\\-]+[.:\\-][ \\t]*([^\\n\\r]+)', 1)) AS title, trim(part, ' ' || chr(10)) AS text FROM heads WHERE i > 1),
+clauses AS (SELECT document_id, page_number, row_number() OVER (PARTITION BY document_id ORDER BY page_number, i) AS ordinal, 'Clause-' || ident AS clause_identifier, title,
+            {rules.case_sql("lower(title || ' ' || text)", list(rules.CATEGORIES.items()), "general")} AS category, text, left(text, 300) AS source_span FROM titled)"""
+MODAL_RE = "(?i)\\b([A-Z][A-Za-z0-9\\s]{2,25})\\s+(shall|must|agrees to|is required to|undertakes to)\\s+([^.;]+)"
+TRIGGER_RE = "(?i)\\b(upon\\s+[^,]+|in the event of\\s+[^,]+|if\\s+[^,]+|prior to\\s+[^,]+)"
+DEADLINE_RE = "(?i)\\b(within\\s+[0-9]+\\s+(?:days|months|business days)|on or before\\s+[^,.;]+|by\\s+no\\s+later\\s+than\\s+[^,.;]+|monthly on the [0-9]+(?:st|nd|rd|th)? day)"
+OBLIGATIONS_SQL = f"""
+obligations AS (SELECT document_id, page_number, row_number() OVER (PARTITION BY document_id ORDER BY page_number, i) AS ordinal, trim(regexp_extract(s, '{MODAL_RE}', 1)) AS obligor,
+                regexp_extract(s, '{MODAL_RE}', 2) || ' ' || trim(regexp_extract(s, '{MODAL_RE}', 3)) AS duty, nullif(trim(regexp_extract(s, '{TRIGGER_RE}', 1)), '') AS trigger,
+                nullif(trim(regexp_extract(s, '{DEADLINE_RE}', 1)), '') AS deadline, trim(s) AS source_span FROM sents WHERE regexp_matches(s, '{MODAL_RE}'))"""
+LONG_DATE_RE = f"(?i)\\b(?:{rules.MONTHS})\\s+[0-9]{{1,2}}(?:st|nd|rd|th)?,?\\s+[0-9]{{4}}\\b"
+DATE_CASE = rules.case_sql("lower(s)", [(t, w) for t, w, _ in rules.DATE_TYPES], rules.DATE_DEFAULT[0])
+DATES_SQL = f"""
+said AS (SELECT document_id, page_number, i, trim(s) AS source_span, {DATE_CASE} AS date_type, unnest(regexp_extract_all(s, '{LONG_DATE_RE}')) AS raw_text FROM sents),
+dates AS (SELECT document_id, page_number, row_number() OVER (PARTITION BY document_id ORDER BY page_number, i) AS ordinal, date_type, raw_text, strftime(strptime(replace(raw_text, ',', ''), '%B %d %Y'), '%Y-%m-%d') AS normalized_date,
+          CASE {' '.join(f"WHEN date_type = '{t}' THEN '{d}'" for t, _, d in rules.DATE_TYPES)} ELSE '{rules.DATE_DEFAULT[1]}' END AS description, source_span FROM said)"""
+FLAGS_SQL = "flags AS (" + " UNION ALL ".join(
+    f"SELECT document_id, page_number, {i} AS k, '{kind}' AS flag_type, '{title}' AS title, '{severity}' AS severity, trim(regexp_extract(text, '(?i)([^.!?]*\\b({words})\\b[^.!?]*[.!?])', 1), ' ' || chr(10)) AS source_span FROM cpages WHERE regexp_matches(text, '(?i)\\b({words})\\b')"
+    for i, (kind, title, severity, words) in enumerate(rules.FLAGS)
+) + ")"
+ALL_SQL = ",\n".join([CONTRACTS_SQL, SENT_SQL, PARTIES_SQL, CLAUSES_SQL, OBLIGATIONS_SQL, DATES_SQL, FLAGS_SQL])
+
+
+def with_all(select: str) -> str:
+    return f"WITH {ALL_SQL}\n{select}"
+
+
+@query(with_all("SELECT document_id, page_number, ordinal, name, role, source_span FROM parties"))
+def parties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.parties(contract_pages(spark, sf_dir)).withColumn("ordinal", F.col("ordinal").cast("long"))
+
+
+@query(with_all("SELECT document_id, page_number, ordinal, clause_identifier, title, category, text, source_span FROM clauses"))
+def clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.clauses(contract_pages(spark, sf_dir)).withColumn("ordinal", F.col("ordinal").cast("long"))
+
+
+@query(f"""
+WITH l AS (SELECT conv_id AS document_id, turn + 1 AS page_number, unnest(list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(x)), lambda x: x <> '')) AS line,
+           generate_subscripts(list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(x)), lambda x: x <> ''), 1) AS i
+           FROM (SELECT conv_id, turn, 'Payment of ' || role || chr(10) || text || chr(10) || 'the governing law' AS t FROM conversations) WHERE NOT regexp_matches(t, '(?m)^(?:(?:Section|Article|Clause)[ \\t]+)?(?:[0-9IVXLCDM]+(?:\\.[0-9]+)*|[A-Z])[.:\\-][ \\t]*[^\\n\\r]+$')),
+c AS (SELECT *, CASE {' '.join("WHEN regexp_matches(lower(line), '^(?:" + '|'.join(w) + ")|(?:" + '|'.join(w) + ")$') THEN '" + n + "'" for n, w in rules.CATEGORIES.items())} END AS category FROM l),
+r AS (SELECT *, row_number() OVER (PARTITION BY document_id, i ORDER BY page_number) AS n FROM c WHERE category IS NOT NULL)
+SELECT document_id, page_number, 'Section-' || i AS clause_identifier, left(line, 50) AS title, category FROM r WHERE n = 1""")
+def clauses_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations")
+    body = F.concat(F.lit("Payment of "), "role", F.lit("\n"), "text", F.lit("\nthe governing law"))
+    pages = c.select(F.col("conv_id").alias("document_id"), (F.col("turn") + 1).alias("page_number"), body.alias("text"))
+    return extraction.clauses(pages).filter(F.col("clause_identifier").startswith("Section-")).select("document_id", "page_number", "clause_identifier", "title", "category")
+
+
+@query(with_all("""SELECT o.document_id AS document_id, o.page_number AS page_number, o.ordinal AS ordinal, obligor, duty, trigger, deadline, o.source_span AS source_span, min_by(clause_identifier, c.ordinal) AS clause_identifier
+FROM obligations o LEFT JOIN clauses c ON o.document_id = c.document_id AND o.page_number = c.page_number AND contains(c.text, o.source_span) GROUP BY ALL"""))
+def obligations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = contract_pages(spark, sf_dir)
+    return extraction.obligations(pages, extraction.clauses(pages)).withColumn("ordinal", F.col("ordinal").cast("long"))
+
+
+@query(with_all("SELECT document_id, page_number, date_type, raw_text, normalized_date, description, source_span FROM dates"))
+def date_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.dates(contract_pages(spark, sf_dir)).drop("ordinal")
+
+
+@query(with_all("SELECT document_id, page_number, flag_type, title, severity, source_span FROM flags"))
+def review_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.review_flags(contract_pages(spark, sf_dir)).drop("ordinal")
+
+
+@query(f"SELECT p_partkey, {rules.case_sql('lower(t)', list(rules.CATEGORIES.items()), 'general')} AS category FROM (SELECT p_partkey, p_name || ' ' || CASE p_partkey % 5 WHEN 0 THEN 'Payment of rent' WHEN 1 THEN 'Governing law and venue' WHEN 2 THEN 'Hold harmless' WHEN 3 THEN 'Notices' ELSE 'Miscellaneous' END AS t FROM part)")
+def category_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey") % 5
+    title = F.when(k == 0, "Payment of rent").when(k == 1, "Governing law and venue").when(k == 2, "Hold harmless").when(k == 3, "Notices").otherwise("Miscellaneous")
+    return table(spark, sf_dir, "part").select("p_partkey", rules.clause_category(F.col("p_name"), title).alias("category"))
+
+
+@query(with_all("""SELECT d.document_id AS document_id, (SELECT count(*) FROM parties x WHERE x.document_id = d.document_id) AS n_parties, (SELECT count(*) FROM clauses x WHERE x.document_id = d.document_id) AS n_clauses,
+(SELECT count(*) FROM obligations x WHERE x.document_id = d.document_id) AS n_obligations, (SELECT count(*) FROM dates x WHERE x.document_id = d.document_id) AS n_dates, (SELECT count(*) FROM flags x WHERE x.document_id = d.document_id) AS n_flags
+FROM (SELECT DISTINCT document_id FROM cpages) d"""))
+def entity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = contract_pages(spark, sf_dir)
+    return tables.entity_counts(p, parties=extraction.parties(p), clauses=extraction.clauses(p), obligations=extraction.obligations(p), dates=extraction.dates(p), flags=extraction.review_flags(p))
+
+
+@query(with_all("SELECT category AS value, count(*) AS n FROM clauses GROUP BY 1"))
+def facets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.facet(extraction.clauses(contract_pages(spark, sf_dir)), "category")
+
+
+# --- evidence and trust -------------------------------------------------------------------------------------------
+
+CLAIMS_SQL = """
+claims AS (
+  SELECT document_id, 'party' AS claim_type, 'Party: ' || name || ' (Role: ' || role || ')' AS claim_text, page_number, source_span FROM parties
+  UNION ALL SELECT document_id, 'clause', 'Clause ' || clause_identifier || ': ' || title || ' (Category: ' || category || ')', page_number, source_span FROM clauses
+  UNION ALL SELECT document_id, 'obligation', 'Obligation: Obligor: ' || obligor || ' | Duty: ' || duty || coalesce(' | Deadline: ' || deadline, '') || coalesce(' | Trigger: ' || trigger, ''), page_number, source_span FROM obligations
+  UNION ALL SELECT document_id, 'date', 'Date: ' || description || ' (' || date_type || '): ' || raw_text || coalesce(' [ISO: ' || normalized_date || ']', ''), page_number, source_span FROM dates
+  UNION ALL SELECT document_id, 'review_flag', 'Review Flag (' || upper(severity) || '): ' || title, page_number, source_span FROM flags),
+cited AS (SELECT *, CASE WHEN document_id % 7 = 0 THEN page_number % 3 + 1 WHEN document_id % 11 = 0 THEN 9 ELSE page_number END AS page FROM claims),
+resolved AS (SELECT c.*, t.text AS pt, CASE WHEN t.text IS NULL THEN -1 ELSE instr(t.text, c.source_span) - 1 END AS pos FROM cited c LEFT JOIN cpages t ON c.document_id = t.document_id AND c.page = t.page_number)"""
+
+
+def contract_claims(pages: DataFrame) -> DataFrame:
+    return evidence.claims(extraction.parties(pages), extraction.clauses(pages), extraction.obligations(pages), extraction.dates(pages), extraction.review_flags(pages))
+
+
+def cited_claims(pages: DataFrame) -> DataFrame:
+    """Claims, those of every seventh document citing a wrong page and of every eleventh a missing one."""
+    page = F.when(F.col("document_id") % 7 == 0, F.col("page_start") % 3 + 1).when(F.col("document_id") % 11 == 0, 9).otherwise(F.col("page_start")).cast("int")
+    return contract_claims(pages).withColumn("page_start", page).withColumn("page_end", page)
+
+
+@query(with_all("SELECT document_id, claim_type, claim_text, page_number AS page_start, source_span FROM claims").replace("\nSELECT document_id, claim_type", "," + CLAIMS_SQL + "\nSELECT document_id, claim_type"))
+def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contract_claims(contract_pages(spark, sf_dir)).select("document_id", "claim_type", "claim_text", "page_start", "source_span")
+
+
+@query(f"""WITH {ALL_SQL}, {CLAIMS_SQL}
+SELECT document_id, claim_type, claim_text, CASE WHEN pos >= 0 THEN 'VALID' ELSE 'INVALID' END AS validation_status, CASE WHEN pos >= 0 THEN 'exact' ELSE 'unmatched' END AS match_type,
+       CASE WHEN pos >= 0 THEN pos END AS char_start, CASE WHEN pos >= 0 THEN pos + length(source_span) END AS char_end,
+       CASE WHEN pt IS NULL THEN 'PAGE_' || page || '_NOT_FOUND' WHEN pos < 0 THEN 'SPAN_NOT_FOUND_ON_PAGE' END AS reason FROM resolved""")
+def evidence_single(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = contract_pages(spark, sf_dir)
+    found = evidence.resolve(cited_claims(pages), pages)
+    return found.select("document_id", "claim_type", "claim_text", "validation_status", "match_type", F.col("char_start").cast("long").alias("char_start"), F.col("char_end").cast("long").alias("char_end"), "reason")
+
+
+@query(f"""WITH {CONTRACTS_SQL},
+two AS (SELECT document_id, string_agg(text, chr(10) ORDER BY page_number) AS joined, max(CASE WHEN page_number = 2 THEN text END) AS p2, max(CASE WHEN page_number = 3 THEN text END) AS p3 FROM cpages WHERE page_number >= 2 GROUP BY 1)
+SELECT document_id, CASE WHEN document_id % 3 = 0 THEN 'INVALID' ELSE 'VALID' END AS validation_status, CASE WHEN document_id % 3 = 0 THEN NULL ELSE length(p2) - 11 END AS char_start, CASE WHEN document_id % 3 = 0 THEN NULL ELSE length(p2) + 16 END AS char_end,
+       CASE WHEN document_id % 3 = 0 THEN 'CROSS_PAGE_SPAN_NOT_FOUND' END AS reason FROM two""")
+def evidence_cross_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans from the end of page 2 to the beginning of page 3, tampered with in every third document."""
+    pages = contract_pages(spark, sf_dir)
+    two = pages.filter("page_number in (2, 3)").groupBy("document_id").agg(F.max(F.when(F.col("page_number") == 2, F.right("text", F.lit(12)))).alias("z"), F.max(F.when(F.col("page_number") == 3, F.left("text", F.lit(15)))).alias("a"))
+    span = F.concat(F.when(F.col("document_id") % 3 == 0, F.lit("never ")).otherwise(F.lit("")), "z", F.lit("\n"), "a")
+    cited = two.select("document_id", F.lit(2).alias("page_start"), F.lit(3).alias("page_end"), span.alias("source_span"))
+    found = evidence.resolve(cited, pages)
+    return found.select("document_id", "validation_status", F.col("char_start").cast("long").alias("char_start"), F.col("char_end").cast("long").alias("char_end"), "reason")
+
+
+@query(f"""WITH {ALL_SQL}, {CLAIMS_SQL},
+g AS (SELECT document_id, count(*) AS total_claims, count(*) FILTER (pos >= 0) AS valid_claims, count(*) FILTER (pos < 0) AS invalid_claims FROM resolved GROUP BY 1)
+SELECT document_id, total_claims, valid_claims, invalid_claims, 0::BIGINT AS unverified_claims, round_even(valid_claims / total_claims::DOUBLE, 4) AS coverage_ratio, valid_claims = total_claims AS is_fully_covered FROM g""")
+def evidence_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = contract_pages(spark, sf_dir)
+    return evidence.coverage(pages, evidence.resolve(cited_claims(pages), pages))
+
+
+def assessed_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = contract_pages(spark, sf_dir)
+    found = evidence.resolve(cited_claims(pages), pages)
+    keyed = found.withColumn("claim_id", F.concat_ws("|", "document_id", "claim_type", "ordinal")).withColumn("evidence_document_id", F.col("document_id"))
+    return trust.assess(keyed.select("claim_id", "document_id", "claim_type", "claim_text", "evidence_document_id", "validation_status"))
+
+
+TRUST_SQL = f"""WITH {ALL_SQL}, {CLAIMS_SQL},
+rated AS (SELECT document_id, claim_type, claim_text, regexp_matches(claim_text, '(?i)\\b(enforceab|legally\\s+enforceable|is\\s+.*enforceable|binding|legal\\s+validity|null\\s+and\\s+void|unlawful)\\b') AS e, pos >= 0 AS ok FROM resolved),
+assessed AS (SELECT document_id, claim_type, claim_text, CASE WHEN e OR NOT ok THEN 'PROFESSIONAL_REVIEW_NEEDED' ELSE 'DOCUMENT_FACT' END AS trust_tier,
+             CASE WHEN e THEN 'REVIEW_REQUIRED' WHEN NOT ok THEN 'UNSUPPORTED' ELSE 'SAFE' END AS safety_status, CASE WHEN e THEN 'LEGAL_ENFORCEABILITY,PROFESSIONAL_JUDGMENT' WHEN NOT ok THEN 'INVALID_EVIDENCE' ELSE '' END AS limitations FROM rated)"""
+
+
+@query(TRUST_SQL + " SELECT * FROM assessed")
+def trust_assess(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assessed_claims(spark, sf_dir).select("document_id", "claim_type", "claim_text", "trust_tier", "safety_status", F.array_join("limitations", ",").alias("limitations"))
+
+
+@query(TRUST_SQL + """ SELECT document_id, count(*) AS total_claims, count(*) FILTER (trust_tier = 'DOCUMENT_FACT') AS n_facts, count(*) FILTER (trust_tier = 'PROFESSIONAL_REVIEW_NEEDED') AS n_review,
+count(*) FILTER (limitations LIKE '%INVALID_EVIDENCE%') AS n_invalid_evidence, CASE WHEN bool_or(safety_status = 'REVIEW_REQUIRED') THEN 'REVIEW_REQUIRED' WHEN bool_or(safety_status <> 'SAFE') THEN 'LIMITED' ELSE 'SAFE' END AS overall_status
+FROM assessed GROUP BY 1""")
+def trust_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = trust.report(assessed_claims(spark, sf_dir))
+    n = lambda m, k: F.coalesce(F.try_element_at(m, F.lit(k)), F.lit(0)).cast("long")
+    return r.select("document_id", "total_claims", n("tier_counts", "DOCUMENT_FACT").alias("n_facts"), n("tier_counts", "PROFESSIONAL_REVIEW_NEEDED").alias("n_review"), n("limitation_counts", "INVALID_EVIDENCE").alias("n_invalid_evidence"), "overall_status")
+
+
+# --- comparison and version diff ----------------------------------------------------------------------------------
+
+PAIR_SQL = """
+a AS (SELECT p.pair_id, x.* FROM {t} x JOIN (SELECT DISTINCT document_id, pair_id, version FROM cpages) p ON x.document_id = p.document_id WHERE p.version = 1),
+b AS (SELECT p.pair_id, x.* FROM {t} x JOIN (SELECT DISTINCT document_id, pair_id, version FROM cpages) p ON x.document_id = p.document_id WHERE p.version = 2),
+m AS (SELECT coalesce(a.pair_id, b.pair_id) AS pair_id, a.ordinal AS a_ordinal, b.ordinal AS b_ordinal, {columns} FROM a FULL OUTER JOIN b ON a.pair_id = b.pair_id AND {on})"""
+VERDICT = "CASE WHEN b_ordinal IS NULL THEN '{gone}' WHEN a_ordinal IS NULL THEN '{new}' WHEN {same} THEN '{equal}' ELSE '{changed}' END AS classification"
+
+
+def pair_sql(t: str, on: str, columns: str, category: str, same: str, label: str, diff: bool) -> str:
+    names = {"gone": "REMOVED", "new": "ADDED", "equal": "UNCHANGED", "changed": "MODIFIED"} if diff else {"gone": "PRESENT_IN_ONE_ONLY", "new": "PRESENT_IN_ONE_ONLY", "equal": "MATCH", "changed": "DIFFERENT"}
+    return f"WITH {ALL_SQL}, {PAIR_SQL.format(t=t, on=on, columns=columns)} SELECT pair_id, {category} AS category, {VERDICT.format(same=same, **names)}, {label} AS label, a_ordinal, b_ordinal FROM m"
+
+
+def longs(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("long") for c in ("a_ordinal", "b_ordinal")})
+
+
+def paired(spark: SparkSession, sf_dir: str, kind: Callable[[DataFrame], DataFrame], compare: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    pages = contract_pages(spark, sf_dir)
+    return longs(compare(kind(pages), version_pairs(pages)))
+
+
+NAMES = "coalesce(a.name, b.name) AS label, a.role AS ra, b.role AS rb"
+
+
+@query(pair_sql("parties", "a.name = b.name", NAMES, "'PARTIES'", "lower(ra) = lower(rb)", "label", False))
+def compare_parties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paired(spark, sf_dir, extraction.parties, matching.compare_parties)
+
+
+@query(pair_sql("parties", "a.name = b.name", NAMES, "'PARTIES'", "lower(ra) = lower(rb)", "label", True))
+def diff_parties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paired(spark, sf_dir, extraction.parties, matching.diff_parties)
+
+
+DAYS = "coalesce(a.description, b.description) AS label, a.normalized_date AS da, b.normalized_date AS db"
+
+
+@query(pair_sql("dates", "a.date_type = b.date_type", DAYS, "'DATES'", "da = db", "label", False))
+def compare_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paired(spark, sf_dir, extraction.dates, matching.compare_dates)
+
+
+@query(pair_sql("dates", "a.date_type = b.date_type", DAYS, "'DATES'", "da = db", "label", True))
+def diff_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paired(spark, sf_dir, extraction.dates, matching.diff_dates)
+
+
+DUTIES = "coalesce(a.obligor, b.obligor) AS label, a.duty AS da, b.duty AS db, a.deadline AS la, b.deadline AS lb"
+
+
+@query(
+    pair_sql("obligations", "a.obligor = b.obligor AND left(a.duty, 10) = left(b.duty, 10)", DUTIES, "CASE WHEN a_ordinal IS NOT NULL AND b_ordinal IS NOT NULL AND coalesce(la, '') <> coalesce(lb, '') THEN 'NOTICE' ELSE 'OBLIGATIONS' END", "da = db", "label", False).replace(
+        "THEN 'MATCH' ELSE 'DIFFERENT' END", "THEN 'MATCH' WHEN coalesce(la, '') <> coalesce(lb, '') THEN 'POTENTIAL_INCONSISTENCY' ELSE 'DIFFERENT' END"
+    )
+)
+def compare_obligations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paired(spark, sf_dir, extraction.obligations, matching.compare_obligations)
+
+
+@query(pair_sql("obligations", "a.obligor = b.obligor AND (coalesce(a.trigger = b.trigger, false) OR a.duty = b.duty)", DUTIES, "'OBLIGATIONS'", "da = db AND coalesce(la, '') = coalesce(lb, '')", "label", True))
+def diff_obligations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paired(spark, sf_dir, extraction.obligations, matching.diff_obligations)
+
+
+HEADS = "coalesce(a.title, b.title) AS label, coalesce(a.category, b.category) AS category, a.text AS ta, b.text AS tb"
+# category or title alone decide in these contracts: numbers agree, and titles hold the terms that may differ
+CLAUSE_ON = "a.clause_identifier = b.clause_identifier"
+
+
+@query(pair_sql("clauses", "((a.category = b.category AND a.category NOT IN ('other', 'general')) OR a.title = b.title) AND a.clause_identifier = b.clause_identifier", HEADS, rules.case_sql("category", list(rules.COMPARISON_CATEGORIES), "CLAUSE"), "ta = tb", "label", False))
+def compare_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paired(spark, sf_dir, extraction.clauses, matching.compare_clauses)
+
+
+@query(pair_sql("clauses", "((a.category = b.category AND a.category <> 'general') OR a.title = b.title) AND a.clause_identifier = b.clause_identifier", HEADS, "category", "ta = tb", "label", True))
+def diff_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paired(spark, sf_dir, extraction.clauses, matching.diff_clauses)
+
+
+@query(f"SELECT pair_id, count(*) FILTER (classification = 'MATCH') AS n_match, count(*) FILTER (classification = 'DIFFERENT') AS n_different, count(*) FILTER (classification = 'PRESENT_IN_ONE_ONLY') AS n_present_in_one_only, count(*) FILTER (classification = 'POTENTIAL_INCONSISTENCY') AS n_potential_inconsistency, count(*) FILTER (classification = 'UNRESOLVED') AS n_unresolved, count(*) AS total FROM ({ORACLE_SQL['compare_clauses']} UNION ALL {ORACLE_SQL['compare_obligations'].replace('WITH', 'SELECT * FROM (WITH', 1)}) ) GROUP BY 1")
+def compare_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = contract_pages(spark, sf_dir)
+    pairs = version_pairs(pages)
+    every = matching.compare_clauses(extraction.clauses(pages), pairs).unionByName(matching.compare_obligations(extraction.obligations(pages), pairs))
+    return matching.summary(every, matching.COMPARISON_CLASSES)
+
+
+@query(f"SELECT pair_id, count(*) FILTER (classification = 'UNCHANGED') AS n_unchanged, count(*) FILTER (classification = 'MODIFIED') AS n_modified, count(*) FILTER (classification = 'ADDED') AS n_added, count(*) FILTER (classification = 'REMOVED') AS n_removed, count(*) AS total FROM ({ORACLE_SQL['diff_clauses']}) GROUP BY 1")
+def diff_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = contract_pages(spark, sf_dir)
+    return matching.summary(matching.diff_clauses(extraction.clauses(pages), version_pairs(pages)), matching.DIFF_CLASSES)
+
+
+@query(f"WITH {CONTRACTS_SQL} SELECT DISTINCT pair_id, true AS shares_party, true AS shares_category, true AS compatible FROM cpages")
+def version_compatibility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = contract_pages(spark, sf_dir)
+    return matching.compatible(extraction.parties(pages), extraction.clauses(pages), version_pairs(pages))
+
+
+# --- timelines ----------------------------------------------------------------------------------------------------
+
+TIMELINE_SQL = f"""WITH {ALL_SQL},
+o AS (SELECT o.*, CASE WHEN trigger IS NULL AND deadline IS NOT NULL THEN d.normalized_date END AS anchor FROM obligations o LEFT JOIN dates d ON o.document_id = d.document_id),
+items AS (SELECT document_id, 'Date: ' || description AS title, 'FIXED_DATE' AS date_type, 'EXPLICIT_FACT' AS item_status, normalized_date AS calendar_date, '' AS party, description AS duty_or_event, 0 AS part, ordinal FROM dates
+  UNION ALL SELECT document_id, CASE WHEN deadline IS NULL THEN 'Obligation: ' ELSE 'Relative Deadline: ' END || obligor, CASE WHEN deadline IS NULL THEN 'UNSPECIFIED' ELSE 'RELATIVE_DEADLINE' END, CASE WHEN deadline IS NULL THEN 'EXPLICIT_FACT' ELSE 'DERIVED' END,
+  strftime(CAST(anchor AS DATE) + CAST(regexp_extract(deadline, '([0-9]+)', 1) AS INT), '%Y-%m-%d'), obligor, duty, 1, ordinal FROM o)"""
+
+
+def contract_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = contract_pages(spark, sf_dir)
+    return timeline.timeline(extraction.obligations(pages), extraction.dates(pages))
+
+
+@query(TIMELINE_SQL + " SELECT document_id, title, date_type, item_status, calendar_date, party, duty_or_event, row_number() OVER (PARTITION BY document_id ORDER BY calendar_date IS NULL, coalesce(calendar_date, title), part, ordinal) AS seq FROM items")
+def timelines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contract_timeline(spark, sf_dir).withColumn("seq", F.col("seq").cast("long"))
+
+
+@query(TIMELINE_SQL + """ SELECT document_id, count(*) AS total, count(*) FILTER (date_type = 'FIXED_DATE') AS fixed, count(*) FILTER (item_status = 'DERIVED') AS derived, count(*) FILTER (date_type = 'RELATIVE_DEADLINE') AS relative,
+count(*) FILTER (item_status = 'UNRESOLVED_TRIGGER') AS unresolved, count(*) FILTER (date_type = 'DURATION') AS durations FROM items GROUP BY 1""")
+def timeline_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timeline.timeline_summary(contract_timeline(spark, sf_dir))
+
+
+# --- tables -------------------------------------------------------------------------------------------------------
+
+STATUS_SQL = "CASE o_orderstatus WHEN 'F' THEN 'READY' WHEN 'O' THEN 'PROCESSING' ELSE 'DELETED' END"
+
+
+def order_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status = F.when(F.col("o_orderstatus") == "F", "READY").when(F.col("o_orderstatus") == "O", "PROCESSING").otherwise("DELETED")
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("document_id"), F.col("o_custkey").alias("user_id"), status.alias("status"), "o_orderdate", "o_totalprice")
+
+
+@query("SELECT o_custkey AS user_id, o_orderkey AS document_id FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders) WHERE n = 1")
+def latest_per_tenant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.latest(order_documents(spark, sf_dir), "user_id", F.desc("o_orderdate"), F.desc("document_id")).select("user_id", "document_id")
+
+
+@query(f"SELECT l_orderkey AS document_id, count(*) AS n FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE {STATUS_SQL} <> 'DELETED' AND o_custkey % 10 = 1) GROUP BY 1")
+def tenant_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = order_documents(spark, sf_dir).withColumn("user_id", F.col("user_id") % 10)
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("document_id"))
+    return tables.tenant_scope(rows, documents, 1).groupBy("document_id").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH r AS (SELECT o_custkey AS request_id, list(o_orderkey) AS ids, bool_and({STATUS_SQL} = 'READY') AS ok FROM orders GROUP BY 1)
+SELECT request_id, CASE WHEN len(ids) < 2 THEN 'TOO_FEW_DOCUMENTS' WHEN len(ids) > 5 THEN 'TOO_MANY_DOCUMENTS' WHEN NOT ok THEN 'NOT_ACCESSIBLE' END AS reject_reason FROM r""")
+def ownership_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = order_documents(spark, sf_dir)
+    requests = documents.groupBy(F.col("user_id").alias("request_id")).agg(F.collect_list("document_id").alias("document_ids")).withColumn("user_id", F.col("request_id"))
+    return tables.ownership(requests, documents)
+
+
+@query("SELECT o_orderkey AS document_id, CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS value FROM orders")
+def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old = order_documents(spark, sf_dir).select("document_id", F.col("o_totalprice").alias("value"), F.lit(1).alias("version"))
+    new = old.filter("document_id % 3 = 0").select("document_id", (F.col("value") + 1).alias("value"), F.lit(2).alias("version"))
+    return tables.upsert(old, new, "document_id", "version").select("document_id", "value")
+
+
+@query("SELECT l_orderkey AS document_id, l_linenumber, CASE WHEN l_orderkey % 4 = 0 THEN 0 ELSE l_quantity END AS quantity FROM lineitem WHERE NOT (l_orderkey % 4 = 0 AND l_linenumber > 1)")
+def replace_by_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("document_id"), "l_linenumber", F.col("l_quantity").alias("quantity"))
+    new = old.filter("document_id % 4 = 0 and l_linenumber <= 1").withColumn("quantity", F.lit(0).cast(old.schema["quantity"].dataType))
+    return tables.replace_by_document(old, new, keys=old.filter("document_id % 4 = 0"))
+
+
+@query(f"SELECT l_orderkey AS document_id, count(*) AS n FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE {STATUS_SQL} = 'DELETED') GROUP BY 1")
+def cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("document_id"))
+    return tables.cascade(rows, order_documents(spark, sf_dir).filter("status = 'DELETED'")).groupBy("document_id").agg(F.count("*").alias("n"))
+
+
+@query("SELECT conv_id, count(*) AS n_messages, string_agg(role, ',' ORDER BY turn) AS roles, arg_min(text, turn) AS first_text FROM conversations GROUP BY 1")
+def session_nesting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("m"))
+    return c.select("conv_id", F.size("m").cast("long").alias("n_messages"), F.array_join(F.col("m.role"), ",").alias("roles"), F.col("m.text")[0].alias("first_text"))
+
+
+@query("SELECT source, count(*) AS n_documents, count(*) FILTER (length(text) > 0) AS n_text, sum(greatest(1, round_even(length(text) / 4.0, 0)::BIGINT))::BIGINT AS tokens FROM documents GROUP BY 1")
+def index_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    return d.groupBy("source").agg(F.count("*").alias("n_documents"), F.count_if(F.length("text") > 0).alias("n_text"), F.sum(text.token_estimate(F.length("text"))).alias("tokens"))
+
+
+@query("SELECT conv_id AS document_id, count(*) AS pages, count(*) FILTER (length(translate(text, ' ' || chr(10), '')) < 30) AS ocr_pages, count(*) FILTER (length(translate(text, ' ' || chr(10), '')) >= 30) AS native_pages FROM conversations GROUP BY 1")
+def processing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    short = F.length(F.translate("text", " \n", "")) < 30
+    return table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("document_id")).agg(F.count("*").alias("pages"), F.count_if(short).alias("ocr_pages"), F.count_if(~short).alias("native_pages"))
+
+
+__all__ = ["ORACLE_SQL", "QUERIES", "Window"]
