@@ -78,9 +78,9 @@ def resolve(claims_: DataFrame, pages: DataFrame) -> DataFrame:
     """
     keys = list(claims_.columns)
     c = claims_.withColumn("span", text.strip(F.coalesce("source_span", F.lit(""))))
-    p = pages.select("document_id", F.col("page_number").alias("pn"), F.coalesce("text", F.lit("")).alias("pt"))
+    p = pages.select(F.col("document_id").alias("pd"), F.col("page_number").alias("pn"), F.coalesce("text", F.lit("")).alias("pt"))
     proper = (F.col("page_start") >= 1) & (F.col("page_end") >= 1)
-    one = c.filter(proper & (F.col("page_start") == F.col("page_end"))).join(p, (c.document_id == p.document_id) & (F.col("page_start") == F.col("pn")), "left").drop(p.document_id)
+    one = c.filter(proper & (F.col("page_start") == F.col("page_end"))).join(p, (F.col("document_id") == F.col("pd")) & (F.col("page_start") == F.col("pn")), "left").drop("pd")
     found = F.col("found")
     one = one.withColumn("found", F.when((F.col("span") != "") & (text.strip(F.col("pt")) != ""), located(F.col("pt"), F.col("span"))))
     reason = (
@@ -95,7 +95,7 @@ def resolve(claims_: DataFrame, pages: DataFrame) -> DataFrame:
     fits = (F.col("page_end") > F.col("page_start")) & (F.col("page_end") - F.col("page_start") <= MAX_PAGE_RANGE)
     needed = F.when(fits, F.sequence("page_start", "page_end")).otherwise(F.array().cast("array<int>"))
     # an equi-join per needed page instead of a range join; at most 11 rows a claim
-    rows = wide.withColumn("need", F.explode_outer(needed)).join(p, (wide.document_id == p.document_id) & (F.col("need") == F.col("pn")), "left").drop(p.document_id)
+    rows = wide.withColumn("need", F.explode_outer(needed)).join(p, (F.col("document_id") == F.col("pd")) & (F.col("need") == F.col("pn")), "left").drop("pd")
     joined = rows.groupBy(*keys, "span").agg(F.sort_array(F.collect_list(F.when(F.col("pn").isNotNull(), F.struct("pn", "pt")))).alias("ps"), F.min(F.when(F.col("pn").isNull(), F.col("need"))).alias("absent"))
     joined = joined.withColumn("all", F.array_join(F.col("ps.pt"), "\n")).withColumn("ok", fits & F.col("absent").isNull())
     joined = joined.withColumn("found", F.when(F.col("ok") & (F.col("span") != ""), located(F.col("all"), F.col("span"))))

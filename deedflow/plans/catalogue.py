@@ -317,7 +317,7 @@ def contract_claims(pages: DataFrame) -> DataFrame:
 def cited_claims(pages: DataFrame) -> DataFrame:
     """Claims, those of every seventh document citing a wrong page and of every eleventh a missing one."""
     page = F.when(F.col("document_id") % 7 == 0, F.col("page_start") % 3 + 1).when(F.col("document_id") % 11 == 0, 9).otherwise(F.col("page_start")).cast("int")
-    return contract_claims(pages).withColumn("page_start", page).withColumn("page_end", page)
+    return contract_claims(pages).withColumns({"page_start": page, "page_end": page})
 
 
 @query(with_all("SELECT document_id, claim_type, claim_text, page_number AS page_start, source_span FROM claims").replace("\nSELECT document_id, claim_type", "," + CLAIMS_SQL + "\nSELECT document_id, claim_type"))
