@@ -69,7 +69,7 @@ def parts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 class WordTokens:
     """Token ids of words, each distinct one encoded once; holds at most ``most`` and then starts anew."""
 
-    def __init__(self, path: str, most: int = 800_000):
+    def __init__(self, path: str, most: int = 400_000):
         import os
 
         from tokenizers import Tokenizer
@@ -155,22 +155,27 @@ def token_pieces(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", te
                 place = (at[row] + begin) * 4
                 crc = [zlib.crc32(raw[a:z]) for a, z in zip(place.tolist(), (place + size * 4).tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + lo)), *[pa.array(x, pa.int64()) for x in (piece, begin, size, crc)]], schema.names)
+            tx.release()
 
     return d.mapInArrow(run, schema)
 
 
-def exact_combination(avail: np.ndarray, gap: int, most: int) -> tuple[int, ...] | None:
-    """One, two or three available lengths of at most ``most`` that sum to ``gap``, the largest first; none: None."""
+def exact_combination(avail: np.ndarray, gap: int, most: int, parts: int = 3) -> tuple[int, ...] | None:
+    """One to ``parts`` (3 at most) available lengths of at most ``most`` that sum to ``gap``, the largest first; none: None."""
+    if parts < 1:
+        return None
     top = min(most, gap)
     if gap <= most and avail[gap]:
         return (gap,)
+    if parts < 2:
+        return None
     here = avail[: top + 1] > 0
     for first in range(top, 0, -1):  # pairs: the longest first part
         if 2 * first < gap:
             break
         if here[first] and 0 < gap - first <= first and avail[gap - first] > (first == gap - first):
             return (first, gap - first)
-    lengths = np.flatnonzero(here)
+    lengths = np.flatnonzero(here) if parts > 2 else here[:0]
     for first in lengths[::-1]:
         rest = gap - int(first)
         if 3 * first < gap:
@@ -180,14 +185,30 @@ def exact_combination(avail: np.ndarray, gap: int, most: int) -> tuple[int, ...]
         second = lengths[(lengths <= min(first, rest - 1)) & (2 * lengths >= rest)]
         second = second[here[rest - second]]
         for s in second[::-1]:
-            parts = (int(first), int(s), rest - int(s))
-            if all(avail[x] >= parts.count(x) for x in parts):
-                return parts
+            three = (int(first), int(s), rest - int(s))
+            if all(avail[x] >= three.count(x) for x in three):
+                return three
     return None
 
 
 def plan(counts: np.ndarray, capacity: int) -> list[tuple[int, int, int, int, int]]:
-    """Rows (length, from rank, to rank, first sequence, offset) that place every piece, from counts per length."""
+    """Rows (length, from rank, to rank, first sequence, offset) that place every piece, from counts per length.
+
+    Exact combinations of up to three, two or one lengths are tried beside best fit alone; the fewest sequences win.
+    """
+    total = int(counts @ np.arange(capacity + 1))
+    best, fewest = [], None
+    for parts in (3, 2, 1, 0):
+        rows, sequences = exact_plan(counts, capacity, parts)
+        if fewest is None or sequences < fewest:
+            best, fewest = rows, sequences
+        if fewest == -(-total // capacity):
+            break
+    return best
+
+
+def exact_plan(counts: np.ndarray, capacity: int, parts: int) -> tuple[list[tuple[int, int, int, int, int]], int]:
+    """A plan from exact combinations of up to ``parts`` lengths, then best fit; and its number of sequences."""
     avail, used, rows, sequences = counts.astype(np.int64).copy(), np.zeros(capacity + 1, np.int64), [], 0
 
     def place(pattern: tuple[int, ...], times: int) -> None:
@@ -202,7 +223,7 @@ def plan(counts: np.ndarray, capacity: int) -> list[tuple[int, int, int, int, in
     for length in range(capacity, 0, -1):
         while avail[length]:
             avail[length] -= 1
-            rest = exact_combination(avail, capacity - length, length) if length < capacity else ()
+            rest = exact_combination(avail, capacity - length, length, parts) if length < capacity else ()
             avail[length] += 1
             if rest is None:
                 break
@@ -240,7 +261,7 @@ def plan(counts: np.ndarray, capacity: int) -> list[tuple[int, int, int, int, in
     for groups in bins.values():
         for pattern, times in groups:
             place(pattern, times)
-    return rows
+    return rows, sequences
 
 
 def pack(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text", max_tokens: int = 2048, end_id: int = 0, rows_per_bucket: int = 1_000) -> DataFrame:
