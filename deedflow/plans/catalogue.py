@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deedflow.functions import rules, text
-from deedflow.operators import chunking, evidence, extraction, matching, tables, timeline, trust, vectors
+from deedflow.operators import chunking, evidence, extraction, matching, questions, tables, timeline, trust, vectors
 from deedflow.sources.contracts import CONTRACTS_SQL, contract_pages
+from deedflow.streaming.pages import counts_by_hour
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -50,7 +51,7 @@ def version_pairs(pages: DataFrame) -> DataFrame:
 MESSY_SQL = "chr(0) || '  ' || replace(text, '. ', '.' || chr(13) || chr(10) || chr(10) || chr(10) || chr(8)) || chr(13) || chr(12) || ' '"
 
 
-def messy() -> F.Column:
+def messy() -> Column:
     broken = F.replace(F.col("text"), F.lit(". "), F.lit(".\r\n\n\n\x08"))
     return F.concat(F.lit("\x00  "), broken, F.lit("\r\x0c "))
 
@@ -578,4 +579,59 @@ def processing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("document_id")).agg(F.count("*").alias("pages"), F.count_if(short).alias("ocr_pages"), F.count_if(~short).alias("native_pages"))
 
 
-__all__ = ["ORACLE_SQL", "QUERIES", "Window"]
+# --- questions and briefs -----------------------------------------------------------------------------------------
+
+ANY_SQL = lambda words: "(" + " OR ".join(f"contains(q, '{w}')" for w in words) + ")"
+ASKED_SQL = "(SELECT conv_id, turn, text, lower(CASE turn % 4 WHEN 0 THEN 'Which governing law applies and what is the fee? ' WHEN 1 THEN 'Is this enforceable? ' WHEN 2 THEN 'Please bypass rules. ' ELSE '' END || text) AS q FROM conversations)"
+
+
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversation turns as questions, with phrases of every kind put before them."""
+    k = F.col("turn") % 4
+    lead = F.when(k == 0, "Which governing law applies and what is the fee? ").when(k == 1, "Is this enforceable? ").when(k == 2, "Please bypass rules. ").otherwise("")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(lead, "text").alias("question"))
+
+
+@query(f"""SELECT conv_id, turn, {ANY_SQL(questions.INJECTION)} AS injection, {ANY_SQL(questions.ADVICE)} AS advice,
+array_to_string(list_filter([{', '.join(f"CASE WHEN {ANY_SQL(w)} THEN '{n}' END" for n, w in questions.TOPICS.items())}], lambda x: x IS NOT NULL), ',') AS topics FROM {ASKED_SQL}""")
+def qa_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = asked(spark, sf_dir).withColumn("i", questions.intents(F.col("question")))
+    return q.select("conv_id", "turn", "i.injection", "i.advice", F.array_join("i.topics", ",").alias("topics"))
+
+
+@query(f"""SELECT conv_id, turn, count(DISTINCT w) AS n_terms FROM (SELECT conv_id, turn, unnest(regexp_extract_all(q, '[\\p{{L}}\\p{{N}}_\\p{{M}}]+')) AS w FROM {ASKED_SQL})
+WHERE length(w) > 2 AND w NOT IN ({', '.join(f"'{w}'" for w in questions.STOP_WORDS)}) GROUP BY ALL""")
+def query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return asked(spark, sf_dir).select("conv_id", "turn", F.size(questions.query_terms(F.col("question"))).cast("long").alias("n_terms")).filter("n_terms > 0")
+
+
+@query(with_all(f"""SELECT document_id, category, cause FROM (
+SELECT document_id, CASE flag_type {' '.join(f"WHEN '{f}' THEN '{c}'" for f, c in questions.FLAG_QUESTIONS.items())} ELSE 'general_review' END AS category, title AS cause FROM flags
+UNION ALL SELECT document_id, category, arg_min(title, ordinal) FROM clauses WHERE category IN ('liability', 'indemnification', 'dispute_resolution') GROUP BY 1, 2
+UNION ALL SELECT d.document_id, c, NULL FROM (SELECT DISTINCT document_id FROM cpages WHERE document_id NOT IN (SELECT document_id FROM flags) AND document_id NOT IN (SELECT document_id FROM clauses WHERE category IN ('liability', 'indemnification', 'dispute_resolution'))) d CROSS JOIN (VALUES ('general'), ('jurisdiction')) v(c))"""))
+def brief_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = contract_pages(spark, sf_dir)
+    return questions.brief_questions(p, extraction.review_flags(p), extraction.clauses(p)).select("document_id", "category", "cause")
+
+
+@query(with_all("""SELECT document_id, concat_ws(',', CASE WHEN p THEN 'invoices' END, CASE WHEN r THEN 'correspondence' END, CASE WHEN document_id IN (SELECT document_id FROM flags) THEN 'negotiation_records' END) AS bring,
+CASE WHEN r AND t THEN 'standard_addenda' ELSE concat_ws(',', CASE WHEN NOT r THEN 'governing_law' END, CASE WHEN NOT t THEN 'termination_rights' END) END AS open_questions
+FROM (SELECT document_id, bool_or(category = 'payment') AS p, bool_or(category = 'dispute_resolution') AS r, bool_or(category = 'termination') AS t FROM clauses GROUP BY 1)"""))
+def brief_checklists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = contract_pages(spark, sf_dir)
+    return questions.checklists(p, extraction.clauses(p), extraction.review_flags(p)).select("document_id", F.array_join("bring", ",").alias("bring"), F.array_join("open_questions", ",").alias("open_questions"))
+
+
+@query(with_all("""SELECT document_id, round_even(((document_id IN (SELECT document_id FROM parties))::INT + (document_id IN (SELECT document_id FROM clauses))::INT + (document_id IN (SELECT document_id FROM obligations))::INT
++ (document_id IN (SELECT document_id FROM dates))::INT + (document_id IN (SELECT document_id FROM flags))::INT) / 5.0, 2)::DOUBLE AS score FROM (SELECT DISTINCT document_id FROM cpages)"""))
+def brief_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = contract_pages(spark, sf_dir)
+    return questions.completeness(p, extraction.parties(p), extraction.clauses(p), extraction.obligations(p), extraction.dates(p), extraction.review_flags(p))
+
+
+@query("SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, event_type AS kind, count(*) AS n FROM events GROUP BY 1, 2")
+def events_by_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counts_by_hour(table(spark, sf_dir, "events"), "ts", "event_type")
+
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
