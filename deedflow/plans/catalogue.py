@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deedflow.functions import rules, text
-from deedflow.operators import chunking, evidence, extraction, matching, questions, tables, timeline, trust, vectors
+from deedflow.operators import answers, chunking, evidence, extraction, matching, questions, tables, timeline, trust, vectors
 from deedflow.sources.contracts import CONTRACTS_SQL, contract_pages
 from deedflow.streaming.pages import counts_by_hour
 
@@ -629,6 +629,41 @@ def brief_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return questions.completeness(p, extraction.parties(p), extraction.clauses(p), extraction.obligations(p), extraction.dates(p), extraction.review_flags(p))
 
 
+QUESTION_SQL = "CASE pair_id % 4 WHEN 0 THEN 'What is the payment, and the notice period?' WHEN 1 THEN 'Who are the parties?' WHEN 2 THEN 'Is this confidential, and is it enforceable?' ELSE 'When is delivery due?' END"
+
+
+def contract_questions(pages: DataFrame) -> DataFrame:
+    """One question per contract, of four kinds."""
+    k = F.col("pair_id") % 4
+    question = F.when(k == 0, "What is the payment, and the notice period?").when(k == 1, "Who are the parties?").when(k == 2, "Is this confidential, and is it enforceable?").otherwise("When is delivery due?")
+    return pages.filter("page_number = 1").select(F.col("document_id").alias("question_id"), "document_id", question.alias("question"))
+
+
+ANSWERS_SQL = f"""WITH {CONTRACTS_SQL},
+w AS (SELECT document_id, pair_id, max(CASE WHEN page_number = 1 THEN text END) AS p1, max(CASE WHEN page_number = 2 THEN text END) AS p2, max(CASE WHEN page_number = 3 THEN text END) AS p3 FROM cpages GROUP BY 1, 2),
+answers AS (
+  SELECT document_id, 'payment' AS topic, 2 AS page_start, trim(regexp_extract(p2, '(?i)([^.!?]*\\b(?:payment|fee|invoice|compensation|dollar)\\b[^.!?]*[.!?])', 1), ' ' || chr(10)) AS source_span FROM w WHERE pair_id % 4 = 0
+  UNION ALL SELECT document_id, 'termination', 3, trim(regexp_extract(p3, '(?i)([^.!?]*\\b(?:terminate|written notice)\\b[^.!?]*[.!?])', 1), ' ' || chr(10)) FROM w WHERE pair_id % 4 = 0
+  UNION ALL SELECT document_id, 'parties', 1, trim(regexp_extract(p1, '(?i)([^.!?]*\\b(?:entered into|between)\\b[^.!?]*[.!?])', 1), ' ' || chr(10)) FROM w WHERE pair_id % 4 = 1
+  UNION ALL SELECT document_id, 'confidentiality', 3, trim(regexp_extract(p3, '(?i)([^.!?]*\\b(?:confidential|proprietary|disclosure)\\b[^.!?]*[.!?])', 1), ' ' || chr(10)) FROM w WHERE pair_id % 4 = 2 AND regexp_matches(p3, '(?i)\\bconfidential\\b')
+  UNION ALL SELECT document_id, 'fallback', 2, 'Delivery.' FROM w WHERE pair_id % 4 = 3)"""
+
+
+@query(ANSWERS_SQL + " SELECT document_id AS question_id, topic, page_start, source_span FROM answers")
+def qa_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = contract_pages(spark, sf_dir)
+    asked_ = contract_questions(pages)
+    return answers.answer_claims(asked_, answers.first_pages(asked_, pages)).select("question_id", "topic", F.col("page_start").cast("long").alias("page_start"), "source_span")
+
+
+@query(ANSWERS_SQL + """ SELECT w.document_id AS question_id, (SELECT count(*) FROM answers a WHERE a.document_id = w.document_id) AS n_claims,
+CASE WHEN pair_id % 4 = 2 THEN 'PROFESSIONAL_REVIEW_NEEDED' ELSE 'DOCUMENT_FACT' END AS trust_tier, 1.0::DOUBLE AS coverage, (SELECT count(*) FROM answers a WHERE a.document_id = w.document_id) > 0 AS is_grounded FROM w""")
+def qa_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = contract_pages(spark, sf_dir)
+    asked_ = contract_questions(pages)
+    return answers.verdicts(asked_, answers.assessed_answers(asked_, answers.first_pages(asked_, pages), pages))
+
+
 @query("SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, event_type AS kind, count(*) AS n FROM events GROUP BY 1, 2")
 def events_by_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts_by_hour(table(spark, sf_dir, "events"), "ts", "event_type")
