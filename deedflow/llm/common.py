@@ -80,11 +80,16 @@ _SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once an application, so that tasks can import it on any cluster."""
+    """Send this package to the Python workers, once an application, so that tasks can import it on any cluster.
+
+    Whole texts travel in Arrow batches: unless the session sets their size, batches are kept to 2000 rows.
+    """
     import shutil
     from pathlib import Path
 
-    sc = spark.sparkContext
+    sc, rows = spark.sparkContext, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(rows) == "10000":
+        spark.conf.set(rows, "2000")
     if sc.applicationId not in _SHIPPED:
         package = Path(__file__).resolve().parents[1]
         into = tempfile.mkdtemp(prefix="deedflow-")

@@ -77,6 +77,7 @@ def sketch_table(rows: DataFrame, bands: int, picked: int) -> DataFrame:
                 sk = sketches(s, tx.labelled(s), bands, picked).view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, sk.size + 1, bands), pa.int32()), pa.array(sk.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(s.counts, pa.int32()), lists], schema.names)
+            tx.release()
 
     return rows.select("doc_id", "node", "text").mapInArrow(run, schema)
 
@@ -137,6 +138,7 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
                 some = batch.slice(lo, hi - lo)
                 sim = aligned(some.column(2), some.column(3), least)
                 yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(sim >= least), pa.array(sim)], ["a", "b", "near", "similarity"])
+            tx.release()
 
     return joined.mapInArrow(run, "a long, b long, near boolean, similarity double")
 

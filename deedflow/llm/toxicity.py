@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import textops as tx
 from .common import crc32_bucket, materialise, ship, unit_hash
 
 WORDS = re.compile(r"[^\W\d_]+")
@@ -61,7 +62,7 @@ class Lexicon:
     def match(self, word: str) -> tuple[int, ...]:
         got = self.known.get(word)
         if got is None:
-            if len(self.known) > 500_000:
+            if len(self.known) > 100_000:
                 self.known.clear()
             got = self.known[word] = tuple(self.number[e] for e in entries(word) if e in self.number)
         return got
@@ -239,6 +240,7 @@ def clean_documents(docs: DataFrame, model: ToxicityModel, *, text_col: str = "t
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array([shared.value.score(t.as_py()) < threshold for t in batch.column(place)], pa.bool_()))
+            tx.release()
 
     return docs.mapInArrow(run, docs.schema)
 
