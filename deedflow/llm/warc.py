@@ -53,7 +53,8 @@ def planned(pages: DataFrame, *, id_col: str = "page_id", payload_col: str = "ht
     large = rows.filter((F.col("bytes") >= revisit_from) & F.col("page_id").isNotNull()).select("page_id", "digest")
     groups = large.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first")
     groups = materialise(groups, "groups")
-    joined = rows.join(groups.hint("merge"), "digest", "left")
+    # no hint: the groups were written, so their size is known; payloads move only where it is too large to broadcast
+    joined = rows.join(groups, "digest", "left")
     refers = F.when((F.col("bytes") >= revisit_from) & F.col("page_id").isNotNull() & (F.col("first") < F.col("page_id")), F.col("first"))
     return joined.withColumn("refers_to", refers).withColumn("record_type", F.when(F.col("refers_to").isNull(), "response").otherwise("revisit")).drop("first")
 
