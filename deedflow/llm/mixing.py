@@ -91,7 +91,7 @@ def schedule(spark: SparkSession, catalogue: DataFrame, n_sources: int, n_slots:
 
 
 def mix_sources(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, limit: float = 2.0, block: int = 256, rows_per_bucket: int = 20_000
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, limit: float = 2.0, block: int = 256, rows_per_bucket: int = 1_000
 ) -> Mix:
     """Mix all documents: sources in code-point order weigh ``weights`` in turn and share ``share`` times all words.
 
