@@ -45,11 +45,16 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int, *, order: tuple[str, ...]
     """The ``k`` most similar rows (vector and key columns) of every query (query_id, query_vector[, ``within``]).
 
     The queries are a stated set of bounded size and are broadcast; partial limits come before the shuffle.
-    ``within`` names a column that must be equal, as a tenant.
+    ``within`` names a column of the rows, as a tenant: each of its values, null too, has its own ``k`` rows of every
+    query. Queries that have the column as well meet only rows of their own value.
     """
     if not 1 <= k <= 50:
         raise ValueError("k is 1 to 50")
-    joined = rows.join(F.broadcast(queries), within) if within else rows.crossJoin(F.broadcast(queries))
+    if within and within in queries.columns:
+        own = queries.withColumnRenamed(within, "__within")
+        joined = rows.join(F.broadcast(own), F.col(within).eqNullSafe(F.col("__within"))).drop("__within")
+    else:
+        joined = rows.crossJoin(F.broadcast(queries))
     scored = joined.withColumn("similarity", cosine(F.col("query_vector"), F.col("vector"))).drop("query_vector", "vector")
     if min_similarity is not None:
         scored = scored.filter(F.col("similarity") >= min_similarity)

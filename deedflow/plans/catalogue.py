@@ -178,13 +178,13 @@ def vector_topk_min_sim(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def chunk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Top chunks of every tenant for five query strings."""
+    """Top five chunks of every tenant for each of five query strings."""
     pages = document_pages(spark, sf_dir)
     made = chunking.chunks(pages).join(pages.select("document_id", "user_id"), "document_id").select("document_id", "chunk_index", "user_id", "text")
     indexed = vectors.term_vectors(made, id_cols=("document_id", "chunk_index", "user_id"))
     asked = spark.createDataFrame([(1, "the thing and the of"), (2, "que la de los"), (3, "der die und das"), (4, "all rights reserved"), (5, "apache license version")], "query_id int, text string")
     queries = vectors.term_vectors(asked, id_cols=("query_id",)).withColumnRenamed("vector", "query_vector")
-    found = vectors.top_k(queries, indexed, 5, order=("document_id", "chunk_index"))
+    found = vectors.top_k(queries, indexed, 5, order=("document_id", "chunk_index"), within="user_id")
     return found.select("query_id", "user_id", "document_id", "chunk_index", "rank", F.round("similarity", 6).alias("similarity"))
 
 
