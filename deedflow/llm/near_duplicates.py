@@ -1,29 +1,35 @@
 """Operator 4: near-duplicates by Order MinHash, verified by banded alignment.
 
-A text is its sequence of five-word shingles, each labelled with how often it
-stood before. For each of ``bands`` hash functions the ``picked`` smallest
-labelled shingles are taken and kept in text order: texts agree in a band only
-if they hold the same shingles in the same order, so agreement follows edit
-similarity. In every bucket a member chosen at random per band is the centre and
-all others are compared with it (a star, never all pairs); members that fail go
-to a narrower bucket with another sketch and another centre. A candidate pair is
-verified by aligning the labelled shingles within a band as wide as the
-similarity allows: similarity is aligned / (both lengths - aligned), 0.8 or more.
-Classes are the connected components of the verified pairs.
-
-Scale: equal texts are one before anything else. Sketches are made in one narrow
-pass; buckets are counted with map-side combining and joined with their centres,
-which splits a hot bucket; nothing is gathered per bucket.
+A text is its sequence of words; its k-mers are runs of two words, each labelled
+with how often it stood before. For each of ``bands`` hash functions the
+``picked`` smallest labelled k-mers are taken and kept in text order: texts agree
+in a band only if they hold the same k-mers in the same order, so agreement
+follows edit similarity. A candidate pair is verified by aligning its words
+within a band as wide as the similarity allows: similarity is
+1 - word edits / words of the longer text, 0.8 or more. Classes are the connected
+components of the verified pairs.
+
+Candidates: in every bucket a member chosen at random per band is the centre and
+all others are compared with it (a star, never all pairs). Where some fail, the
+bucket goes on, narrowed by another band's sketch, with a failed member as the
+next centre; members that matched stay in it as partners. This ends by itself,
+when no bucket holds a failed member and another one.
+
+Scale: sketches are made in one narrow pass over all rows (copies too: that costs
+less than moving texts to drop them first), and from there on equal texts are
+one. Buckets are counted with map-side combining, written, and joined with their
+centres, which splits a hot bucket; nothing is gathered per bucket. Only texts of
+candidates move, one row of each text.
 
 Defined cases: null and blank texts are near-duplicates of nothing and a class
-each; a text of one to four words is one shingle; null ids are classes by their
-text alike; repeated rows share a class; other columns are not read; an empty
-table gives none. The class id is the smallest document id of the class.
+each; a text of one word is one k-mer; null ids are classes by their text alike;
+repeated rows share a class; other columns are not read; an empty table gives
+none. The class id is the smallest document id of the class. Ties: equal k-mers
+are told apart by their label, equal hashes by their place.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -33,14 +39,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textops as tx
-from .common import materialise, ship
+from .common import materialise, ship, small, unused
 from .graph import components
 
-SHINGLE = 5
+#: Words of a k-mer.
+GRAM = 2
 
 
 def sketches(s: tx.Shingles, label: np.ndarray, bands: int, picked: int) -> np.ndarray:
-    """Order MinHash of every text, [texts, bands]; texts without a shingle get 0."""
+    """Order MinHash of every text, [texts, bands]; texts without a k-mer get 0."""
     counts, n = s.counts, len(s.first) - 1
     have = np.flatnonzero(counts)
     out = np.zeros((n, bands), np.uint64)
@@ -65,7 +72,7 @@ def sketches(s: tx.Shingles, label: np.ndarray, bands: int, picked: int) -> np.n
 
 
 def sketch_table(rows: DataFrame, bands: int, picked: int) -> DataFrame:
-    """(doc_id, node, n, sketch) of rows (doc_id, node, text): number of shingles and the Order MinHash per band."""
+    """(doc_id, node, n, sketch) of rows (doc_id, node, text): number of words and the Order MinHash per band."""
     ship(rows.sparkSession)
     schema = T.StructType([*rows.select("doc_id", "node").schema.fields, T.StructField("n", T.IntegerType()), T.StructField("sketch", T.ArrayType(T.LongType()))])
 
@@ -73,59 +80,75 @@ def sketch_table(rows: DataFrame, bands: int, picked: int) -> DataFrame:
         for batch in batches:
             data, offsets = tx.as_bytes(batch.column(2))
             for lo, hi in tx.spans(offsets):
-                s = tx.shingles(tx.words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]), SHINGLE)
+                w = tx.words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                s = tx.shingles(w, GRAM)
                 sk = sketches(s, tx.labelled(s), bands, picked).view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, sk.size + 1, bands), pa.int32()), pa.array(sk.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(s.counts, pa.int32()), lists], schema.names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(w.counts, pa.int32()), lists], schema.names)
             tx.release()
 
     return rows.select("doc_id", "node", "text").mapInArrow(run, schema)
 
 
-def longest_rise(values: np.ndarray) -> int:
-    """Length of the longest strictly rising subsequence."""
-    tails: list[int] = []
-    for v in values.tolist():
-        at = bisect_left(tails, v)
-        tails[at : at + 1] = [v]
-    return len(tails)
+def word_edits(a: list[int], b: list[int], most: int) -> int:
+    """Least number of inserted, deleted and replaced words between two lists, matching words within ``most`` places only.
 
-
-def aligned(left: pa.Array, right: pa.Array, least: float) -> np.ndarray:
-    """Similarity of each pair of texts: shingles aligned in order within the band over all their shingles.
-
-    The band is as wide as two texts of that similarity can drift apart. Pairs that cannot reach ``least``
-    are not aligned in full; theirs is an upper bound below ``least``.
+    Exact up to ``most``. Columns of the alignment are bit vectors of vertical differences (Myers 1999, Hyyro 2003).
     """
-    made = []
+    m = len(a)
+    if not m or not b:
+        return m + len(b)
+    places: dict[int, int] = {}
+    for i, word in enumerate(a):
+        places[word] = places.get(word, 0) | 1 << i
+    every, last = (1 << m) - 1, 1 << (m - 1)
+    band, narrow = (1 << (2 * most + 1)) - 1, m > most + 1
+    up, down, edits = every, 0, m
+    for j, word in enumerate(b):
+        match = places.get(word, 0)
+        if match and narrow:
+            match &= band << (j - most) if j >= most else band >> (most - j)
+        level = (((match & up) + up) ^ up) | match | down
+        right_down, right_up = up & level, down | (every & ~(up | level))
+        if right_up & last:
+            edits += 1
+        elif right_down & last:
+            edits -= 1
+        right_up, right_down = right_up << 1 | 1, right_down << 1
+        down = right_up & level & every
+        up = (right_down | ~(right_up | level)) & every
+    return edits
+
+
+def edit_similarity(left: pa.Array, right: pa.Array, least: float) -> np.ndarray:
+    """1 - word edits / words of the longer text, of each pair of texts.
+
+    Exact from ``least`` on. Pairs that share too few words to reach it are not aligned; theirs is a bound below it.
+    """
+    sides = []
     for col in (left, right):
         data, offsets = tx.as_bytes(col)
-        s = tx.shingles(tx.words(data, offsets), SHINGLE)
-        key = tx.mix(tx.labelled(s) ^ tx.mix(s.doc.astype(np.uint64) + tx.U64(7)))
-        made.append((s, key, np.arange(len(key)) - np.repeat(s.first[:-1], s.counts)))
-    (a, ka, pa_), (b, kb, pb) = made
-    order = np.argsort(kb)
-    sorted_b = kb[order]
-    at = np.minimum(np.searchsorted(sorted_b, ka), max(0, len(kb) - 1))
-    hit = np.flatnonzero(sorted_b[at] == ka) if len(kb) else np.zeros(0, np.int64)
-    pair, i, j = a.doc[hit], pa_[hit], pb[order[at[hit]]]
-    na, nb = a.counts, b.counts
-    drift = np.ceil((1 - least) / (1 + least) * (na + nb)).astype(np.int64)
-    near = np.abs(i - j) <= drift[pair]
-    pair, j = pair[near], j[near]
-    n = len(na)
-    matched = np.bincount(pair, minlength=n)
-    falls = np.zeros(n, bool)
-    if len(pair) > 1:
-        falls[pair[1:][(pair[1:] == pair[:-1]) & (j[1:] <= j[:-1])]] = True
-    first = np.searchsorted(pair, np.arange(n + 1))
-    for p in np.flatnonzero(falls & (matched >= least * (na + nb - matched))):
-        matched[p] = longest_rise(j[first[p] : first[p + 1]])
-    return matched / np.maximum(1, na + nb - matched)
+        sides.append(tx.words(data, offsets))
+    a, b = sides
+    longer = np.maximum(a.counts, b.counts)
+    ka, kb = (tx.mix(np.where((occ := tx.occurrence(w.hash, w.doc)) == 0, w.hash, tx.mix(w.hash + occ.astype(np.uint64))) ^ tx.mix(w.doc.astype(np.uint64) + tx.U64(7))) for w in sides)
+    shared = np.bincount(a.doc[np.isin(ka, kb)], minlength=len(longer))
+    out = np.where(longer > 0, shared / np.maximum(longer, 1), 1.0)
+    for p in np.flatnonzero(out >= least):
+        x, y = a.hash[a.first[p] : a.first[p + 1]], b.hash[b.first[p] : b.first[p + 1]]
+        n = min(len(x), len(y))
+        differ = x[:n] != y[:n]
+        head = int(differ.argmax()) if differ.any() else n
+        x, y, n = x[head:], y[head:], n - head
+        differ = x[len(x) - n :][::-1] != y[len(y) - n :][::-1]
+        tail = int(differ.argmax()) if differ.any() else n
+        most = int((1 - least) * longer[p] + 1e-9)
+        out[p] = 1 - word_edits(x[: len(x) - tail].tolist(), y[: len(y) - tail].tolist(), most) / max(1, longer[p])
+    return out
 
 
 def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) with a column ``near``: their texts are similar enough."""
+    """Pairs (a, b) with their similarity and a column ``near``: their texts are similar enough."""
     ship(texts.sparkSession)
     one = texts.select(F.col("node").alias("a"), F.col("text").alias("left"))
     two = texts.select(F.col("node").alias("b"), F.col("text").alias("right"))
@@ -136,47 +159,56 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
             _, offsets = tx.as_bytes(batch.column(2))
             for lo, hi in tx.spans(offsets):
                 some = batch.slice(lo, hi - lo)
-                sim = aligned(some.column(2), some.column(3), least)
+                sim = edit_similarity(some.column(2), some.column(3), least)
                 yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(sim >= least), pa.array(sim)], ["a", "b", "near", "similarity"])
             tx.release()
 
     return joined.mapInArrow(run, "a long, b long, near boolean, similarity double")
 
 
-def centred(members: DataFrame, least: float) -> DataFrame:
-    """(band, bucket, node, centre) of members (band, bucket, node, n) beside the bucket's centre, if lengths allow the similarity."""
-    rank = F.xxhash64("node", "band")
-    centre = members.groupBy("bucket").agg(F.min(F.struct(rank, F.col("node"), F.col("n"))).alias("c"), F.count("*").alias("size")).filter("size > 1")
-    centre = centre.select("bucket", F.col("c.node").alias("centre"), F.col("c.n").alias("centre_n"))
-    paired = members.join(centre.hint("merge"), "bucket").filter("node <> centre")
-    return paired.withColumn("possible", F.least("n", "centre_n") >= least * F.greatest("n", "centre_n"))
+def candidate_texts(pairs: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
+    """(node, text) of the texts in ``pairs``: of each the row of its smallest id, so that copies stay where they are."""
+    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = materialise(wanted.join(nodes.select("node", "least_id").hint("merge"), "node").select(F.col("node").alias("w_node"), F.col("least_id").alias("w_id")), "wanted")
+    same = (F.col("node") == F.col("w_node")) & F.col("doc_id").eqNullSafe(F.col("w_id"))
+    return materialise(rows.join(small(wanted, wanted.count()), same, "left_semi").select("node", "text").dropDuplicates(["node"]), "texts")
 
 
-def near_edges(nodes: DataFrame, rows: DataFrame, *, bands: int = 16, picked: int = 3, least: float = 0.8, rounds: int = 2) -> DataFrame:
-    """Verified pairs (a, b, similarity) of distinct texts: ``nodes`` (node, n, sketch), their texts somewhere in ``rows`` (node, text)."""
+def near_edges(nodes: DataFrame, rows: DataFrame, *, least: float = 0.8) -> DataFrame:
+    """Verified pairs (a, b, similarity) of distinct texts: ``nodes`` (node, n, sketch, least_id), their texts in ``rows`` (doc_id, node, text)."""
     place = F.posexplode("sketch").alias("band", "value")
-    members = nodes.select("node", "n", place).select("band", F.xxhash64("band", "value").alias("bucket"), "node", "n")
-    found = None
-    for turn in range(rounds):
-        stars = materialise(centred(members, least), "stars")
-        pairs = stars.filter("possible").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+    opened = nodes.filter("n > 0").select("node", "n", place).select("band", F.xxhash64("band", "value").alias("bucket"), "node", "n", F.lit(True).alias("open"))
+    found, turn = None, 0
+    while True:
+        rank = F.struct((~F.col("open")).alias("closed"), F.xxhash64("node", "band", F.lit(turn)).alias("h"), F.col("node"), F.col("n"))
+        centre = opened.groupBy("bucket").agg(F.min(rank).alias("c"), F.count("*").alias("size")).filter("size > 1 and not c.closed")
+        centre = materialise(centre.select("bucket", F.col("c.node").alias("centre"), F.col("c.n").alias("centre_n")), "centres")
+        if centre.isEmpty():
+            break
+        stars = materialise(opened.join(centre.hint("merge"), "bucket").filter("node <> centre"), "stars")
+        possible = F.least("n", "centre_n") >= least * F.greatest("n", "centre_n")
+        pairs = stars.filter(possible).select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
         if found is not None:
             pairs = pairs.join(found.select("a", "b").hint("merge"), ["a", "b"], "left_anti")
         pairs = materialise(pairs, "pairs")
-        wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        texts = materialise(rows.select("node", "text").join(wanted.hint("merge"), "node", "left_semi").dropDuplicates(["node"]), "texts")
-        new = materialise(verified(pairs, texts, least), "verified")
+        new = materialise(verified(pairs, candidate_texts(pairs, nodes, rows), least), "verified")
         found = new if found is None else found.unionByName(new)
-        if turn + 1 < rounds:
-            near = found.filter("near").select("a", "b")
-            left = stars.withColumn("a", F.least("node", "centre")).withColumn("b", F.greatest("node", "centre")).join(near.hint("merge"), ["a", "b"], "left_anti")
-            again = left.select("band", "bucket", "node", "n").join(nodes.select("node", "sketch").hint("merge"), "node")
-            other = F.element_at("sketch", (F.col("band") + 1 + turn) % bands + 1)
-            members = again.select("band", F.xxhash64("bucket", other).alias("bucket"), "node", "n")
+        near = found.filter("near").select("a", "b", F.lit(True).alias("near"))
+        judged = stars.withColumn("a", F.least("node", "centre")).withColumn("b", F.greatest("node", "centre")).join(near.hint("merge"), ["a", "b"], "left")
+        judged = materialise(judged.select("band", "bucket", "node", "n", (F.col("open") & F.col("near").isNull()).alias("open")), "judged")
+        alive = materialise(judged.groupBy("bucket").agg(F.bool_or("open").alias("some"), F.count("*").alias("size")).filter("some and size > 1").select("bucket"), "alive")
+        if alive.isEmpty():
+            break
+        again = judged.join(alive.hint("merge"), "bucket", "left_semi").join(nodes.select("node", "sketch").hint("merge"), "node")
+        other = F.element_at("sketch", (F.col("band") + 1 + turn) % F.size("sketch") + 1)
+        opened = materialise(again.select("band", F.xxhash64("bucket", other).alias("bucket"), "node", "n", "open"), "opened")
+        turn += 1
+    if found is None:
+        return rows.sparkSession.createDataFrame([], "a long, b long, similarity double")
     return found.filter("near").select("a", "b", "similarity")
 
 
-def near_duplicate_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", bands: int = 16, picked: int = 3, least: float = 0.8) -> DataFrame:
+def near_duplicate_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", bands: int = 24, picked: int = 3, least: float = 0.8) -> DataFrame:
     """(doc_id, node, root, class_id, class_size) of every row; rows of one class are copies or near copies of each other.
 
     ``node`` is the hash of the text, ``root`` names the class. ``class_id`` is the smallest id of the class (null if
@@ -186,11 +218,11 @@ def near_duplicate_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     sketched = materialise(sketch_table(rows, bands, picked), "sketches")
     nodes = sketched.filter("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("least_id"), F.count("*").alias("copies"))
     nodes = materialise(nodes, "nodes")
-    edges = near_edges(nodes.select("node", "n", "sketch"), rows, bands=bands, picked=picked, least=least)
-    roots = materialise(components(edges.select("a", "b")), "roots")
+    roots = materialise(components(near_edges(nodes, rows, least=least).select("a", "b")), "roots")
     named = nodes.select("node", "least_id", "copies").join(roots.hint("merge"), "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least_id", "copies")
-    classes = named.groupBy("root").agg(F.min("least_id").alias("class_id"), F.sum("copies").alias("class_size"))
-    member = named.select("node", "root").join(classes.hint("merge"), "root")
+    named = materialise(named, "named")
+    classes = materialise(named.groupBy("root").agg(F.min("least_id").alias("class_id"), F.sum("copies").alias("class_size")), "classes")
+    member = materialise(named.select("node", "root").join(classes.hint("merge"), "root"), "member")
     full = sketched.filter("n > 0").select("doc_id", "node").join(member.hint("merge"), "node").select("doc_id", "node", "root", "class_id", "class_size")
     alone = sketched.filter("n = 0").select("doc_id", "node", F.lit(None).cast("long").alias("root"), F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
     return full.unionByName(alone)
@@ -206,15 +238,17 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     classes = near_duplicate_classes(docs, id_col=id_col, text_col=text_col, **options)
     many = materialise(classes.filter("class_size > 1").select("root", "doc_id", "node"), "copies")
     rank = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("node"))
-    kept = many.groupBy("root").agg(F.min(rank).alias("r")).select("root", F.col("r.doc_id").alias("k_id"), F.col("r.node").alias("k_node"))
+    kept = materialise(many.groupBy("root").agg(F.min(rank).alias("r")).select("root", F.col("r.doc_id").alias("k_id"), F.col("r.node").alias("k_node")), "kept")
     fate = many.join(kept.hint("merge"), "root").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("node") == F.col("k_node")))
-    fate = materialise(fate.groupBy("doc_id", "node").agg(F.max("stays").alias("stays"), F.count("*").alias("rows")).select(F.col("doc_id").alias("__id"), F.col("node").alias("__node"), "stays", "rows"), "fate")
-    lost = fate.filter("not stays").select("__id", "__node")
-    again = materialise(fate.filter("stays and rows > 1").select("__id", "__node"), "again")
-    rows = docs.withColumn("__key", text_key(F.col(text_col)))
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__node"))
+    key, gone, copy = unused(docs, "__key", "__id", "__node")
+    fate = fate.groupBy("doc_id", "node").agg(F.max("stays").alias("stays"), F.count("*").alias("rows"))
+    fate = materialise(fate.select(F.col("doc_id").alias(gone), F.col("node").alias(copy), "stays", "rows"), "fate")
+    lost = fate.filter("not stays").select(gone, copy)
+    again = materialise(fate.filter("stays and rows > 1").select(gone, copy), "again")
+    rows = docs.withColumn(key, text_key(F.col(text_col)))
+    same = F.col(id_col).eqNullSafe(F.col(gone)) & (F.col(key) == F.col(copy))
     stay = rows.join(lost.hint("merge"), same, "left_anti")
     if again.isEmpty():
         return stay.select(*docs.columns)
-    first = stay.join(again.hint("merge"), same, "left_semi").dropDuplicates([id_col, "__key"])
+    first = stay.join(again.hint("merge"), same, "left_semi").dropDuplicates([id_col, key])
     return stay.join(again.hint("merge"), same, "left_anti").unionByName(first).select(*docs.columns)

@@ -130,19 +130,60 @@ def test_quality_expectation_maximisation(spark):
     assert all(abs(got[t] - x) < 1e-6 for t, x in zip(patterns, p, strict=True))
 
 
-def test_near_duplicates_match_all_pairs(spark):
+def word_edits(a: list, b: list) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def edited(words: list[str], n: int, r: random.Random) -> list[str]:
+    c = list(words)
+    for k in range(n):
+        at, what = r.randrange(max(1, len(c))), r.randrange(3)
+        c[at : at + (what != 0)] = [] if what == 1 else [f"edit{k}"]
+    return c
+
+
+def test_banded_word_edits():
+    r = random.Random(5)
+    for _ in range(500):
+        a = [r.randrange(5) for _ in range(r.randrange(30))]
+        b = edited(a, r.randrange(7), r) if a else [1, 2]
+        want = word_edits(a, b)
+        assert near_duplicates.word_edits(a, b, 60) == want
+        got = near_duplicates.word_edits(a, b, 5)
+        assert got == want if want <= 5 else got >= want
+
+
+def test_edit_similarity_is_exact_from_the_threshold():
+    r = random.Random(6)
+    left = some_texts(150, 6, most=80, vocabulary_size=30) + ["", "one", None]
+    right = [" ".join(edited(t.split(), r.randrange(20), r)) if t else "x" for t in left[:-3]] + ["", "one", ""]
+    got = near_duplicates.edit_similarity(pa.array(left), pa.array(right), 0.8)
+    for t, u, x in zip(left, right, got, strict=True):
+        a, b = (t or "").split(), (u or "").split()
+        want = 1 - word_edits(a, b) / max(1, len(a), len(b))
+        assert abs(x - want) < 1e-9 if want >= 0.8 else x < 0.8
+
+
+def test_near_duplicates_match_all_pairs_by_edits(spark):
     r = random.Random(8)
     texts = []
     for t in some_texts(40, 7, most=200):
         w = t.split()
         texts.append(t)
         for _ in range(r.randrange(4)):
-            c = list(w)
-            for _ in range(r.randrange(1 + len(w) // 50)):
-                c[r.randrange(len(c))] = "edit"
-            texts.append(" ".join(c))
+            texts.append(" ".join(edited(w, r.randrange(1 + len(w) // 12), r)) if w else t)
+    template = [f"t{k}" for k in range(100)]  # one template, every text far from it in its own way or near a sibling
+    for k in range(12):
+        own = [f"own{k}.{x}" if x % 4 == k % 4 else w for x, w in enumerate(template)]
+        texts += [" ".join(own), " ".join(edited(own, 6, r))]
+    texts += [texts[3], texts[3], "same words", "same words"]
     got = {x.doc_id: x.class_id for x in near_duplicates.near_duplicate_classes(table(spark, texts)).collect()}
-    grams = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := t.split()) else set() for t in texts]
     parent = list(range(len(texts)))
 
     def root(x):
@@ -150,9 +191,10 @@ def test_near_duplicates_match_all_pairs(spark):
             x = parent[x]
         return x
 
-    for a, b in itertools.combinations(range(len(texts)), 2):
-        if grams[a] and len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b]):
-            x, y = sorted((root(a), root(b)))
+    for (i, a), (j, b) in itertools.combinations(enumerate(t.split() for t in texts), 2):
+        n = max(len(a), len(b))
+        if a and b and min(len(a), len(b)) >= 0.8 * n and word_edits(a, b) <= 0.2 * n + 1e-9:
+            x, y = sorted((root(i), root(j)))
             parent[y] = x
     assert got == {i: root(i) for i in range(len(texts))}
 
