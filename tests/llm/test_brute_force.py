@@ -110,6 +110,55 @@ def test_quality_measures(spark):
         assert want == (got[i].n_words, got[i].word_chars, got[i].n_symbols, got[i].n_dup_lines, got[i].n_repeat_words)
 
 
+def test_quality_verdicts_recomputed(spark):
+    """Votes, posteriors and verdicts of whole documents, computed plainly; the posterior is not the all-must-pass verdict."""
+    r = random.Random(12)
+    words = ["river", "stone", "a", "the", "walked", "garden", "of", "window", "evening", "quiet", "to", "letters"]
+    texts = []
+    for k in range(240):
+        n = r.randrange(10, 140)
+        w = [r.choice(words) + r.choice(["", "", "s", "er", "ly"]) + (str(r.randrange(99)) if r.random() < 0.3 else "") for _ in range(n)]
+        w = [x.capitalize() if i % 12 == 0 else x + "." if i % 12 == 11 else x for i, x in enumerate(w)]
+        kind = k % 8
+        if kind == 0:
+            w = [x + "#$" if i % 2 else x for i, x in enumerate(w)]
+        elif kind == 1:
+            w = [x.upper() + "!!" for x in w]
+        elif kind == 2:
+            w = w[:9] * (n // 9 + 1)
+        elif kind == 3:
+            w = [x.replace(".", "") for x in w]  # only the sentences are odd
+        texts.append(" ".join(w) if kind != 4 else "\n".join(" ".join(w[i : i + 12]) for i in range(0, n, 12)))
+    got = {x.doc_id: x for x in quality.quality(table(spark, texts)).collect()}
+    votes, base = [], []
+    for i, t in enumerate(texts):
+        x, w = got[i], WORD.findall(t)
+        n, chars = len(w), max(1, sum(map(len, w)))
+        assert (x.n_distinct, x.dots, x.upper_chars, x.letters) == (len(set(w)), t.count("."), sum("A" <= c <= "Z" for c in t), sum(c.isalnum() for c in t))
+        lines = [y for y in t.split("\n") if WORD.search(y)]
+        dup, up, dots, letters, rep = len(lines) - len(set(lines)), x.upper_chars, x.dots, x.letters, x.n_repeat_words
+        both = [
+            (n < 20, n >= 50), (x.n_symbols > 0.05 * n, x.n_symbols <= 0.002 * n), (rep > 0.3 * n, rep <= 0.01 * n), (dup >= 3 and dup > 0.1 * len(lines), dup == 0 and len(lines) >= 3),
+            (up > 0.1 * chars, 0.002 * chars <= up <= 0.05 * chars), (letters < 0.9 * chars, letters >= 0.93 * chars), (chars < 4.2 * n or chars > 6.2 * n, 4.6 * n <= chars <= 5.8 * n),
+            (len(set(w)) < 0.3 * n and n < 5000, len(set(w)) >= 0.5 * n), (dots < 0.03 * n or dots > 0.22 * n, 0.04 * n <= dots <= 0.18 * n),
+        ]
+        votes.append([0 if bad else 1 if good else 2 for bad, good in both])
+        base.append(n < 20 or 100 * rep > 30 * n)
+    v = np.array(votes)
+    p = ((v == 1).sum(1) + 1) / ((v != 2).sum(1) + 2)
+    for _ in range(40):
+        logit = np.full(len(v), np.log((p.sum() + 0.5) / ((1 - p).sum() + 0.5)))
+        for j in range(v.shape[1]):
+            for k in (0, 1, 2):
+                m = v[:, j] == k
+                logit[m] += np.log((p[m].sum() + 0.5) / (p.sum() + 1.5)) - np.log(((1 - p)[m].sum() + 0.5) / ((1 - p).sum() + 1.5))
+        p = 1 / (1 + np.exp(-np.clip(logit, -40, 40)))
+    for i, (q, b) in enumerate(zip(p, base, strict=True)):
+        assert abs(got[i].quality - q) < 1e-6 and got[i].base_failed == b and got[i].kept == (not b and q >= 0.5)
+    one_bad = [i for i in range(len(texts)) if (v[i] == 0).any() and not base[i]]
+    assert any(got[i].kept for i in one_bad) and any(not got[i].kept for i in one_bad)
+
+
 def test_quality_expectation_maximisation(spark):
     rules = len(quality.rules())
     r = random.Random(4)
@@ -118,11 +167,11 @@ def test_quality_expectation_maximisation(spark):
     df = spark.createDataFrame([(list(p), c) for p, c in zip(patterns, n, strict=True)], "votes array<int>, n long")
     got = {tuple(x.votes): x.quality for x in quality.posteriors(df, rounds=12).collect()}
     v, n = np.array(patterns), np.array(n, float)
-    p = np.where((v == 0).any(1), 0.1, 0.9)
+    p = ((v == 1).sum(1) + 1) / ((v != 2).sum(1) + 2)
     for _ in range(12):
         logit = np.log((n @ p + 0.5) / (n @ (1 - p) + 0.5)) + np.zeros(len(p))
         for j in range(rules):
-            for k in (0, 1):
+            for k in (0, 1, 2):
                 m = v[:, j] == k
                 odds = np.log((n[m] @ p[m] + 0.5) / (n @ p + 1.5)) - np.log((n[m] @ (1 - p[m]) + 0.5) / (n @ (1 - p) + 1.5))
                 logit[m] += odds
