@@ -6,6 +6,8 @@ frac(i * golden ratio); the point's place among the cumulative target weights
 names the source, and the slot's rank among that source's slots names the block
 it plays. Any stretch of the schedule therefore holds each source in nearly its
 target share. A source that needs more words than it has starts its line again.
+The mix is the schedule's order: a document comes where the first slot that plays
+it comes, and ``mixed_documents`` writes rows in that order.
 
 Scale: texts are read once, for a narrow table of sizes. Positions in a line and
 ranks in the schedule are two-level prefix sums (sub-buckets of a bounded row
@@ -14,17 +16,20 @@ no single task. Only the catalogue of sources (one row each) is sorted whole.
 
 Defined cases: null or blank texts have size 0 and are never taken; a null
 source is a source of its own, last in order; null ids and repeated rows are
-rows like others; other columns are not read; an empty table gives an empty mix.
+rows like others (which of two equal rows comes first is left open); ties of the
+shuffle are ordered by text hash and id; other columns are not read; an empty
+table gives an empty mix.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import copy_number, materialise, small, unit_hash, word_count
+from .common import SEPARATORS, copy_number, materialise, small, unit_hash, unused, word_count
 
 GOLDEN = 0.6180339887498949
 #: frac(2**20 * golden ratio), so that large slot numbers keep their precision.
@@ -60,8 +65,14 @@ def targets(sized: DataFrame, weights: tuple[float, ...], share: float, limit: f
     return filled.withColumn("target", F.least(F.coalesce(level * F.col("weight"), F.col("cap")), F.col("cap"))).select("sid", "source", "weight", "source_size", "n_rows", "target")
 
 
-def schedule(spark: SparkSession, catalogue: DataFrame, n_sources: int, n_slots: int, chunk: int = 1 << 14) -> DataFrame:
-    """Slots (slot, sid, rank): golden-ratio points through the cumulative block counts, ranked per source.
+def golden_point(slot: Column) -> Column:
+    """frac(slot * golden ratio), exact enough for any slot number."""
+    low, high = slot % (1 << 20), F.floor(slot / (1 << 20))
+    return (low * GOLDEN + high * GOLDEN_HIGH % 1.0) % 1.0
+
+
+def schedule(spark: SparkSession, catalogue: DataFrame, n_sources: int, n_slots: int, chunk: int = 1 << 14, point: Callable[[Column], Column] = golden_point) -> DataFrame:
+    """Slots (slot, sid, rank): low-discrepancy points through the cumulative block counts, ranked per source.
 
     Each source gets exactly its ``n_blocks``: points beyond that are skipped, and what is missing (a few
     blocks) follows at the end.
@@ -72,9 +83,7 @@ def schedule(spark: SparkSession, catalogue: DataFrame, n_sources: int, n_slots:
     cells = max(1, 4 * n_sources)
     held = bounds.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") * cells), F.least(F.floor(F.col("hi") * cells), F.lit(cells - 1)))))
     i = F.col("slot")
-    low, high = i % (1 << 20), F.floor(i / (1 << 20))
-    point = (low * GOLDEN + high * GOLDEN_HIGH % 1.0) % 1.0
-    points = spark.range(n_slots).withColumnRenamed("id", "slot").withColumn("u", point).withColumn("cell", F.floor(F.col("u") * cells))
+    points = spark.range(n_slots).withColumnRenamed("id", "slot").withColumn("u", point(i)).withColumn("cell", F.floor(F.col("u") * cells))
     named = points.join(small(held, 5 * n_sources), "cell").filter("u >= lo and u < hi").select("slot", "sid", F.floor(i / chunk).alias("chunk"))
     per_chunk = named.groupBy("sid", "chunk").agg(F.count("*").alias("n"))
     base = per_chunk.withColumn("base", F.sum("n").over(Window.partitionBy("sid").orderBy("chunk")) - F.col("n")).drop("n")
@@ -91,12 +100,14 @@ def schedule(spark: SparkSession, catalogue: DataFrame, n_sources: int, n_slots:
 
 
 def mix_sources(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, limit: float = 2.0, block: int = 256, rows_per_bucket: int = 1_000
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, limit: float = 2.0, block: int = 256, rows_per_bucket: int = 1_000,
+    point: Callable[[Column], Column] = golden_point,
 ) -> Mix:
     """Mix all documents: sources in code-point order weigh ``weights`` in turn and share ``share`` times all words.
 
     ``pieces`` says, per slot, which words (``start``, ``length``) of which document it plays, and in which round
-    of its source (``epoch``). Documents are cut only at block ends. The same input gives the same mix.
+    of its source (``epoch``). Documents are cut only at block ends. The same input gives the same mix. ``point`` names
+    the schedule's point of a slot in [0, 1).
     """
     spark = docs.sparkSession
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text"))
@@ -111,7 +122,7 @@ def mix_sources(
     inner = Window.partitionBy("sid", "bucket").orderBy("u", "text_hash", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = bucketed.withColumn("upto", F.sum("size").over(inner)).join(base.hint("merge"), ["sid", "bucket"]).withColumn("line_start", F.col("base") + F.col("upto") - F.col("size"))
     placed = materialise(placed.select("doc_id", "source", "text_hash", "sid", "size", "source_size", "target", "words", "n_blocks", "line_start"), "placed")
-    slots = schedule(spark, catalogue, n_sources, n_slots)
+    slots = schedule(spark, catalogue, n_sources, n_slots, point=point)
     rounds = placed.filter("size > 0 and words > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.floor((F.col("words") - 1) / F.col("source_size")).cast("int"))))
     rounds = rounds.withColumn("a", F.col("epoch") * F.col("source_size") + F.col("line_start")).filter("a < words")
     rounds = rounds.withColumn("z", F.least(F.col("a") + F.col("size"), F.col("words")))
@@ -123,24 +134,42 @@ def mix_sources(
     return Mix(placed, slots, pieces)
 
 
-def mixed_documents(docs: DataFrame, mixed: Mix, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", length_col: str = "n_chars") -> DataFrame:
-    """The mix as documents: a row for each document and round it is taken in, its text the words taken, other columns as they were.
+def taken_documents(mixed: Mix) -> DataFrame:
+    """(doc_id, source, size, source_size, target, taken, first_slot, slots): a row per document, how many words the mix takes, and where.
+
+    ``first_slot`` is the first slot of the schedule that plays the document (null: none does), ``slots`` how many do.
+    """
+    played = mixed.pieces.groupBy("sid", "line_start").agg(F.sum("length").alias("taken"), F.min("slot").alias("first_slot"), F.count("*").alias("slots"))
+    zero = F.lit(0).cast("long")
+    filled = mixed.placed.filter("size > 0").join(played.hint("merge"), ["sid", "line_start"], "left").withColumns({c: F.coalesce(c, zero) for c in ("taken", "slots")})
+    blank = mixed.placed.filter("size = 0").withColumns({"taken": zero, "first_slot": F.lit(None).cast("long"), "slots": zero})
+    columns = ["doc_id", "source", "size", "source_size", "target", "taken", "first_slot", "slots"]
+    return filled.select(*columns).unionByName(blank.select(*columns))
+
+
+def mixed_documents(docs: DataFrame, mixed: Mix, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", length_col: str = "n_chars", rows_per_part: int = 10_000) -> DataFrame:
+    """The mix as documents, in the schedule's order: a row for each document and round it is taken in, its text the words taken, other columns as they were.
 
     Whole documents keep their text as it is; a document cut at the mix's end keeps its first words joined by spaces.
+    Partitions are stretches of the schedule, in order, and so are the files written from them.
     """
-    keys = ["__id", "__hash", "__source"]
-    keyed = docs.withColumn("__id", F.col(id_col)).withColumn("__hash", F.xxhash64(text_col)).withColumn("__source", F.col(source_col).cast("string"))
-    keyed = copy_number(keyed, keys, "__copy")
+    own, text_hash, own_source, copy_no = keys = unused(docs, "__id", "__hash", "__source", "__copy")
+    keyed = docs.withColumn(own, F.col(id_col)).withColumn(text_hash, F.xxhash64(text_col)).withColumn(own_source, F.col(source_col).cast("string"))
+    keyed = copy_number(keyed, keys[:3], copy_no)
     same = Window.partitionBy("doc_id", "text_hash", "source").orderBy("line_start")
     copies = mixed.placed.filter("size > 0").select("sid", "line_start", "doc_id", "text_hash", "source").withColumn("copy", F.row_number().over(same)).select("sid", "line_start", "copy")
-    taken = mixed.pieces.groupBy("sid", "line_start", "epoch", "doc_id", "text_hash", "source", "size").agg(F.sum("length").alias("taken")).join(copies.hint("merge"), ["sid", "line_start"])
-    taken = materialise(taken.select(*[F.col(c).alias(f"__t_{c}") for c in ("doc_id", "text_hash", "source", "copy", "size", "taken")]), "taken")
-    same_row = (
-        F.col("__id").eqNullSafe(F.col("__t_doc_id")) & (F.col("__hash") == F.col("__t_text_hash")) & F.col("__source").eqNullSafe(F.col("__t_source")) & (F.col("__copy") == F.col("__t_copy"))
-    )
-    words = F.split(F.btrim(F.col(text_col), F.lit(" \t\n\x0b\f\r")), r"[\x20\x09-\x0D]+")
-    text = F.when(F.col("__t_taken") == F.col("__t_size"), F.col(text_col)).otherwise(F.array_join(F.slice(words, 1, F.col("__t_taken").cast("int")), " "))
+    taken = mixed.pieces.groupBy("sid", "line_start", "epoch", "doc_id", "text_hash", "source", "size").agg(F.sum("length").alias("taken"), F.min("slot").alias("slot")).join(copies.hint("merge"), ["sid", "line_start"])
+    fields = ("doc_id", "text_hash", "source", "copy", "size", "taken", "slot")
+    names = dict(zip(fields, unused(docs, *[f"__t_{c}" for c in fields]), strict=True))
+    taken = materialise(taken.select(*[F.col(c).alias(names[c]) for c in fields]), "taken")
+    n, last = taken.agg(F.count("*"), F.coalesce(F.max(names["slot"]), F.lit(0))).first()
+    t = {c: F.col(names[c]) for c in fields}
+    same_row = F.col(own).eqNullSafe(t["doc_id"]) & (F.col(text_hash) == t["text_hash"]) & F.col(own_source).eqNullSafe(t["source"]) & (F.col(copy_no) == t["copy"])
+    words = F.split(F.btrim(F.col(text_col), F.lit(SEPARATORS)), r"[\x20\x09-\x0D]+")
+    text = F.when(t["taken"] == t["size"], F.col(text_col)).otherwise(F.array_join(F.slice(words, 1, t["taken"].cast("int")), " "))
     out = keyed.join(taken.hint("merge"), same_row).withColumn(text_col, text)
     if length_col in docs.columns:
         out = out.withColumn(length_col, F.length(text_col).cast(docs.schema[length_col].dataType))
-    return out.select(*docs.columns)
+    parts = max(1, -(-n // rows_per_part))
+    ordered = out.repartitionById(parts, F.floor(t["slot"] * parts / (last + 1)).cast("int")).sortWithinPartitions(names["slot"], own, copy_no)
+    return ordered.select(*docs.columns)

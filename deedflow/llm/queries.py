@@ -23,12 +23,7 @@ def vocabulary() -> str:
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix_sources(documents(spark, sf_dir))
-    taken = mixed.pieces.groupBy("sid", "line_start").agg(F.sum("length").alias("taken"))
-    filled = mixed.placed.filter("size > 0").join(taken.hint("merge"), ["sid", "line_start"], "left")
-    columns = ["doc_id", "source", "size", "source_size", "target", "taken"]
-    blank = mixed.placed.filter("size = 0").withColumn("taken", F.lit(0).cast("long"))
-    return filled.withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long")).select(*columns).unionByName(blank.select(*columns))
+    return mixing.taken_documents(mixing.mix_sources(documents(spark, sf_dir))).select("doc_id", "size", "source_size", "target", "taken", "source", "first_slot", "slots")
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -73,6 +73,53 @@ def test_mixing_meets_targets(spark):
     assert abs(half.count(0) - share * len(half)) <= 4
 
 
+def test_mix_recomputed_from_the_schedule(spark):
+    """What every slot plays, computed plainly from the shuffled lines; another schedule gives another mix."""
+    texts = some_texts(120, 21)
+    sources = [f"s{i % 3}" for i in range(120)]
+    docs = table(spark, texts, sources)
+    mixed = mixing.mix_sources(docs, block=32, rows_per_bucket=20)
+    placed, lines = mixed.placed.orderBy("sid", "line_start", "size").collect(), {}
+    for r in placed:
+        line = lines.setdefault(r.sid, [])
+        assert len(line) == r.line_start
+        line += [r.doc_id] * r["size"]
+    words = {r.sid: r.words for r in placed}
+    played, first, cursor = {}, {}, {}
+    for r in mixed.slots.orderBy("slot").collect():
+        assert cursor.get(r.sid, 0) == r["rank"]  # ranks follow the slots
+        cursor[r.sid] = r["rank"] + 1
+        for w in range(32 * r["rank"], min(32 * r["rank"] + 32, words[r.sid])):
+            doc = lines[r.sid][w % len(lines[r.sid])]
+            played[doc] = played.get(doc, 0) + 1
+            first.setdefault(doc, r.slot)
+    got = {r.doc_id: r for r in mixing.taken_documents(mixed).collect()}
+    assert {i: (played.get(i, 0), first.get(i)) for i in range(120)} == {i: (r.taken, r.first_slot) for i, r in got.items()}
+    point = lambda slot: F.reverse(F.lpad(F.bin(slot), 20, "0"))
+    van_der_corput = lambda slot: F.conv(point(slot), 2, 10).cast("double") / (1 << 20)
+    other = {r.doc_id: r for r in mixing.taken_documents(mixing.mix_sources(docs, block=32, rows_per_bucket=20, point=van_der_corput)).collect()}
+    assert {i: r.taken for i, r in other.items()} == {i: r.taken for i, r in got.items()}
+    assert sum(other[i].first_slot != got[i].first_slot for i in range(120)) > 60
+
+
+def test_mixed_documents_follow_the_schedule(spark, tmp_path):
+    texts, r = some_texts(600, 22), random.Random(3)
+    sources = [r.choice(["a", "a", "a", "b", "c"]) for _ in range(600)]
+    docs = table(spark, texts, sources)
+    mixed = mixing.mix_sources(docs, block=32)
+    mixing.mixed_documents(docs, mixed, rows_per_part=100).write.parquet(f"{tmp_path}/mix")
+    rows = [x for p in sorted((tmp_path / "mix").glob("part-*.parquet")) for x in spark.read.parquet(str(p)).collect()]
+    n = [len(x.text.split()) for x in rows]
+    whole = {s: sum(k for k, x in zip(n, rows, strict=True) if x.source == s) / sum(n) for s in "abc"}
+    for share in (0.1, 0.25, 0.5, 0.75):  # any beginning of the mix holds the sources in nearly their shares
+        upto, some = 0, {s: 0 for s in "abc"}
+        for k, x in zip(n, rows, strict=True):
+            upto, some[x.source] = upto + k, some[x.source] + k
+            if upto >= share * sum(n):
+                break
+        assert all(abs(some[s] / upto - whole[s]) < 0.05 for s in "abc")
+
+
 def test_label_model_finds_accuracies():
     r = np.random.default_rng(3)
     y = r.random(3000) < 0.3
