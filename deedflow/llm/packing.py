@@ -1,27 +1,32 @@
 """Operator 9: pack token pieces into sequences by exact-complement hashing.
 
-Documents are tokenized word by word (each distinct word once per worker) and
-only documents longer than a sequence are cut. The plan works on counts per
-piece length, so it is as large as the sequence length allows whatever the
-corpus holds: for each length, from the longest, the gap to a full sequence is
-looked up among the available single lengths, sums of two and sums of three; a
-combination is consumed as often as its counts allow. What finds no exact
-partner goes to the bin with the least room that holds it (best fit). Pieces are
-then numbered within their length and take the place the plan gives that number.
+Documents are tokenized and only documents longer than a sequence are cut. The
+plan works on counts per piece length, so it is as large as the sequence length
+allows whatever the corpus holds: a sequence starts with the longest piece left,
+and the gap it leaves is looked up among the available single lengths, sums of two
+and sums of three; a combination that fills it exactly is consumed as often as its
+counts allow. A gap without an exact combination takes the best fit, the largest
+sum that goes in, and so on until nothing does. Pieces are then numbered within
+their length and take the place the plan gives that number.
+
+Tokenizing: with the vocabulary's known normalizer and pre-tokenizer, words are
+split in numpy and each distinct one is encoded once a worker; any other
+vocabulary encodes whole texts with its own library.
 
 Scale: one pass over the texts into a narrow table of pieces; numbering is a
 two-level count (a length that holds a third of all pieces is many tasks); the
 plan, a few thousand rows bounded by the sequence length, is broadcast.
 
 Defined cases: a null, empty or blank text is the end token alone; null ids and
-repeated rows are packed like others; other columns are not read; an empty table
-gives no pieces.
+repeated rows are packed like others (which of two equal pieces comes first is
+left open); other columns are not read; an empty table gives no pieces.
 """
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
-from bisect import bisect_left, insort
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -33,6 +38,20 @@ from pyspark.sql import types as T
 from . import textops as tx
 from .common import materialise, ship, unit_hash
 
+#: What of a vocabulary file ``WordTokens`` relies on.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}
+#: Words that are one run of the pre-tokenizer and normal already.
+SIMPLE = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
+
+
+def byte_signs() -> dict[int, str]:
+    """Code point of a byte -> the sign that stands for it in byte-level vocabularies: itself if printable, else one from 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
 def parts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Lower-cased bytes and the runs of them (start, end, first run of each text) that a vocabulary of words encodes alone.
 
@@ -66,39 +85,70 @@ def parts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return lower, start, end, np.searchsorted(start, offsets)
 
 
-class WordTokens:
-    """Token ids of words, each distinct one encoded once; holds at most ``most`` and then starts anew."""
+class LibraryTokens:
+    """Token ids of whole texts by the vocabulary's own library."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str):
         import os
 
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.tokenizer = Tokenizer.from_file(path)
+
+    def texts(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        raw = data.tobytes()
+        ids = [[*self.tokenizer.encode(raw[a:z].decode(), add_special_tokens=False).ids, end_id] for a, z in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+        at = np.concatenate([[0], np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))]).astype(np.int64)
+        return np.fromiter((i for x in ids for i in x), np.uint32, int(at[-1])), at
+
+
+class WordTokens(LibraryTokens):
+    """Token ids of words, each distinct one encoded once; holds at most ``most`` and then starts anew.
+
+    Runs of texts that spell a special token are left to the library.
+    """
+
+    def __init__(self, path: str, most: int = 400_000):
+        super().__init__(path)
+        self.most, self.signs = most, byte_signs()
+        self.special = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.forget()
 
+    @staticmethod
+    def suits(path: str) -> bool:
+        """Whether the vocabulary splits and folds words as this class does."""
+        with open(path, encoding="utf-8") as f:
+            known = json.load(f)
+        steps = (known.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        split = [(x.get("type"), x.get("pattern"), x.get("behavior"), x.get("invert"), x.get("add_prefix_space"), x.get("use_regex")) for x in steps]
+        wanted = [("Split", SPLIT, "Removed", True, None, None), ("ByteLevel", None, None, None, False, False)]
+        return known.get("normalizer") == NORMALIZER and split == wanted and known.get("model", {}).get("type") == "BPE"
+
     def forget(self) -> None:
         self.slot: dict[int, int] = {}
         self.start, self.size, self.flat, self.kept = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32), 0
 
     def learn(self, hashes: list[int], found: list[str]) -> None:
-        flat, size = [], []
-        for lo in range(0, len(found), 4000):
-            some = found[lo : lo + 4000]
-            e = self.tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
-            flat.append(np.array(e.ids, np.uint32))
-            size.append(np.bincount(np.array(e.word_ids, np.int64), minlength=len(some)))
-        ids, sizes = np.concatenate(flat), np.concatenate(size)
+        one = self.tokenizer.model.tokenize
+        ids: list[list[int]] = []
+        for word in found:
+            if SIMPLE.fullmatch(word):
+                ids.append([t.id for t in one(word if word.isascii() else word.encode().decode("latin-1").translate(self.signs))])
+            else:  # whatever the pre-tokenizer may split or fold
+                ids.append(self.tokenizer.encode(word, add_special_tokens=False).ids)
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum()))
         n, k = len(self.slot), len(found)
         while n + k > len(self.start):
             self.start, self.size = np.concatenate([self.start, self.start * 0]), np.concatenate([self.size, self.size * 0])
-        while self.kept + len(ids) > len(self.flat):
+        while self.kept + len(flat) > len(self.flat):
             self.flat = np.concatenate([self.flat, self.flat * 0])
         self.start[n : n + k] = self.kept + np.cumsum(sizes) - sizes
         self.size[n : n + k] = sizes
-        self.flat[self.kept : self.kept + len(ids)] = ids
-        self.kept += len(ids)
+        self.flat[self.kept : self.kept + len(flat)] = flat
+        self.kept += len(flat)
         self.slot.update(zip(hashes, range(n, n + k), strict=True))
 
     def texts(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -107,6 +157,9 @@ class WordTokens:
         lower, start, end, first = parts(data, offsets) if len(data) else (data, offsets[:0], offsets[:0], offsets)
         if len(start) == 0:
             return np.full(n, end_id, np.uint32), np.arange(n + 1)
+        raw = lower.tobytes()
+        if any(x in raw for x in self.special):
+            return super().texts(data, offsets, end_id)
         distinct, at, back = np.unique(tx.run_hashes(lower, start, end), return_index=True, return_inverse=True)
         keys = distinct.tolist()
         if len(self.slot) + len(keys) > self.most and self.slot:
@@ -114,7 +167,6 @@ class WordTokens:
         slots = [self.slot.get(h, -1) for h in keys]
         new = [i for i, s in enumerate(slots) if s < 0]
         if new:
-            raw = lower.tobytes()
             self.learn([keys[i] for i in new], [raw[a:z].decode() for a, z in zip(start[at[new]].tolist(), end[at[new]].tolist(), strict=True)])
             slots = [self.slot[h] for h in keys]
         slot = np.array(slots)[back]
@@ -130,7 +182,14 @@ class WordTokens:
         return out, np.concatenate([[0], ends + 1])
 
 
-_LOADED: dict[str, WordTokens] = {}
+_LOADED: dict[str, WordTokens | LibraryTokens] = {}
+
+
+def loaded(vocabulary: str) -> WordTokens | LibraryTokens:
+    """The tokens of a vocabulary file, read once a worker."""
+    if vocabulary not in _LOADED:
+        _LOADED[vocabulary] = (WordTokens if WordTokens.suits(vocabulary) else LibraryTokens)(vocabulary)
+    return _LOADED[vocabulary]
 
 
 def token_pieces(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text", max_tokens: int = 2048, end_id: int = 0) -> DataFrame:
@@ -140,7 +199,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", te
     schema = T.StructType([T.StructField("doc_id", d.schema["doc_id"].dataType), *[T.StructField(c, T.LongType()) for c in ("piece", "start", "length", "ids_crc32")]])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = _LOADED.get(vocabulary) or _LOADED.setdefault(vocabulary, WordTokens(vocabulary))
+        tokens = loaded(vocabulary)
         for batch in batches:
             data, offsets = tx.as_bytes(batch.column(1))
             for lo, hi in tx.spans(offsets):
@@ -160,108 +219,77 @@ def token_pieces(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", te
     return d.mapInArrow(run, schema)
 
 
-def exact_combination(avail: np.ndarray, gap: int, most: int, parts: int = 3) -> tuple[int, ...] | None:
-    """One to ``parts`` (3 at most) available lengths of at most ``most`` that sum to ``gap``, the largest first; none: None."""
-    if parts < 1:
-        return None
+def exact_combination(avail: np.ndarray, gap: int, most: int) -> tuple[int, ...] | None:
+    """One to three available lengths of at most ``most`` that sum to ``gap``, the largest first; none: None."""
     top = min(most, gap)
     if gap <= most and avail[gap]:
         return (gap,)
-    if parts < 2:
-        return None
     here = avail[: top + 1] > 0
-    for first in range(top, 0, -1):  # pairs: the longest first part
-        if 2 * first < gap:
-            break
-        if here[first] and 0 < gap - first <= first and avail[gap - first] > (first == gap - first):
-            return (first, gap - first)
-    lengths = np.flatnonzero(here) if parts > 2 else here[:0]
-    for first in lengths[::-1]:
-        rest = gap - int(first)
-        if 3 * first < gap:
+    lengths = np.flatnonzero(here)
+    first = lengths[2 * lengths >= gap][::-1]  # pairs: the longest first part
+    first = first[first < gap]
+    for x in first[here[gap - first]].tolist():
+        if avail[gap - x] > (2 * x == gap):
+            return (x, gap - x)
+    for x in lengths[::-1].tolist():
+        rest = gap - x
+        if 3 * x < gap:
             break
         if rest < 2:
             continue
-        second = lengths[(lengths <= min(first, rest - 1)) & (2 * lengths >= rest)]
-        second = second[here[rest - second]]
-        for s in second[::-1]:
-            three = (int(first), int(s), rest - int(s))
-            if all(avail[x] >= three.count(x) for x in three):
+        second = lengths[(lengths <= min(x, rest - 1)) & (2 * lengths >= rest)]
+        for y in second[here[rest - second]][::-1].tolist():
+            three = (x, y, rest - y)
+            if all(avail[z] >= three.count(z) for z in three):
                 return three
     return None
 
 
-def plan(counts: np.ndarray, capacity: int) -> list[tuple[int, int, int, int, int]]:
-    """Rows (length, from rank, to rank, first sequence, offset) that place every piece, from counts per length.
-
-    Exact combinations of up to three, two or one lengths are tried beside best fit alone; the fewest sequences win.
-    """
-    total = int(counts @ np.arange(capacity + 1))
-    best, fewest = [], None
-    for parts in (3, 2, 1, 0):
-        rows, sequences = exact_plan(counts, capacity, parts)
-        if fewest is None or sequences < fewest:
-            best, fewest = rows, sequences
-        if fewest == -(-total // capacity):
-            break
-    return best
+def sums(avail: np.ndarray, gap: int) -> Iterator[int]:
+    """Sums of one to three available lengths up to ``gap``, the largest first; may name sums that need a length once too often."""
+    lengths = np.flatnonzero(avail[: gap + 1] > 0).tolist()
+    one = two = three = 0  # bit s stands for the sum s
+    for x in lengths:
+        one |= 1 << x
+    for x in lengths:
+        two |= (one if avail[x] > 1 else one & ~(1 << x)) << x
+    for x in lengths:
+        three |= two << x
+    reached = (one | two | three) & ((1 << (gap + 1)) - 1)
+    while reached:
+        yield (top := reached.bit_length() - 1)
+        reached ^= 1 << top
+
+
+def best_combination(avail: np.ndarray, gap: int, most: int) -> tuple[int, ...] | None:
+    """The exact combination if there is one, else one to three available lengths with the largest sum below ``gap``."""
+    if gap <= most and avail[gap]:
+        return (gap,)
+    return next((found for fill in sums(avail, gap) if (found := exact_combination(avail, fill, most)) is not None), None)
 
 
-def exact_plan(counts: np.ndarray, capacity: int, parts: int) -> tuple[list[tuple[int, int, int, int, int]], int]:
-    """A plan from exact combinations of up to ``parts`` lengths, then best fit; and its number of sequences."""
+def plan(counts: np.ndarray, capacity: int) -> list[tuple[int, int, int, int, int]]:
+    """Rows (length, from rank, to rank, first sequence, offset) that place every piece, from counts per length."""
     avail, used, rows, sequences = counts.astype(np.int64).copy(), np.zeros(capacity + 1, np.int64), [], 0
-
-    def place(pattern: tuple[int, ...], times: int) -> None:
-        nonlocal sequences
-        offset = 0
-        for length in pattern:
-            rows.append((length, int(used[length]), int(used[length]) + times, sequences, offset))
-            used[length] += times
-            offset += length
-        sequences += times
-
     for length in range(capacity, 0, -1):
         while avail[length]:
+            pattern, gap = [length], capacity - length
             avail[length] -= 1
-            rest = exact_combination(avail, capacity - length, length, parts) if length < capacity else ()
-            avail[length] += 1
-            if rest is None:
-                break
-            pattern = (length, *rest)
-            times = int(min(avail[x] // pattern.count(x) for x in pattern))
+            while gap and (more := best_combination(avail, gap, length)) is not None:
+                for x in more:
+                    avail[x] -= 1
+                pattern += more
+                gap -= sum(more)
+            for x in pattern:
+                avail[x] += 1
+            times, offset = int(min(avail[x] // pattern.count(x) for x in pattern)), 0
             for x in pattern:
+                rows.append((x, int(used[x]), int(used[x]) + times, sequences, offset))
                 avail[x] -= times
-            place(pattern, times)
-    bins: dict[int, list[tuple[tuple[int, ...], int]]] = {}
-    gaps: list[int] = []
-
-    def put(gap: int, pattern: tuple[int, ...], times: int) -> None:
-        if times:
-            if gap not in bins:
-                insort(gaps, gap)
-            bins.setdefault(gap, []).append((pattern, times))
-
-    for length in range(capacity, 0, -1):
-        left = int(avail[length])
-        while left:
-            at = bisect_left(gaps, length)
-            if at == len(gaps):
-                per = capacity // length
-                put(capacity - per * length, (length,) * per, left // per)
-                put(capacity - left % per * length, (length,) * (left % per), int(left % per > 0))
-                break
-            gap = gaps[at]
-            pattern, times = bins[gap].pop()
-            if not bins[gap]:
-                del bins[gap], gaps[at]
-            taken = min(left, times)
-            put(gap, pattern, times - taken)
-            put(gap - length, (*pattern, length), taken)
-            left -= taken
-    for groups in bins.values():
-        for pattern, times in groups:
-            place(pattern, times)
-    return rows, sequences
+                used[x] += times
+                offset += x
+            sequences += times
+    return rows
 
 
 def pack(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text", max_tokens: int = 2048, end_id: int = 0, rows_per_bucket: int = 1_000) -> DataFrame:

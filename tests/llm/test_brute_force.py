@@ -441,6 +441,42 @@ def test_tokens_are_the_librarys():
             assert ids[at[k] : at[k + 1]].tolist() == [*t.encode(texts[lo + k] or "", add_special_tokens=False).ids, 0]
 
 
+def test_special_tokens_and_other_vocabularies(tmp_path):
+    from tokenizers import Tokenizer
+
+    t, mine, library = Tokenizer.from_file(vocabulary()), packing.loaded(vocabulary()), packing.LibraryTokens(vocabulary())
+    texts = ["a <|endoftext|> b", "x<|ENDOFTEXT|>y", "plain words here", "", "wörter über größe"]
+    data, offsets = tx.as_bytes(pa.array(texts))
+    for tokens in (mine, library):
+        ids, at = tokens.texts(data, offsets, 0)
+        assert [ids[at[k] : at[k + 1]].tolist() for k in range(5)] == [[*t.encode(x, add_special_tokens=False).ids, 0] for x in texts]
+    assert isinstance(mine, packing.WordTokens)
+    other = open(vocabulary(), encoding="utf-8").read().replace('"type": "Lowercase"', '"type": "NFD"').replace('"type":"Lowercase"', '"type":"NFD"')
+    (tmp_path / "other.json").write_text(other, encoding="utf-8")
+    assert type(packing.loaded(str(tmp_path / "other.json"))) is packing.LibraryTokens
+
+
+def test_exact_complements_are_used_first():
+    counts = np.zeros(101, np.int64)
+    counts[[70, 30, 60, 25, 15, 50, 20, 19, 11]] = [3, 3, 2, 2, 2, 1, 1, 1, 1]  # a single, a pair and a triple complement
+    rows = packing.plan(counts, 100)
+    filled: dict[int, list[int]] = {}
+    for length, a, z, first, _ in rows:
+        for k in range(z - a):
+            filled.setdefault(first + k, []).append(length)
+    assert sorted(map(sorted, filled.values())) == sorted([[30, 70]] * 3 + [[15, 25, 60]] * 2 + [[11, 19, 20, 50]])
+    r = random.Random(5)
+    for _ in range(60):  # the largest sum of one to three available lengths, by trying all
+        avail = np.zeros(41, np.int64)
+        for x in (r.randrange(1, 41) for _ in range(r.randrange(6))):
+            avail[x] += 1
+        held, gap = [x for x in range(41) for _ in range(avail[x])], r.randrange(1, 41)
+        reached = {sum(c) for k in (1, 2, 3) for c in itertools.combinations(held, k) if sum(c) <= gap}
+        got = packing.best_combination(avail, gap, 40)
+        assert (sum(got) if got else 0) == max(reached, default=0)
+        assert all(avail[x] >= (got or ()).count(x) for x in got or ())
+
+
 def test_plan_places_every_piece():
     r = np.random.default_rng(2)
     for capacity, most in ((16, 40), (64, 200), (2048, 3000)):
