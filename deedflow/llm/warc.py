@@ -6,25 +6,31 @@ with the smallest page id is a response, the others are revisits that refer to i
 and carry no payload. Records go through Spark's text writer (its line separator
 is the record separator), so archives land in any store Spark can write.
 
-Reading: archives of plain or member-wise gzipped records. A record is checked
-(version line, lengths, record end, block and payload digest). After a failed
-check the reader searches for the next version line or valid gzip member,
-recovers the records from there on, and logs the byte gap it had to skip.
+Reading: archives of plain or member-wise gzipped records, of any writer: header
+names in any case, repeated and folded headers, digests in hex or base 32, payload
+digests of HTTP messages taken after their headers. A record is checked (version
+line, lengths, record end, block and payload digest). After a failed check the
+reader searches for the next version line or valid gzip member, recovers the
+records from there on, and logs the byte gap it had to skip.
 
 Scale: payloads are compared by digest; a group's smallest page is found with
-map-side combining and joined back, which splits a hot payload. An archive holds
-``records`` pages at most and is read by one task in whole.
+map-side combining. Records are written where they are read, in archives of
+``archive_bytes`` at most (a longer record is an archive alone); one task reads an
+archive in whole. Revisits find their response by a join of narrow written
+tables, which splits a hot payload.
 
 Defined cases: null payloads are empty; pages without an id (null) are responses
 and never referred to; rows that repeat a group's smallest page id are all
 responses; payloads keep any characters; other columns than id, url and payload
 are not read; a null url is left out of the record; an empty table gives no
-record.
+record. Of a repeated header the first counts.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import logging
 import re
 import zlib
 from collections.abc import Iterable, Iterator
@@ -47,7 +53,7 @@ def record_id(page_id: Column) -> Column:
 
 
 def planned(pages: DataFrame, *, id_col: str = "page_id", payload_col: str = "html", url_col: str = "url", revisit_from: int = 100) -> DataFrame:
-    """(page_id, url, payload, digest, record_type, refers_to): what each page's record will be."""
+    """(page_id, url, payload, bytes, digest, record_type, refers_to): what each page's record will be."""
     payload = F.coalesce(F.col(payload_col), F.lit(""))
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"), F.sha2(payload.cast("binary"), 256).alias("digest"), F.octet_length(payload).alias("bytes"))
     large = rows.filter((F.col("bytes") >= revisit_from) & F.col("page_id").isNotNull()).select("page_id", "digest")
@@ -84,37 +90,77 @@ def record(page_id: Column, url: Column, payload: Column, digest: Column, record
     )
 
 
-def write_archives(plan: DataFrame, path: str, *, records: int = 2_000) -> None:
-    """Archives of at most ``records`` records each, from a plan of records."""
-    lines = plan.select(record(*[F.col(c) for c in ("page_id", "url", "payload", "digest", "record_type", "refers_to")]).alias("value"))
-    lines.write.option("lineSep", END.decode()).option("maxRecordsPerFile", records).text(path)
+def write_archives(plan: DataFrame, path: str, *, archive_bytes: int = 128 << 20, longest: int = 0) -> None:
+    """Archives of ``archive_bytes`` at most from a plan of records, of which none is longer than ``longest`` bytes (0: not known).
+
+    Records are written by classes of length, each class with as many records an archive as its longest allow.
+    """
+    lengths = [x for x in (32 << 10, 1 << 20, 32 << 20) if x < archive_bytes]
+    lower = -1
+    for upper in [*lengths, None]:
+        if longest and lower >= longest:
+            break
+        some = plan.filter(F.col("bytes") > lower) if upper is None else plan.filter((F.col("bytes") > lower) & (F.col("bytes") <= upper))
+        lines = some.select(record(*[F.col(c) for c in ("page_id", "url", "payload", "digest", "record_type", "refers_to")]).alias("value"))
+        per_file = 1 if upper is None else max(1, archive_bytes // (upper + (32 << 10)))
+        lines.write.mode("append").option("lineSep", END.decode()).option("maxRecordsPerFile", per_file).text(path)
+        lower = upper
+
+
+def header_fields(raw: bytes) -> dict[str, str] | None:
+    """Lower-cased names and values of header lines, the first of repeated ones; None if a line is none."""
+    fields: dict[str, str] = {}
+    name = ""
+    for line in raw.decode("utf-8", "replace").split(CRLF):
+        if line[:1] in (" ", "\t") and name:  # a folded line goes on with the one before
+            fields[name] += " " + line.strip()
+            continue
+        name, colon, value = line.partition(":")
+        name = name.strip().lower()
+        if not colon or not name:
+            return None
+        fields.setdefault(name, value.strip())
+    return fields
+
+
+def digest_holds(claimed: str | None, data: bytes) -> bool:
+    """Whether a digest like ``sha1:...`` in hex or base 32 is the data's; without one, or of an unknown kind, it is."""
+    kind, _, value = (claimed or "").partition(":")
+    kind = kind.strip().lower().replace("-", "")
+    if kind not in ("md5", "sha1", "sha256", "sha512"):
+        return True
+    found = hashlib.new(kind, data).digest()
+    return value.strip().lower() in (found.hex(), base64.b32encode(found).decode().lower(), base64.b32encode(found).decode().lower().rstrip("="))
 
 
 def parse(raw: bytes, at: int, end: int) -> tuple[dict[str, str], bytes, int] | None:
-    """The record at ``at``: its headers, block and where the next begins. None if any check fails."""
+    """The record at ``at``: its headers (lower-cased names), block and where the next begins. None if any check fails."""
     head = VERSION.match(raw, at)
     stop = raw.find(END, at, end)
     if not head or stop < 0:
         return None
-    try:
-        lines = raw[head.end() : stop].decode().split(CRLF)
-    except UnicodeDecodeError:
-        return None
-    pairs = [x.partition(": ") for x in lines]
-    headers = {k: v for k, sep, v in pairs if sep}
-    size = headers.get("Content-Length", "")
-    if len(headers) != len(lines) or not size.isascii() or not size.isdigit():
+    headers = header_fields(raw[head.end() : stop])
+    size = (headers or {}).get("content-length", "")
+    if headers is None or not size.isascii() or not size.isdigit():
         return None
     begin, finish = stop + len(END), stop + len(END) + int(size)
     if finish + len(END) > end or raw[finish : finish + len(END)] != END:
         return None
     block = raw[begin:finish]
-    checks = [headers.get("WARC-Block-Digest")] + [headers.get("WARC-Payload-Digest")] * (headers.get("WARC-Type") != "revisit")
-    if any(c is not None and c.startswith("sha256:") and c[7:] != hashlib.sha256(block).hexdigest() for c in checks):
+    if not digest_holds(headers.get("warc-block-digest"), block):
+        return None
+    if headers.get("warc-type", "").lower() != "revisit" and not digest_holds(headers.get("warc-payload-digest"), payload_of(headers, block)):
         return None
     return headers, block, finish + len(END)
 
 
+def payload_of(headers: dict[str, str], block: bytes) -> bytes:
+    """The payload in a record's block: of an HTTP message what follows its headers, else all."""
+    if headers.get("content-type", "").lower().replace(" ", "").startswith("application/http"):
+        return block.partition(END)[2]
+    return block
+
+
 def member(raw: bytes, at: int) -> tuple[bytes, int] | None:
     """The gzip member at ``at`` unpacked, and where it ends. None if it is damaged or cut."""
     unpack, out, view = zlib.decompressobj(31), [], memoryview(raw)
@@ -154,19 +200,20 @@ def salvage(raw: bytes) -> Iterator[tuple[int, int, dict[str, str] | None, bytes
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """A row per record or gap: archive, from_byte, to_byte, good, the headers' fields, block_bytes, block_sha256, block."""
+    """A row per record or gap: archive, from_byte, to_byte, good, the headers' fields, payload_bytes, payload_sha256, block."""
     ship(spark)
     names = [h.lower().replace("-", "_") for h in HEADERS]
-    schema = "archive string, from_byte long, to_byte long, good boolean, " + ", ".join(f"{n} string" for n in names) + ", block_bytes long, block_sha256 string, block binary"
+    schema = "archive string, from_byte long, to_byte long, good boolean, " + ", ".join(f"{n} string" for n in names) + ", payload_bytes long, payload_sha256 string, block binary"
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["archive", "from_byte", "to_byte", "good", *names, "block_bytes", "block_sha256", "block"]
+        columns = ["archive", "from_byte", "to_byte", "good", *names, "payload_bytes", "payload_sha256", "block"]
         for batch in batches:
             for archive, raw in zip(batch["path"], batch["content"], strict=True):
                 rows, held = [], 0
                 for a, z, headers, block in salvage(bytes(raw)):
-                    fields = [headers.get(h) for h in HEADERS] if headers is not None else [None] * len(HEADERS)
-                    rows.append([archive, a, z, headers is not None, *fields, len(block), hashlib.sha256(block).hexdigest(), block])
+                    fields = [headers.get(h.lower()) for h in HEADERS] if headers is not None else [None] * len(HEADERS)
+                    payload = payload_of(headers or {}, block)
+                    rows.append([archive, a, z, headers is not None, *fields, len(payload), hashlib.sha256(payload).hexdigest(), block])
                     held += len(block)
                     if held > 8 << 20:
                         yield pd.DataFrame(rows, columns=columns)
@@ -177,24 +224,36 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, schema)
 
 
-def round_trip(pages: DataFrame, *, path: str | None = None, id_col: str = "page_id", payload_col: str = "html", url_col: str = "url", revisit_from: int = 100, records: int = 2_000) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of every record read back from the archives written.
-
-    A revisit's payload is that of the response it refers to. Quarantined gaps are not records.
-    """
+def round_trip(pages: DataFrame, *, path: str | None = None, id_col: str = "page_id", payload_col: str = "html", url_col: str = "url", revisit_from: int = 100, archive_bytes: int = 128 << 20) -> DataFrame:
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of every record written and read back."""
     spark = pages.sparkSession
     path = path or scratch_path(spark, "archives")
-    write_archives(planned(pages, id_col=id_col, payload_col=payload_col, url_col=url_col, revisit_from=revisit_from), path, records=records)
-    got = materialise(read_archives(spark, path).filter("good").drop("block"), "records")
+    plan = planned(pages, id_col=id_col, payload_col=payload_col, url_col=url_col, revisit_from=revisit_from)
+    longest = pages.agg(F.max(F.octet_length(payload_col))).first()[0] or 1
+    write_archives(plan, path, archive_bytes=archive_bytes, longest=longest)
+    return resolved(spark, path)[0]
+
+
+def resolved(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Records of archives with their payloads, and the log of quarantined gaps (archive, from_byte, to_byte).
+
+    A revisit's payload is that of the response it refers to; if that was lost, its digest is the one its own header
+    states and its size is null.
+    """
+    got = materialise(read_archives(spark, path).drop("block"), "records")
+    gaps = got.filter("not good").select("archive", "from_byte", "to_byte")
+    lost = gaps.agg(F.count("*"), F.sum(F.col("to_byte") - F.col("from_byte"))).first()
+    if lost[0]:
+        logging.getLogger(__name__).warning("%s gaps, %s bytes, quarantined in %s", lost[0], lost[1], path)
     page = F.nullif(F.regexp_extract("warc_record_id", r"^<urn:page:(.*)>$", 1), F.lit("")).cast("long")
     refers = F.nullif(F.regexp_extract("warc_refers_to", r"^<urn:page:(.*)>$", 1), F.lit("")).cast("long")
-    records_ = got.select(page.alias("page_id"), "block_bytes", "block_sha256", F.col("warc_type").alias("record_type"), refers.alias("refers_to"))
-    responses = records_.filter("record_type = 'response' and page_id is not null").groupBy(F.col("page_id").alias("r")).agg(F.first(F.struct("block_bytes", "block_sha256")).alias("held"))
-    resolved = records_.join(responses.hint("merge"), F.col("refers_to") == F.col("r"), "left")
-    return resolved.select(
-        "page_id",
-        F.coalesce("held.block_bytes", "block_bytes").alias("payload_bytes"),
-        F.coalesce("held.block_sha256", "block_sha256").alias("payload_digest"),
-        "record_type",
-        "refers_to",
-    )
+    stated = F.regexp_extract("warc_payload_digest", r"^sha256:([0-9a-f]{64})$", 1)
+    records = got.filter("good").select(page.alias("page_id"), "payload_bytes", F.col("payload_sha256").alias("payload_digest"), F.col("warc_type").alias("record_type"), refers.alias("refers_to"), F.nullif(stated, F.lit("")).alias("stated"))
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    revisit = F.col("record_type") == "revisit"
+    responses = records.filter(~revisit | F.col("refers_to").isNull())
+    held = responses.filter("page_id is not null").groupBy(F.col("page_id").alias("r")).agg(F.first(F.struct("payload_bytes", "payload_digest")).alias("held"))
+    held = materialise(held, "held")
+    revisits = records.filter(revisit & F.col("refers_to").isNotNull()).join(held.hint("merge"), F.col("refers_to") == F.col("r"), "left")
+    revisits = revisits.withColumn("payload_bytes", F.col("held.payload_bytes")).withColumn("payload_digest", F.coalesce("held.payload_digest", "stated"))
+    return responses.select(*columns).unionByName(revisits.select(*columns)), gaps

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import itertools
 import random
@@ -342,12 +343,12 @@ def test_warc_salvage():
     for make in (plain, packed):
         records = [make(i, f"page {i} WARC/1.1 inside".encode() * 9) for i in range(6)]
         good = b"".join(records)
-        assert [x[2]["WARC-Record-ID"] for x in warc.salvage(good)] == [f"<urn:page:{i}>" for i in range(6)]
+        assert [x[2]["warc-record-id"] for x in warc.salvage(good)] == [f"<urn:page:{i}>" for i in range(6)]
         bad = bytearray(good)
         at = len(records[0]) + len(records[1]) + len(records[2]) // 2
         bad[at] ^= 0xFF
         found = list(warc.salvage(bytes(bad)))
-        assert [x[2]["WARC-Record-ID"][10:-1] for x in found if x[2]] == ["0", "1", "3", "4", "5"]
+        assert [x[2]["warc-record-id"][10:-1] for x in found if x[2]] == ["0", "1", "3", "4", "5"]
         gap = [x[:2] for x in found if x[2] is None]
         assert gap == [(len(records[0]) + len(records[1]), len(records[0]) + len(records[1]) + len(records[2]))]
         cut = list(warc.salvage(good[: -len(records[5]) // 2]))
@@ -357,6 +358,49 @@ def test_warc_salvage():
     assert list(warc.salvage(b"")) == [] and [x[2] for x in warc.salvage(b"\x00" * 50)] == [None]
 
 
+def test_warc_of_other_writers():
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n<p>body</p>"
+    sha1 = base64.b32encode(hashlib.sha1(b"<p>body</p>").digest()).decode()
+    head = f"WARC/1.0\r\nwarc-type:response\r\nWARC-Record-Id: <urn:uuid:1>\r\nWARC-Concurrent-To: <urn:uuid:2>\r\nWARC-Concurrent-To: <urn:uuid:3>\r\nX-Note: folded\r\n  line\r\nContent-Type: application/http; msgtype=response\r\nWARC-Payload-Digest: sha1:{sha1}\r\nCONTENT-LENGTH:   {len(http)}\r\n\r\n"
+    (a, z, headers, block), = warc.salvage(head.encode() + http + warc.END)
+    assert (a, z, block) == (0, len(head) + len(http) + 4, http)
+    assert headers["warc-concurrent-to"] == "<urn:uuid:2>" and headers["x-note"] == "folded line"
+    assert warc.payload_of(headers, block) == b"<p>body</p>"
+    wrong = head.replace(sha1, sha1[::-1]).encode() + http + warc.END
+    assert [x[2] for x in warc.salvage(wrong)] == [None]
+    assert warc.digest_holds("sha256:" + hashlib.sha256(b"x").hexdigest().upper(), b"x") and not warc.digest_holds("md5:00", b"x") and warc.digest_holds("blake9:00", b"x")
+
+
+def test_damaged_archives_are_salvaged_and_logged(spark, tmp_path):
+    bodies = {i: f"<p>page {i} " + "text " * (40 + i) for i in range(60)} | {100 + i: "<p>same " * 30 for i in range(20)}
+    pages = spark.createDataFrame([(i, f"http://x/{i}", t) for i, t in bodies.items()], "page_id long, url string, html string").coalesce(2)
+    warc.write_archives(warc.planned(pages), f"file://{tmp_path}/a", archive_bytes=1 << 20)
+    files = sorted((tmp_path / "a").glob("part-*"))
+    before = {r.page_id: r for r in warc.resolved(spark, f"file://{tmp_path}/a")[0].collect()}
+    assert {i: (r.payload_bytes, r.payload_digest) for i, r in before.items()} == {i: (len(t), hashlib.sha256(t.encode()).hexdigest()) for i, t in bodies.items()}
+    assert len(files) > 2
+    raw = bytearray(files[0].read_bytes())
+    found = [x for x in warc.salvage(bytes(raw))]
+    hit = found[1]
+    raw[hit[1] - 30] ^= 0x55  # inside the second record's block
+    for crc in (tmp_path / "a").glob(".*.crc"):
+        crc.unlink()
+    files[0].write_bytes(bytes(raw))
+    rows, gaps = warc.resolved(spark, f"file://{tmp_path}/a")
+    lost = int(hit[2]["warc-record-id"][10:-1])
+    after = {r.page_id for r in rows.collect()}
+    assert after == set(bodies) - {lost}
+    assert [(r.from_byte, r.to_byte) for r in gaps.collect()] == [hit[:2]] and gaps.first().archive.endswith(files[0].name)
+
+
+def test_archives_are_cut_by_bytes(spark, tmp_path):
+    pages = spark.createDataFrame([(i, None, chr(97 + i % 26) * (700_000 if i % 7 == 0 else 900)) for i in range(40)], "page_id long, url string, html string").coalesce(1)
+    warc.write_archives(warc.planned(pages), f"file://{tmp_path}/a", archive_bytes=1 << 20)
+    files = [p for p in (tmp_path / "a").glob("part-*") if p.stat().st_size]
+    assert max(p.stat().st_size for p in files) <= 1 << 20 and len(files) >= 6
+    assert warc.resolved(spark, f"file://{tmp_path}/a")[0].count() == 40
+
+
 def test_warc_revisits(spark):
     body = "<p>" + "same " * 40
     pages = spark.createDataFrame([(7, "u", body), (3, "u", body), (9, None, body), (4, "u", "short"), (5, "u", "short"), (6, "u", None)], "page_id long, url string, html string")
