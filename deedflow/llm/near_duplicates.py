@@ -10,10 +10,11 @@ within a band as wide as the similarity allows: similarity is
 components of the verified pairs.
 
 Candidates: in every bucket a member chosen at random per band is the centre and
-all others are compared with it (a star, never all pairs). Where some fail, the
-bucket goes on, narrowed by another band's sketch, with a failed member as the
-next centre; members that matched stay in it as partners. This ends by itself,
-when no bucket holds a failed member and another one.
+all others are compared with it (a star, never all pairs). A bucket that holds
+members of another class than its centre goes on, narrowed by the sketches of one,
+then three, then nine more bands and so on, with one of those as the next centre;
+members of the centre's class stay in it as partners. This ends by itself, when no
+bucket holds such a member and another one.
 
 Scale: sketches are made in one narrow pass over all rows (copies too: that costs
 less than moving texts to drop them first), and from there on equal texts are
@@ -166,46 +167,63 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long, near boolean, similarity double")
 
 
-def candidate_texts(pairs: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
-    """(node, text) of the texts in ``pairs``: of each the row of its smallest id, so that copies stay where they are."""
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = materialise(wanted.join(nodes.select("node", "least_id").hint("merge"), "node").select(F.col("node").alias("w_node"), F.col("least_id").alias("w_id")), "wanted")
+def candidate_texts(wanted: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
+    """(node, text) of the texts named in ``wanted``: of each the row of its smallest id, so that copies stay where they are."""
+    wanted = materialise(wanted.distinct().join(nodes.select("node", "least_id").hint("merge"), "node").select(F.col("node").alias("w_node"), F.col("least_id").alias("w_id")), "wanted")
     same = (F.col("node") == F.col("w_node")) & F.col("doc_id").eqNullSafe(F.col("w_id"))
     return materialise(rows.join(small(wanted, wanted.count()), same, "left_semi").select("node", "text").dropDuplicates(["node"]), "texts")
 
 
-def near_edges(nodes: DataFrame, rows: DataFrame, *, least: float = 0.8) -> DataFrame:
-    """Verified pairs (a, b, similarity) of distinct texts: ``nodes`` (node, n, sketch, least_id), their texts in ``rows`` (doc_id, node, text)."""
+def with_root(df: DataFrame, roots: DataFrame, column: str, name: str) -> DataFrame:
+    """The class of the text in ``column`` so far: its root, or itself."""
+    found = roots.select(F.col("node").alias(column), F.col("root").alias(name))
+    return df.join(small(found, roots.count()), column, "left").withColumn(name, F.coalesce(name, column))
+
+
+def near_roots(nodes: DataFrame, rows: DataFrame, *, least: float = 0.8) -> DataFrame:
+    """(node, root) of every text that is near another: ``nodes`` (node, n, sketch, least_id), their texts in ``rows`` (doc_id, node, text)."""
     place = F.posexplode("sketch").alias("band", "value")
     opened = nodes.filter("n > 0").select("node", "n", place).select("band", F.xxhash64("band", "value").alias("bucket"), "node", "n", F.lit(True).alias("open"))
-    found, turn = None, 0
+    roots = rows.sparkSession.createDataFrame([], "node long, root long")
+    tried, texts, later, turn = None, None, None, 0
     while True:
         rank = F.struct((~F.col("open")).alias("closed"), F.xxhash64("node", "band", F.lit(turn)).alias("h"), F.col("node"), F.col("n"))
         centre = opened.groupBy("bucket").agg(F.min(rank).alias("c"), F.count("*").alias("size")).filter("size > 1 and not c.closed")
         centre = materialise(centre.select("bucket", F.col("c.node").alias("centre"), F.col("c.n").alias("centre_n")), "centres")
-        if centre.isEmpty():
+        n = centre.count()
+        if n == 0:
             break
-        stars = materialise(opened.join(centre.hint("merge"), "bucket").filter("node <> centre"), "stars")
+        stars = materialise(opened.join(small(centre, n), "bucket").filter("node <> centre"), "stars")
+        if texts is None:  # later buckets are parts of the first ones
+            texts = candidate_texts(stars.select("node").unionByName(centre.select(F.col("centre").alias("node"))), nodes, rows)
         possible = F.least("n", "centre_n") >= least * F.greatest("n", "centre_n")
         pairs = stars.filter(possible).select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-        if found is not None:
-            pairs = pairs.join(found.select("a", "b").hint("merge"), ["a", "b"], "left_anti")
+        if tried is not None:
+            pairs = with_root(with_root(pairs, roots, "a", "root_a"), roots, "b", "root_b").filter("root_a <> root_b").select("a", "b")
+            pairs = pairs.join(small(tried, tried.count()), ["a", "b"], "left_anti")
         pairs = materialise(pairs, "pairs")
-        new = materialise(verified(pairs, candidate_texts(pairs, nodes, rows), least), "verified")
-        found = new if found is None else found.unionByName(new)
-        near = found.filter("near").select("a", "b", F.lit(True).alias("near"))
-        judged = stars.withColumn("a", F.least("node", "centre")).withColumn("b", F.greatest("node", "centre")).join(near.hint("merge"), ["a", "b"], "left")
-        judged = materialise(judged.select("band", "bucket", "node", "n", (F.col("open") & F.col("near").isNull()).alias("open")), "judged")
+        new = materialise(verified(pairs, texts, least), "verified")
+        tried = new.select("a", "b") if tried is None else tried.unionByName(new.select("a", "b"))
+        near = new.filter("near").select("a", "b")
+        if turn == 0:
+            roots = materialise(components(near), "roots")
+        else:  # few: they join classes at the end
+            later = near if later is None else later.unionByName(near)
+        judged = with_root(with_root(stars, roots, "node", "own"), roots, "centre", "other")
+        judged = materialise(judged.select("band", "bucket", "node", "n", (F.col("open") & (F.col("own") != F.col("other"))).alias("open")), "judged")
         alive = materialise(judged.groupBy("bucket").agg(F.bool_or("open").alias("some"), F.count("*").alias("size")).filter("some and size > 1").select("bucket"), "alive")
-        if alive.isEmpty():
+        n = alive.count()
+        if n == 0:
             break
-        again = judged.join(alive.hint("merge"), "bucket", "left_semi").join(nodes.select("node", "sketch").hint("merge"), "node")
-        other = F.element_at("sketch", (F.col("band") + 1 + turn) % F.size("sketch") + 1)
-        opened = materialise(again.select("band", F.xxhash64("bucket", other).alias("bucket"), "node", "n", "open"), "opened")
-        turn += 1
-    if found is None:
-        return rows.sparkSession.createDataFrame([], "a long, b long, similarity double")
-    return found.filter("near").select("a", "b", "similarity")
+        again = materialise(judged.join(small(alive, n), "bucket", "left_semi"), "again")
+        sketch = materialise(nodes.select("node", "sketch").join(small(again.select("node").distinct(), again.count()), "node", "left_semi"), "sketch")
+        others = [F.element_at("sketch", (F.col("band") + k) % F.size("sketch") + 1) for k in range((3**turn + 1) // 2, (3 ** (turn + 1) + 1) // 2)]
+        narrowed = again.join(small(sketch, 8 * sketch.count()), "node").select("band", F.xxhash64("bucket", *others).alias("bucket"), "node", "n", "open")
+        opened = materialise(narrowed, "opened")
+        turn = min(turn + 1, 4)  # by then a bucket's sketches are all equal
+    if later is None or later.isEmpty():
+        return roots
+    return materialise(components(later.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))), "roots")
 
 
 def near_duplicate_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", bands: int = 24, picked: int = 3, least: float = 0.8) -> DataFrame:
@@ -218,7 +236,7 @@ def near_duplicate_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     sketched = materialise(sketch_table(rows, bands, picked), "sketches")
     nodes = sketched.filter("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("least_id"), F.count("*").alias("copies"))
     nodes = materialise(nodes, "nodes")
-    roots = materialise(components(near_edges(nodes, rows, least=least).select("a", "b")), "roots")
+    roots = near_roots(nodes, rows, least=least)
     named = nodes.select("node", "least_id", "copies").join(roots.hint("merge"), "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least_id", "copies")
     named = materialise(named, "named")
     classes = materialise(named.groupBy("root").agg(F.min("least_id").alias("class_id"), F.sum("copies").alias("class_size")), "classes")
