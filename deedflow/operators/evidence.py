@@ -70,52 +70,60 @@ def _after(page: Column, token: Column, at: Column) -> Column:
     return F.call_function("locate", token, page, (at + 1).cast("int")) - 1
 
 
+def page_ranges(cited: DataFrame, pages: DataFrame) -> DataFrame:
+    """(r_document, r_start, r_end, ps, absent) of the cited ranges of pages: their pages' texts in order, and the first missing page.
+
+    An equi-join per page instead of a range join, at most 11 rows a range. Of page rows that repeat a number the
+    first in order of text counts.
+    """
+    p = pages.select(F.col("document_id").alias("pd"), F.col("page_number").cast("int").alias("pn"), F.coalesce("text", F.lit("")).alias("pt"))
+    wanted = cited.select(F.col("document_id").alias("r_document"), F.col("page_start").alias("r_start"), F.col("page_end").alias("r_end")).distinct()
+    needed = wanted.withColumn("need", F.explode(F.sequence("r_start", "r_end")))
+    rows = needed.join(p.hint("merge"), (F.col("r_document") == F.col("pd")) & (F.col("need") == F.col("pn")), "left")
+    grouped = rows.groupBy("r_document", "r_start", "r_end").agg(
+        F.sort_array(F.collect_set(F.when(F.col("pn").isNotNull(), F.struct("pn", "pt")))).alias("all"), F.min(F.when(F.col("pn").isNull(), F.col("need"))).alias("absent")
+    )
+    once = F.filter("all", lambda x, i: (i == 0) | (F.get("all", i - 1)["pn"] != x["pn"]))
+    return grouped.select("r_document", "r_start", "r_end", once.alias("ps"), "absent")
+
+
 def resolve(claims_: DataFrame, pages: DataFrame) -> DataFrame:
-    """Claims with validation_status, match_type, char_start, char_end and reason of their citation.
+    """Claims with validation_status, match_type, char_start, char_end and reason of their citation; equal claims stay rows of their own.
 
     One page, or a range of pages joined by line ends; a range's span must begin on its first and end on its last
     page, offsets count in the joined text.
     """
-    keys = list(claims_.columns)
     c = claims_.withColumn("span", text.strip(F.coalesce("source_span", F.lit(""))))
-    p = pages.select(F.col("document_id").alias("pd"), F.col("page_number").alias("pn"), F.coalesce("text", F.lit("")).alias("pt"))
-    proper = (F.col("page_start") >= 1) & (F.col("page_end") >= 1)
-    one = c.filter(proper & (F.col("page_start") == F.col("page_end"))).join(p, (F.col("document_id") == F.col("pd")) & (F.col("page_start") == F.col("pn")), "left").drop("pd")
+    proper = F.coalesce((F.col("page_start") >= 1) & (F.col("page_end") >= 1), F.lit(False))
+    one = F.col("page_start") == F.col("page_end")
+    fits = one | ((F.col("page_end") > F.col("page_start")) & (F.col("page_end") - F.col("page_start") <= MAX_PAGE_RANGE))
+    texts = page_ranges(c.filter(proper & fits), pages)
+    joined = c.join(texts.hint("merge"), (F.col("document_id") == F.col("r_document")) & (F.col("page_start") == F.col("r_start")) & (F.col("page_end") == F.col("r_end")), "left")
+    absent = F.when(F.col("r_document").isNull(), F.col("page_start")).otherwise(F.col("absent"))  # a claim without document has no pages
+    joined = joined.withColumns({"absent": absent, "all": F.array_join(F.col("ps.pt"), "\n"), "proper": proper, "one": one, "fits": proper & fits})
     found = F.col("found")
-    one = one.withColumn("found", F.when((F.col("span") != "") & (text.strip(F.col("pt")) != ""), located(F.col("pt"), F.col("span"))))
-    reason = (
-        F.when(F.col("pn").isNull(), F.concat(F.lit("PAGE_"), F.col("page_start").cast("string"), F.lit("_NOT_FOUND")))
-        .when(F.col("span") == "", "EMPTY_SOURCE_SPAN")
-        .when(text.strip(F.col("pt")) == "", "PAGE_TEXT_EMPTY")
-        .when(found.isNull(), "SPAN_NOT_FOUND_ON_PAGE")
-    )
-    kind = F.when(found.isNull(), "unmatched").when(found["exact"], "exact").otherwise("normalized_whitespace")
-    single = one.select(*keys, F.when(found.isNull(), "INVALID").otherwise("VALID").alias("validation_status"), kind.alias("match_type"), found["start"].alias("char_start"), found["end"].alias("char_end"), reason.alias("reason"))
-    wide = c.filter(proper & (F.col("page_start") != F.col("page_end")))
-    fits = (F.col("page_end") > F.col("page_start")) & (F.col("page_end") - F.col("page_start") <= MAX_PAGE_RANGE)
-    needed = F.when(fits, F.sequence("page_start", "page_end")).otherwise(F.array().cast("array<int>"))
-    # an equi-join per needed page instead of a range join; at most 11 rows a claim
-    rows = wide.withColumn("need", F.explode_outer(needed)).join(p, (F.col("document_id") == F.col("pd")) & (F.col("need") == F.col("pn")), "left").drop("pd")
-    joined = rows.groupBy(*keys, "span").agg(F.sort_array(F.collect_list(F.when(F.col("pn").isNotNull(), F.struct("pn", "pt")))).alias("ps"), F.min(F.when(F.col("pn").isNull(), F.col("need"))).alias("absent"))
-    joined = joined.withColumn("all", F.array_join(F.col("ps.pt"), "\n")).withColumn("ok", fits & F.col("absent").isNull())
-    joined = joined.withColumn("found", F.when(F.col("ok") & (F.col("span") != ""), located(F.col("all"), F.col("span"))))
-    ends = F.aggregate("ps", F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<pn:int,z:int>>").alias("out")), lambda a, x: F.struct((a["at"] + F.length(x["pt"]) + 1).alias("at"), F.concat(a["out"], F.array(F.struct(x["pn"].cast("int").alias("pn"), (a["at"] + F.length(x["pt"])).alias("z")))).alias("out")))["out"]
+    search = F.col("fits") & F.col("absent").isNull() & (F.col("span") != "") & (text.strip(F.col("all")) != "")
+    joined = joined.withColumn("found", F.when(search, located(F.col("all"), F.col("span"))))
+    ends = F.aggregate("ps", F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<pn:int,z:int>>").alias("out")), lambda a, x: F.struct((a["at"] + F.length(x["pt"]) + 1).alias("at"), F.concat(a["out"], F.array(F.struct(x["pn"].alias("pn"), (a["at"] + F.length(x["pt"])).alias("z")))).alias("out")))["out"]
     page_of = lambda place: F.get(F.filter("ends", lambda e: place < e["z"]), F.lit(0))["pn"]
-    joined = joined.withColumn("ends", ends).withColumn("on", page_of(found["start"])).withColumn("off", page_of(found["end"] - 1))
-    right = (F.col("on") == F.col("page_start")) & (F.col("off") == F.col("page_end"))
-    valid = found.isNotNull() & F.coalesce(right, F.lit(False))
-    why = (
+    joined = joined.withColumn("ends", F.when(~F.col("one"), ends)).withColumn("on", page_of(found["start"])).withColumn("off", page_of(found["end"] - 1))
+    right = F.col("one") | F.coalesce((F.col("on") == F.col("page_start")) & (F.col("off") == F.col("page_end")), F.lit(False))
+    valid = found.isNotNull() & right
+    missing = F.concat(F.lit("PAGE_"), F.col("absent").cast("string"), F.lit("_NOT_FOUND"))
+    on_page = F.when(F.col("absent").isNotNull(), missing).when(F.col("span") == "", "EMPTY_SOURCE_SPAN").when(text.strip(F.col("all")) == "", "PAGE_TEXT_EMPTY").when(found.isNull(), "SPAN_NOT_FOUND_ON_PAGE")
+    over_pages = (
         F.when(F.col("span") == "", "EMPTY_SOURCE_SPAN")
         .when(F.col("page_end") < F.col("page_start"), "INVALID_PAGE_RANGE")
-        .when(~fits, "EXCESSIVE_PAGE_RANGE")
-        .when(F.col("absent").isNotNull(), F.concat(F.lit("PAGE_"), F.col("absent").cast("string"), F.lit("_NOT_FOUND")))
+        .when(~F.col("fits"), "EXCESSIVE_PAGE_RANGE")
+        .when(F.col("absent").isNotNull(), missing)
         .when(found.isNull(), "CROSS_PAGE_SPAN_NOT_FOUND")
         .when(~valid, F.concat(F.lit("PAGE_RANGE_MISMATCH_MATCHED_PAGES_"), F.coalesce(F.col("on").cast("string"), F.lit("?")), F.lit("_TO_"), F.coalesce(F.col("off").cast("string"), F.lit("?"))))
     )
-    cross = joined.select(*keys, F.when(valid, "VALID").otherwise("INVALID").alias("validation_status"), F.when(valid, "cross_page").otherwise("unmatched").alias("match_type"), F.when(valid, found["start"]).alias("char_start"), F.when(valid, found["end"]).alias("char_end"), why.alias("reason"))
-    none = F.lit(None).cast("int")
-    bad = c.filter(~F.coalesce(proper, F.lit(False))).select(*keys, F.lit("INVALID").alias("validation_status"), F.lit("unmatched").alias("match_type"), none.alias("char_start"), none.alias("char_end"), F.lit("INVALID_PAGE_NUMBER").alias("reason"))
-    return single.unionByName(cross).unionByName(bad)
+    reason = F.when(~F.col("proper"), "INVALID_PAGE_NUMBER").when(F.col("one"), on_page).otherwise(over_pages)
+    kind = F.when(~valid, "unmatched").when(~F.col("one"), "cross_page").when(found["exact"], "exact").otherwise("normalized_whitespace")
+    return joined.select(
+        *claims_.columns, F.when(valid, "VALID").otherwise("INVALID").alias("validation_status"), kind.alias("match_type"), F.when(valid, found["start"]).alias("char_start"), F.when(valid, found["end"]).alias("char_end"), reason.alias("reason")
+    )
 
 
 def coverage(documents: DataFrame, resolved: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from deedflow.functions import rules, text
 NAME = r"[A-Z][A-Za-z0-9\s,\.\&]+?"
 ROLE = r"""(?:\s*(?:\(|,)\s*["“']?([A-Za-z\s]+)["”']?\s*(?:\)|,))?"""
 BETWEEN = rf"(?idU)between\s+({NAME}){ROLE}\s+and\s+({NAME}){ROLE}(?:\.|\;|\n|$)"
+ROLE_LINE = rf"(?idU)\b({'|'.join(rules.ROLES)})\s*[:\-]\s*({NAME})(?:\n|\;|\.|$)"
 HEADING = r"^(?:(?:Section|Article|Clause)[ \t]+)?([0-9IVXLCDM]+(?:\.[0-9]+)*|\b[A-Z]\b)[\.:\-][ \t]*([^\n\r]+)$"
 MODAL = r"(?iU)\b([A-Z][A-Za-z0-9\s]{2,25})\s+(shall|must|agrees to|is required to|undertakes to)\s+([^.;]+)"
 TRIGGER = r"(?iU)\b(upon\s+[^,]+|in the event of\s+[^,]+|if\s+[^,]+|prior to\s+[^,]+)"
@@ -24,33 +25,29 @@ DATES = (
 )
 
 
-def all_groups(c: Column, pattern: str, groups: range) -> Column:
-    """Array of (g0, g1, ...), one for each match."""
-    return F.arrays_zip(*[F.regexp_extract_all(c, F.lit(pattern), F.lit(g)).alias(f"g{g}") for g in groups])
-
-
 def comma_strip(c: Column) -> Column:
     return F.regexp_replace(text.strip(c), r"^,+|,+$", "")
 
 
-def role_hit(kind: int, role: str) -> Callable[[Column, Column], Column]:
-    return lambda m, k: F.struct(F.lit(kind).alias("kind"), k.alias("hit"), F.lit(role).alias("role"), m["g1"].alias("name"), m["g0"].alias("span"))
-
-
 def parties(pages: DataFrame) -> DataFrame:
     """(document_id, page_number, ordinal, name, role, source_span): first of each name and role of the first two pages."""
     first = pages.filter("page_number <= 2 and text is not null")
-    match = first.select("document_id", "page_number", F.posexplode(all_groups(F.col("text"), BETWEEN, range(5))).alias("at", "m"))
-    role = lambda g: F.coalesce(F.nullif(text.strip(F.col(f"m.g{g}")), F.lit("")), F.lit("Party"))
-    two = F.array(*[F.struct(comma_strip(F.col(f"m.g{n}")).alias("name"), role(r).alias("role")) for n, r in ((1, 2), (3, 4))])
-    between = match.select("document_id", "page_number", F.col("at").alias("hit"), text.strip(F.col("m.g0")).alias("source_span"), F.posexplode(two).alias("side", "p"))
+    # one pass over the page; groups are read from what matched
+    hit = F.regexp_extract_all("text", F.lit(BETWEEN), F.lit(0))
+    match = first.select("document_id", "page_number", F.posexplode(hit).alias("at", "span"))
+    group = lambda g: F.regexp_extract("span", BETWEEN, g)
+    role = lambda g: F.coalesce(F.nullif(text.strip(group(g)), F.lit("")), F.lit("Party"))
+    two = F.array(*[F.struct(comma_strip(group(n)).alias("name"), role(r).alias("role")) for n, r in ((1, 2), (3, 4))])
+    between = match.select("document_id", "page_number", F.col("at").alias("hit"), text.strip(F.col("span")).alias("source_span"), F.posexplode(two).alias("side", "p"))
     between = between.select("document_id", "page_number", F.struct(F.lit(0).alias("kind"), "hit", "side").alias("o"), "p.name", "p.role", "source_span")
-    lines = []
-    for i, r in enumerate(rules.ROLES):
-        pattern = rf"(?idU)\b{r}\s*[:\-]\s*({NAME})(?:\n|\;|\.|$)"
-        lines.append(F.transform(all_groups(F.col("text"), pattern, range(2)), role_hit(i + 1, r)))
-    keyed = first.select("document_id", "page_number", F.explode(F.flatten(F.array(*lines))).alias("x"))
-    keyed = keyed.select("document_id", "page_number", F.struct("x.kind", "x.hit", F.lit(0).alias("side")).alias("o"), comma_strip(F.col("x.name")).alias("name"), "x.role", text.strip(F.col("x.span")).alias("source_span"))
+    # a name holds neither of the marks after a role, so that hits of several roles never overlap
+    line = first.select("document_id", "page_number", F.posexplode(F.regexp_extract_all("text", F.lit(ROLE_LINE), F.lit(0))).alias("hit", "span"))
+    named = F.lower(F.regexp_extract("span", ROLE_LINE, 1))
+    kind = F.array_position(F.array(*[F.lit(r.lower()) for r in rules.ROLES]), named).cast("int")
+    keyed = line.withColumn("kind", kind).select(
+        "document_id", "page_number", F.struct("kind", "hit", F.lit(0).alias("side")).alias("o"), comma_strip(F.regexp_extract("span", ROLE_LINE, 2)).alias("name"),
+        F.get(F.array(*[F.lit(r) for r in rules.ROLES]), F.col("kind") - 1).alias("role"), text.strip(F.col("span")).alias("source_span"),
+    )
     every = between.unionByName(keyed).filter((F.length("name") > 2) & (F.length("name") < 80))
     key = [F.lower("name"), F.lower("role")]
     once = every.withColumn("n", F.row_number().over(Window.partitionBy("document_id", *key).orderBy("page_number", "o"))).filter("n = 1")
@@ -94,6 +91,17 @@ def page_sentences(pages: DataFrame) -> DataFrame:
     return pages.filter("text is not null").select("document_id", "page_number", F.posexplode(text.sentences(F.col("text"))).alias("at", "sentence"))
 
 
+def clauses_of_pages(found_clauses: DataFrame) -> DataFrame:
+    """(document_id, page_number, on_page): the clauses of a page in order."""
+    one = F.struct(F.col("ordinal").alias("ordinal"), "clause_identifier", "text")
+    return found_clauses.groupBy("document_id", "page_number").agg(F.sort_array(F.collect_list(one)).alias("on_page"))
+
+
+def holding_clause(span: Column) -> Column:
+    """Identifier of the first of the page's clauses (``on_page``) whose text holds the span."""
+    return F.get(F.filter("on_page", lambda c: F.contains(c["text"], span)), F.lit(0))["clause_identifier"]
+
+
 def obligations(pages: DataFrame, found_clauses: DataFrame | None = None) -> DataFrame:
     """(document_id, page_number, ordinal, obligor, duty, trigger, deadline, source_span, clause_identifier).
 
@@ -109,10 +117,8 @@ def obligations(pages: DataFrame, found_clauses: DataFrame | None = None) -> Dat
     if found_clauses is None:
         linked = verb.withColumn("clause_identifier", F.lit(None).cast("string"))
     else:
-        c = found_clauses.select("document_id", "page_number", F.col("ordinal").alias("c_ordinal"), "clause_identifier", F.col("text").alias("c_text"))
-        held = F.min(F.when(F.contains("c_text", F.col("source_span")), F.struct("c_ordinal", "clause_identifier")))
-        keys = verb.columns
-        linked = verb.join(c, ["document_id", "page_number"], "left").groupBy(*keys).agg(held["clause_identifier"].alias("clause_identifier"))
+        on_page = clauses_of_pages(found_clauses)
+        linked = verb.join(on_page.hint("merge"), ["document_id", "page_number"], "left").withColumn("clause_identifier", holding_clause(F.col("source_span"))).drop("on_page")
     ordinal = F.row_number().over(Window.partitionBy("document_id").orderBy("page_number", "at"))
     return linked.select("document_id", "page_number", ordinal.alias("ordinal"), "obligor", "duty", "trigger", "deadline", "source_span", "clause_identifier")
 

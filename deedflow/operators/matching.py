@@ -8,29 +8,32 @@ from pyspark.sql import functions as F
 from deedflow.functions import rules, text
 
 
-def first_fit(a: DataFrame, b: DataFrame, holds: Column) -> DataFrame:
-    """(pair_id, a, b) of two sides (pair_id, x struct with ``ordinal``): each A in order takes the first free B that fits.
+def first_fit(sided: DataFrame, holds: Column) -> DataFrame:
+    """(pair_id, a, b) of entities (pair_id, side, x struct with ``ordinal``): each A in order takes the first free B that fits.
 
-    ``holds`` is a condition on columns ``a`` and ``b``; rows left alone come with the other side null. Work in one
-    pair is bounded by its entities.
+    ``holds`` is a condition on columns ``a`` and ``b``; rows left alone come with the other side null. One shuffle
+    by pair; work in a pair is bounded by its entities.
     """
-    left, right = a.select("pair_id", F.col("x").alias("a")), b.select("pair_id", F.col("x").alias("b"))
-    edges = left.join(right, "pair_id").filter(holds).select("pair_id", F.col("a.ordinal").alias("i"), F.col("b.ordinal").alias("j"))
+    of = lambda s: F.sort_array(F.collect_list(F.when(F.col("side") == s, F.struct(F.col("x.ordinal").alias("o"), F.col("x").alias("x")))))
+    both = sided.groupBy("pair_id").agg(of("a").alias("left"), of("b").alias("right")).select("pair_id", F.col("left.x").alias("left"), F.col("right.x").alias("right"))
+    every = both.select("pair_id", "left", "right", F.explode_outer("left").alias("a")).select("*", F.explode_outer("right").alias("b"))
+    edge = F.when(F.coalesce(holds, F.lit(False)) & F.col("a").isNotNull() & F.col("b").isNotNull(), F.struct(F.col("a.ordinal").alias("i"), F.col("b.ordinal").alias("j")))
+    edges = every.groupBy("pair_id").agg(F.first("left").alias("left"), F.first("right").alias("right"), F.sort_array(F.collect_list(edge)).alias("edges"))
     none = F.struct(F.array().cast("array<int>").alias("i"), F.array().cast("array<int>").alias("j"))
     step = lambda s, e: F.when(F.array_contains(s["i"], e["i"]) | F.array_contains(s["j"], e["j"]), s).otherwise(F.struct(F.array_append(s["i"], e["i"]).alias("i"), F.array_append(s["j"], e["j"]).alias("j")))
-    taken = edges.groupBy("pair_id").agg(F.aggregate(F.sort_array(F.collect_list(F.struct("i", "j"))), none, step).alias("t"))
-    chosen = taken.select("pair_id", F.explode(F.arrays_zip(F.col("t.i").alias("i"), F.col("t.j").alias("j"))).alias("m")).select("pair_id", "m.i", "m.j")
-    chosen = chosen.select(F.col("pair_id").alias("cp"), "i", "j")
-    with_a = left.join(chosen, (F.col("pair_id") == F.col("cp")) & (F.col("a.ordinal") == F.col("i")), "left").select("pair_id", "a", "j")
-    others = right.select(F.col("pair_id").alias("bp"), "b", F.col("b.ordinal").alias("rj"))
-    return with_a.join(others, (F.col("pair_id") == F.col("bp")) & (F.col("j") == F.col("rj")), "full_outer").select(F.coalesce("pair_id", "bp").alias("pair_id"), "a", "b")
+    taken = edges.withColumn("t", F.aggregate("edges", none, step))
+    partner = lambda a: F.get(F.col("t.j"), F.array_position(F.col("t.i"), a["ordinal"]).cast("int") - 1)
+    own = F.transform("left", lambda a: F.struct(a.alias("a"), F.get(F.filter("right", lambda b: b["ordinal"] == partner(a)), F.lit(0)).alias("b")))
+    free = F.filter("right", lambda b: ~F.array_contains(F.col("t.j"), b["ordinal"]))
+    rest = F.transform(free, lambda b: F.struct(F.get(F.slice("left", 1, 0), F.lit(0)).alias("a"), b.alias("b")))
+    return taken.select("pair_id", F.inline(F.concat(own, rest)))
 
 
-def sides(entities: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Entities of the two documents of each pair (pair_id, a_document_id, b_document_id)."""
+def sides(entities: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(pair_id, side, x): entities of the two documents of each pair (pair_id, a_document_id, b_document_id)."""
     packed = entities.select("document_id", F.struct(*[c for c in entities.columns if c != "document_id"]).alias("x"))
-    side = lambda c: pairs.select("pair_id", F.col(c).alias("document_id")).join(packed, "document_id").select("pair_id", "x")
-    return side("a_document_id"), side("b_document_id")
+    ends = pairs.select("pair_id", F.inline(F.array(*[F.struct(F.lit(s).alias("side"), F.col(f"{s}_document_id").alias("document_id")) for s in ("a", "b")])))
+    return ends.join(packed.hint("merge"), "document_id").select("pair_id", "side", "x")
 
 
 def _found(matched: DataFrame, kind: Column, same: Column, changed: str, same_name: str, only: tuple[str, str], label: Column) -> DataFrame:
@@ -51,14 +54,14 @@ def compare_parties(parties: DataFrame, pairs: DataFrame) -> DataFrame:
     a, b = key("a"), key("b")
     holds = (a == b) | ((F.length(a) > 3) & F.contains(b, a)) | ((F.length(b) > 3) & F.contains(a, b))
     same = text.match_key(F.col("a.role")) == text.match_key(F.col("b.role"))
-    return _found(first_fit(*sides(parties, pairs), holds), F.lit("PARTIES"), same, "DIFFERENT", "MATCH", ONLY, either("name"))
+    return _found(first_fit(sides(parties, pairs), holds), F.lit("PARTIES"), same, "DIFFERENT", "MATCH", ONLY, either("name"))
 
 
 def compare_dates(dates: DataFrame, pairs: DataFrame) -> DataFrame:
     key = lambda s, c: text.match_key(F.col(f"{s}.{c}"))
     holds = (key("a", "date_type") == key("b", "date_type")) | (key("a", "description") == key("b", "description"))
     value = lambda s: F.coalesce(F.col(f"{s}.normalized_date"), text.strip(F.col(f"{s}.raw_text")))
-    return _found(first_fit(*sides(dates, pairs), holds), F.lit("DATES"), value("a") == value("b"), "POTENTIAL_INCONSISTENCY", "MATCH", ONLY, either("description"))
+    return _found(first_fit(sides(dates, pairs), holds), F.lit("DATES"), value("a") == value("b"), "POTENTIAL_INCONSISTENCY", "MATCH", ONLY, either("description"))
 
 
 def compare_obligations(obligations: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -68,7 +71,7 @@ def compare_obligations(obligations: DataFrame, pairs: DataFrame) -> DataFrame:
     a, b = duty("a"), duty("b")
     overlap = F.contains(b, a) | F.contains(a, b) | (days("a").isNotNull() & days("b").isNotNull())
     holds = (notice("a") & notice("b")) | ((text.match_key(F.col("a.obligor")) == text.match_key(F.col("b.obligor"))) & overlap)
-    matched = first_fit(*sides(obligations, pairs), holds)
+    matched = first_fit(sides(obligations, pairs), holds)
     differ = F.coalesce(days("a") != days("b"), F.lit(False)) & F.col("a").isNotNull() & F.col("b").isNotNull()
     out = _found(matched.withColumn("differ", differ), F.when(F.col("differ"), "NOTICE").otherwise("OBLIGATIONS"), ~F.col("differ") & (a == b), "DIFFERENT", "MATCH", ONLY, either("obligor"))
     return out.withColumn("classification", F.when((F.col("category") == "NOTICE"), "POTENTIAL_INCONSISTENCY").otherwise(F.col("classification")))
@@ -79,14 +82,14 @@ def compare_clauses(clauses: DataFrame, pairs: DataFrame) -> DataFrame:
     a, b = key("a", "title"), key("b", "title")
     by_category = (key("a", "category") == key("b", "category")) & ~key("a", "category").isin("other", "general")
     holds = by_category | ((a != "") & ((a == b) | ((F.length(a) > 4) & F.contains(b, a))))
-    return _found(first_fit(*sides(clauses, pairs), holds), rules.comparison_category(either("category")), key("a", "text") == key("b", "text"), "DIFFERENT", "MATCH", ONLY, either("title"))
+    return _found(first_fit(sides(clauses, pairs), holds), rules.comparison_category(either("category")), key("a", "text") == key("b", "text"), "DIFFERENT", "MATCH", ONLY, either("title"))
 
 
 def diff_parties(parties: DataFrame, pairs: DataFrame) -> DataFrame:
     a, b = text.party_key(F.col("a.name")), text.party_key(F.col("b.name"))
     holds = (a == b) | ((a != "") & (b != "") & (F.contains(b, a) | F.contains(a, b)))
     low = lambda c: F.lower(text.strip(F.col(c)))
-    return _found(first_fit(*sides(parties, pairs), holds), F.lit("PARTIES"), low("a.role") == low("b.role"), "MODIFIED", "UNCHANGED", CHANGED, either("name"))
+    return _found(first_fit(sides(parties, pairs), holds), F.lit("PARTIES"), low("a.role") == low("b.role"), "MODIFIED", "UNCHANGED", CHANGED, either("name"))
 
 
 def diff_dates(dates: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -94,7 +97,7 @@ def diff_dates(dates: DataFrame, pairs: DataFrame) -> DataFrame:
     a, b = key("a"), key("b")
     holds = (a != "") & (b != "") & ((a == b) | F.contains(b, a) | F.contains(a, b))
     value = lambda s: F.coalesce(F.col(f"{s}.normalized_date"), F.col(f"{s}.raw_text"))
-    return _found(first_fit(*sides(dates, pairs), holds), F.lit("DATES"), value("a") == value("b"), "MODIFIED", "UNCHANGED", CHANGED, either("description"))
+    return _found(first_fit(sides(dates, pairs), holds), F.lit("DATES"), value("a") == value("b"), "MODIFIED", "UNCHANGED", CHANGED, either("description"))
 
 
 def diff_obligations(obligations: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -102,7 +105,7 @@ def diff_obligations(obligations: DataFrame, pairs: DataFrame) -> DataFrame:
     trigger = F.coalesce((low("a.trigger") != "") & (low("a.trigger") == low("b.trigger")), F.lit(False))
     holds = (low("a.obligor") == low("b.obligor")) & (trigger | F.contains(F.col("b.duty"), F.col("a.duty")) | F.contains(F.col("a.duty"), F.col("b.duty")))
     same = (low("a.duty") == low("b.duty")) & (low("a.deadline") == low("b.deadline"))
-    return _found(first_fit(*sides(obligations, pairs), holds), F.lit("OBLIGATIONS"), same, "MODIFIED", "UNCHANGED", CHANGED, either("obligor"))
+    return _found(first_fit(sides(obligations, pairs), holds), F.lit("OBLIGATIONS"), same, "MODIFIED", "UNCHANGED", CHANGED, either("obligor"))
 
 
 def diff_clauses(clauses: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -111,7 +114,7 @@ def diff_clauses(clauses: DataFrame, pairs: DataFrame) -> DataFrame:
     by_category = (low("a.category") != "") & (low("a.category") != "general") & (low("a.category") == low("b.category"))
     holds = by_category | ((a != "") & (b != "") & (F.contains(b, a) | F.contains(a, b)))
     same = text.strip(F.col("a.text")) == text.strip(F.col("b.text"))
-    return _found(first_fit(*sides(clauses, pairs), holds), either("category"), same, "MODIFIED", "UNCHANGED", CHANGED, either("title"))
+    return _found(first_fit(sides(clauses, pairs), holds), either("category"), same, "MODIFIED", "UNCHANGED", CHANGED, either("title"))
 
 
 def summary(findings: DataFrame, classes: tuple[str, ...]) -> DataFrame:

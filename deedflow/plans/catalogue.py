@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from deedflow.functions import rules, text
 from deedflow.operators import answers, chunking, evidence, extraction, matching, questions, tables, timeline, trust, vectors
 from deedflow.sources.contracts import CONTRACTS_SQL, contract_pages
+from deedflow.sources.scratch import written
 from deedflow.streaming.pages import counts_by_hour
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +40,11 @@ def document_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("doc_id").alias("document_id"), F.col("source").alias("user_id"), F.lit(1).alias("page_number"), F.col("doc_id").cast("string").alias("page_id"), "text")
 
 
+def written_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract pages, composed once for plans that read them more than once."""
+    return written(contract_pages(spark, sf_dir), "pages")
+
+
 def version_pairs(pages: DataFrame) -> DataFrame:
     """Both versions of each contract as a pair."""
     one = pages.filter("page_number = 1").groupBy("pair_id").agg(F.min("document_id").alias("a_document_id"), F.max("document_id").alias("b_document_id"))
@@ -239,12 +245,12 @@ def with_all(select: str) -> str:
 
 @query(with_all("SELECT document_id, page_number, ordinal, name, role, source_span FROM parties"))
 def parties(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extraction.parties(contract_pages(spark, sf_dir)).withColumn("ordinal", F.col("ordinal").cast("long"))
+    return extraction.parties(written_pages(spark, sf_dir)).withColumn("ordinal", F.col("ordinal").cast("long"))
 
 
 @query(with_all("SELECT document_id, page_number, ordinal, clause_identifier, title, category, text, source_span FROM clauses"))
 def clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extraction.clauses(contract_pages(spark, sf_dir)).withColumn("ordinal", F.col("ordinal").cast("long"))
+    return extraction.clauses(written_pages(spark, sf_dir)).withColumn("ordinal", F.col("ordinal").cast("long"))
 
 
 @query(f"""
@@ -264,7 +270,7 @@ def clauses_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(with_all("""SELECT o.document_id AS document_id, o.page_number AS page_number, o.ordinal AS ordinal, obligor, duty, trigger, deadline, o.source_span AS source_span, min_by(clause_identifier, c.ordinal) AS clause_identifier
 FROM obligations o LEFT JOIN clauses c ON o.document_id = c.document_id AND o.page_number = c.page_number AND contains(c.text, o.source_span) GROUP BY ALL"""))
 def obligations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = contract_pages(spark, sf_dir)
+    pages = written_pages(spark, sf_dir)
     return extraction.obligations(pages, extraction.clauses(pages)).withColumn("ordinal", F.col("ordinal").cast("long"))
 
 
@@ -289,13 +295,13 @@ def category_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
 (SELECT count(*) FROM obligations x WHERE x.document_id = d.document_id) AS n_obligations, (SELECT count(*) FROM dates x WHERE x.document_id = d.document_id) AS n_dates, (SELECT count(*) FROM flags x WHERE x.document_id = d.document_id) AS n_flags
 FROM (SELECT DISTINCT document_id FROM cpages) d"""))
 def entity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = contract_pages(spark, sf_dir)
+    p = written_pages(spark, sf_dir)
     return tables.entity_counts(p, parties=extraction.parties(p), clauses=extraction.clauses(p), obligations=extraction.obligations(p), dates=extraction.dates(p), flags=extraction.review_flags(p))
 
 
 @query(with_all("SELECT category AS value, count(*) AS n FROM clauses GROUP BY 1"))
 def facets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.facet(extraction.clauses(contract_pages(spark, sf_dir)), "category")
+    return tables.facet(extraction.clauses(written_pages(spark, sf_dir)), "category")
 
 
 # --- evidence and trust -------------------------------------------------------------------------------------------
@@ -318,12 +324,12 @@ def contract_claims(pages: DataFrame) -> DataFrame:
 def cited_claims(pages: DataFrame) -> DataFrame:
     """Claims, those of every seventh document citing a wrong page and of every eleventh a missing one."""
     page = F.when(F.col("document_id") % 7 == 0, F.col("page_start") % 3 + 1).when(F.col("document_id") % 11 == 0, 9).otherwise(F.col("page_start")).cast("int")
-    return contract_claims(pages).withColumns({"page_start": page, "page_end": page})
+    return written(contract_claims(pages).withColumns({"page_start": page, "page_end": page}), "claims")
 
 
 @query(with_all("SELECT document_id, claim_type, claim_text, page_number AS page_start, source_span FROM claims").replace("\nSELECT document_id, claim_type", "," + CLAIMS_SQL + "\nSELECT document_id, claim_type"))
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contract_claims(contract_pages(spark, sf_dir)).select("document_id", "claim_type", "claim_text", "page_start", "source_span")
+    return contract_claims(written_pages(spark, sf_dir)).select("document_id", "claim_type", "claim_text", "page_start", "source_span")
 
 
 @query(f"""WITH {ALL_SQL}, {CLAIMS_SQL}
@@ -331,7 +337,7 @@ SELECT document_id, claim_type, claim_text, CASE WHEN pos >= 0 THEN 'VALID' ELSE
        CASE WHEN pos >= 0 THEN pos END AS char_start, CASE WHEN pos >= 0 THEN pos + length(source_span) END AS char_end,
        CASE WHEN pt IS NULL THEN 'PAGE_' || page || '_NOT_FOUND' WHEN pos < 0 THEN 'SPAN_NOT_FOUND_ON_PAGE' END AS reason FROM resolved""")
 def evidence_single(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = contract_pages(spark, sf_dir)
+    pages = written_pages(spark, sf_dir)
     found = evidence.resolve(cited_claims(pages), pages)
     return found.select("document_id", "claim_type", "claim_text", "validation_status", "match_type", F.col("char_start").cast("long").alias("char_start"), F.col("char_end").cast("long").alias("char_end"), "reason")
 
@@ -342,7 +348,7 @@ SELECT document_id, CASE WHEN document_id % 3 = 0 THEN 'INVALID' ELSE 'VALID' EN
        CASE WHEN document_id % 3 = 0 THEN 'CROSS_PAGE_SPAN_NOT_FOUND' END AS reason FROM two""")
 def evidence_cross_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans from the end of page 2 to the beginning of page 3, tampered with in every third document."""
-    pages = contract_pages(spark, sf_dir)
+    pages = written_pages(spark, sf_dir)
     two = pages.filter("page_number in (2, 3)").groupBy("document_id").agg(F.max(F.when(F.col("page_number") == 2, F.right("text", F.lit(12)))).alias("z"), F.max(F.when(F.col("page_number") == 3, F.left("text", F.lit(15)))).alias("a"))
     span = F.concat(F.when(F.col("document_id") % 3 == 0, F.lit("never ")).otherwise(F.lit("")), "z", F.lit("\n"), "a")
     cited = two.select("document_id", F.lit(2).alias("page_start"), F.lit(3).alias("page_end"), span.alias("source_span"))
@@ -354,12 +360,12 @@ def evidence_cross_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 g AS (SELECT document_id, count(*) AS total_claims, count(*) FILTER (pos >= 0) AS valid_claims, count(*) FILTER (pos < 0) AS invalid_claims FROM resolved GROUP BY 1)
 SELECT document_id, total_claims, valid_claims, invalid_claims, 0::BIGINT AS unverified_claims, round_even(valid_claims / total_claims::DOUBLE, 4) AS coverage_ratio, valid_claims = total_claims AS is_fully_covered FROM g""")
 def evidence_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = contract_pages(spark, sf_dir)
+    pages = written_pages(spark, sf_dir)
     return evidence.coverage(pages, evidence.resolve(cited_claims(pages), pages))
 
 
 def assessed_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = contract_pages(spark, sf_dir)
+    pages = written_pages(spark, sf_dir)
     found = evidence.resolve(cited_claims(pages), pages)
     keyed = found.withColumn("claim_id", F.concat_ws("|", "document_id", "claim_type", "ordinal")).withColumn("evidence_document_id", F.col("document_id"))
     return trust.assess(keyed.select("claim_id", "document_id", "claim_type", "claim_text", "evidence_document_id", "validation_status"))
@@ -404,7 +410,7 @@ def longs(df: DataFrame) -> DataFrame:
 
 
 def paired(spark: SparkSession, sf_dir: str, kind: Callable[[DataFrame], DataFrame], compare: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
-    pages = contract_pages(spark, sf_dir)
+    pages = written_pages(spark, sf_dir)
     return longs(compare(kind(pages), version_pairs(pages)))
 
 
@@ -452,8 +458,6 @@ def diff_obligations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 HEADS = "coalesce(a.title, b.title) AS label, coalesce(a.category, b.category) AS category, a.text AS ta, b.text AS tb"
-# category or title alone decide in these contracts: numbers agree, and titles hold the terms that may differ
-CLAUSE_ON = "a.clause_identifier = b.clause_identifier"
 
 
 @query(pair_sql("clauses", "((a.category = b.category AND a.category NOT IN ('other', 'general')) OR a.title = b.title) AND a.clause_identifier = b.clause_identifier", HEADS, rules.case_sql("category", list(rules.COMPARISON_CATEGORIES), "CLAUSE"), "ta = tb", "label", False))
@@ -468,7 +472,7 @@ def diff_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT pair_id, count(*) FILTER (classification = 'MATCH') AS n_match, count(*) FILTER (classification = 'DIFFERENT') AS n_different, count(*) FILTER (classification = 'PRESENT_IN_ONE_ONLY') AS n_present_in_one_only, count(*) FILTER (classification = 'POTENTIAL_INCONSISTENCY') AS n_potential_inconsistency, count(*) FILTER (classification = 'UNRESOLVED') AS n_unresolved, count(*) AS total FROM ({ORACLE_SQL['compare_clauses']} UNION ALL {ORACLE_SQL['compare_obligations'].replace('WITH', 'SELECT * FROM (WITH', 1)}) ) GROUP BY 1")
 def compare_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = contract_pages(spark, sf_dir)
+    pages = written_pages(spark, sf_dir)
     pairs = version_pairs(pages)
     every = matching.compare_clauses(extraction.clauses(pages), pairs).unionByName(matching.compare_obligations(extraction.obligations(pages), pairs))
     return matching.summary(every, matching.COMPARISON_CLASSES)
@@ -476,13 +480,13 @@ def compare_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT pair_id, count(*) FILTER (classification = 'UNCHANGED') AS n_unchanged, count(*) FILTER (classification = 'MODIFIED') AS n_modified, count(*) FILTER (classification = 'ADDED') AS n_added, count(*) FILTER (classification = 'REMOVED') AS n_removed, count(*) AS total FROM ({ORACLE_SQL['diff_clauses']}) GROUP BY 1")
 def diff_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = contract_pages(spark, sf_dir)
+    pages = written_pages(spark, sf_dir)
     return matching.summary(matching.diff_clauses(extraction.clauses(pages), version_pairs(pages)), matching.DIFF_CLASSES)
 
 
 @query(f"WITH {CONTRACTS_SQL} SELECT DISTINCT pair_id, true AS shares_party, true AS shares_category, true AS compatible FROM cpages")
 def version_compatibility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = contract_pages(spark, sf_dir)
+    pages = written_pages(spark, sf_dir)
     return matching.compatible(extraction.parties(pages), extraction.clauses(pages), version_pairs(pages))
 
 
@@ -496,8 +500,8 @@ items AS (SELECT document_id, 'Date: ' || description AS title, 'FIXED_DATE' AS
 
 
 def contract_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = contract_pages(spark, sf_dir)
-    return timeline.timeline(extraction.obligations(pages), extraction.dates(pages))
+    pages = written_pages(spark, sf_dir)
+    return timeline.timeline(written(extraction.obligations(pages), "obligations"), written(extraction.dates(pages), "dates"))
 
 
 @query(TIMELINE_SQL + " SELECT document_id, title, date_type, item_status, calendar_date, party, duty_or_event, row_number() OVER (PARTITION BY document_id ORDER BY calendar_date IS NULL, coalesce(calendar_date, title), part, ordinal) AS seq FROM items")
@@ -610,7 +614,7 @@ SELECT document_id, CASE flag_type {' '.join(f"WHEN '{f}' THEN '{c}'" for f, c i
 UNION ALL SELECT document_id, category, arg_min(title, ordinal) FROM clauses WHERE category IN ('liability', 'indemnification', 'dispute_resolution') GROUP BY 1, 2
 UNION ALL SELECT d.document_id, c, NULL FROM (SELECT DISTINCT document_id FROM cpages WHERE document_id NOT IN (SELECT document_id FROM flags) AND document_id NOT IN (SELECT document_id FROM clauses WHERE category IN ('liability', 'indemnification', 'dispute_resolution'))) d CROSS JOIN (VALUES ('general'), ('jurisdiction')) v(c))"""))
 def brief_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = contract_pages(spark, sf_dir)
+    p = written_pages(spark, sf_dir)
     return questions.brief_questions(p, extraction.review_flags(p), extraction.clauses(p)).select("document_id", "category", "cause")
 
 
@@ -618,14 +622,14 @@ def brief_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 CASE WHEN r AND t THEN 'standard_addenda' ELSE concat_ws(',', CASE WHEN NOT r THEN 'governing_law' END, CASE WHEN NOT t THEN 'termination_rights' END) END AS open_questions
 FROM (SELECT document_id, bool_or(category = 'payment') AS p, bool_or(category = 'dispute_resolution') AS r, bool_or(category = 'termination') AS t FROM clauses GROUP BY 1)"""))
 def brief_checklists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = contract_pages(spark, sf_dir)
+    p = written_pages(spark, sf_dir)
     return questions.checklists(p, extraction.clauses(p), extraction.review_flags(p)).select("document_id", F.array_join("bring", ",").alias("bring"), F.array_join("open_questions", ",").alias("open_questions"))
 
 
 @query(with_all("""SELECT document_id, round_even(((document_id IN (SELECT document_id FROM parties))::INT + (document_id IN (SELECT document_id FROM clauses))::INT + (document_id IN (SELECT document_id FROM obligations))::INT
 + (document_id IN (SELECT document_id FROM dates))::INT + (document_id IN (SELECT document_id FROM flags))::INT) / 5.0, 2)::DOUBLE AS score FROM (SELECT DISTINCT document_id FROM cpages)"""))
 def brief_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = contract_pages(spark, sf_dir)
+    p = written_pages(spark, sf_dir)
     return questions.completeness(p, extraction.parties(p), extraction.clauses(p), extraction.obligations(p), extraction.dates(p), extraction.review_flags(p))
 
 
@@ -651,7 +655,7 @@ answers AS (
 
 @query(ANSWERS_SQL + " SELECT document_id AS question_id, topic, page_start, source_span FROM answers")
 def qa_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = contract_pages(spark, sf_dir)
+    pages = written_pages(spark, sf_dir)
     asked_ = contract_questions(pages)
     return answers.answer_claims(asked_, answers.first_pages(asked_, pages)).select("question_id", "topic", F.col("page_start").cast("long").alias("page_start"), "source_span")
 
@@ -659,7 +663,7 @@ def qa_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(ANSWERS_SQL + """ SELECT w.document_id AS question_id, (SELECT count(*) FROM answers a WHERE a.document_id = w.document_id) AS n_claims,
 CASE WHEN pair_id % 4 = 2 THEN 'PROFESSIONAL_REVIEW_NEEDED' ELSE 'DOCUMENT_FACT' END AS trust_tier, 1.0::DOUBLE AS coverage, (SELECT count(*) FROM answers a WHERE a.document_id = w.document_id) > 0 AS is_grounded FROM w""")
 def qa_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = contract_pages(spark, sf_dir)
+    pages = written_pages(spark, sf_dir)
     asked_ = contract_questions(pages)
     return answers.verdicts(asked_, answers.assessed_answers(asked_, answers.first_pages(asked_, pages), pages))
 

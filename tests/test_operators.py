@@ -147,7 +147,7 @@ def test_first_fit_is_the_nested_loop(spark):
     sides = [(p, s, i, r.randrange(4)) for p in range(40) for s in "ab" for i in range(r.randrange(5))]
     df = spark.createDataFrame(sides, "pair_id int, side string, ordinal int, v int")
     pick = lambda s: df.filter(F.col("side") == s).select("pair_id", F.struct("ordinal", "v").alias("x"))
-    got = {(m.pair_id, m.a and m.a.ordinal, m.b and m.b.ordinal) for m in matching.first_fit(pick("a"), pick("b"), F.col("a.v") == F.col("b.v")).collect()}
+    got = {(m.pair_id, m.a and m.a.ordinal, m.b and m.b.ordinal) for m in matching.first_fit(pick("a").withColumn("side", F.lit("a")).unionByName(pick("b").withColumn("side", F.lit("b"))), F.col("a.v") == F.col("b.v")).collect()}
     want = set()
     for p in range(40):
         a, b = ([(i, v) for q, s, i, v in sides if q == p and s == side] for side in "ab")
