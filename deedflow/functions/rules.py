@@ -38,6 +38,15 @@ COMPARISON_CATEGORIES = (
     ("DEFINITIONS", ("definit",)),
     ("OBLIGATIONS", ("obligat", "duty", "covenant")),
 )
+#: Fixed values: (category of a version's change, parts of a clause category) in order of precedence.
+DIFF_CATEGORIES = (
+    ("PARTIES", ("party", "parties")),
+    ("DATES", ("date", "term", "duration")),
+    ("OBLIGATIONS", ("oblig",)),
+    ("NOTICE", ("notice", "terminat")),
+    ("PAYMENT", ("pay", "fee", "rent", "price")),
+    ("CLAUSE", ("clause", "govern", "confidential")),
+)
 #: Review flags: (type, title, severity, phrases).
 FLAGS = (
     ("restrictive_covenant", "Restrictive Covenant (Non-Compete)", "medium", "non-compete|noncompete|restraint of trade"),
@@ -84,6 +93,10 @@ def comparison_category(category: Column) -> Column:
     return first_rule(F.lower(category), list(COMPARISON_CATEGORIES), "CLAUSE")
 
 
+def diff_category(category: Column) -> Column:
+    return first_rule(F.lower(F.trim(F.coalesce(category, F.lit("")))), list(DIFF_CATEGORIES), "OTHER")
+
+
 def case_sql(text: str, rules: list[tuple[str, tuple[str, ...]]], default: str) -> str:
     """The same first rule as SQL, for checks in another engine."""
     whens = " ".join("WHEN " + " OR ".join(f"contains({text}, '{w}')" for w in words) + f" THEN '{name}'" for name, words in rules)

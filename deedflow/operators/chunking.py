@@ -15,11 +15,12 @@ CHUNK = "struct<text:string,page_start:int,page_end:int,page_ids:array<string>>"
 
 @dataclass(frozen=True)
 class Chunking:
-    """Sizes in characters: a chunk is closed at ``target``; up to ``overlap`` are carried on; a tail below ``least`` joins the chunk before."""
+    """Sizes in characters: a chunk is closed at ``target``; up to ``overlap`` are carried on; a tail below ``least`` joins the chunk before; more than ``most`` chunks are an error."""
 
     target: int = 600
     overlap: int = 120
     least: int = 80
+    most: int = 2000
 
 
 def page_units(page_text: Column, target: int = 600) -> Column:
@@ -92,5 +93,7 @@ def chunks(pages: DataFrame, config: Chunking = Chunking()) -> DataFrame:
     ordered = pages.groupBy("document_id").agg(F.sort_array(F.collect_list(F.struct("page_number", "page_id", "text"))).alias("ps"))
     all_units = F.flatten(F.transform("ps", unit))
     folded = ordered.select("document_id", F.aggregate(all_units, state(empty, F.lit(0), F.array().cast(f"array<{CHUNK}>")), step, finish).alias("cs"))
+    too_many = F.raise_error(F.concat(F.lit("more than "), F.lit(config.most).cast("string"), F.lit(" chunks in document "), F.coalesce(F.col("document_id").cast("string"), F.lit("null"))))
+    folded = folded.withColumn("cs", F.when(F.size("cs") > config.most, too_many).otherwise(F.col("cs")))
     rows = folded.select("document_id", F.posexplode("cs").alias("chunk_index", "c")).select("document_id", "chunk_index", "c.*")
     return rows.withColumns({"char_count": F.length("text"), "token_estimate": text.token_estimate(F.length("text")), "content_hash": F.sha2(F.col("text").cast("binary"), 256)})

@@ -145,8 +145,11 @@ def dates(pages: DataFrame) -> DataFrame:
     return once.select("document_id", "page_number", ordinal.alias("ordinal"), "date_type", F.col("x.raw").alias("raw_text"), F.date_format("x.day", "yyyy-MM-dd").alias("normalized_date"), rules.date_description(F.col("date_type")).alias("description"), s.alias("source_span"))
 
 
-def review_flags(pages: DataFrame) -> DataFrame:
-    """(document_id, page_number, ordinal, flag_type, title, severity, source_span), each title of a page once."""
+def review_flags(pages: DataFrame, found_clauses: DataFrame | None = None) -> DataFrame:
+    """(document_id, page_number, ordinal, flag_type, title, severity, source_span), each title of a page once.
+
+    With clauses given, also ``clause_identifier``: the first of the page whose text holds the span, else null.
+    """
     p = F.col("text")
     made = []
     for i, (kind, title, severity, phrases) in enumerate(rules.FLAGS):
@@ -154,4 +157,14 @@ def review_flags(pages: DataFrame) -> DataFrame:
         made.append(F.when(p.rlike(rf"(?iU)\b({phrases})\b"), F.struct(F.lit(i).alias("kind"), F.lit(kind).alias("flag_type"), F.lit(title).alias("title"), F.lit(severity).alias("severity"), F.coalesce(span, F.lit(title)).alias("source_span"))))
     hit = pages.filter("text is not null").select("document_id", "page_number", F.explode(F.array_compact(F.array(*made))).alias("x"))
     ordinal = F.row_number().over(Window.partitionBy("document_id").orderBy("page_number", "x.kind"))
-    return hit.select("document_id", "page_number", ordinal.alias("ordinal"), "x.flag_type", "x.title", "x.severity", "x.source_span")
+    found = hit.select("document_id", "page_number", ordinal.alias("ordinal"), "x.flag_type", "x.title", "x.severity", "x.source_span")
+    if found_clauses is None:
+        return found
+    joined = found.join(clauses_of_pages(found_clauses).hint("merge"), ["document_id", "page_number"], "left")
+    return joined.withColumn("clause_identifier", holding_clause(text.strip(F.col("source_span")))).drop("on_page")
+
+
+def linked(entities: DataFrame, clauses: DataFrame) -> DataFrame:
+    """Entities with ``clause_id``: the id of their document's clause of that identifier (document_id, clause_identifier, clause_id)."""
+    ids = clauses.select("document_id", "clause_identifier", "clause_id").dropDuplicates(["document_id", "clause_identifier"])
+    return entities.join(ids.hint("merge"), ["document_id", "clause_identifier"], "left")

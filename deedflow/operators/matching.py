@@ -37,8 +37,10 @@ def sides(entities: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def _found(matched: DataFrame, kind: Column, same: Column, changed: str, same_name: str, only: tuple[str, str], label: Column) -> DataFrame:
+    ref = lambda s: F.when(F.col(s).isNotNull(), F.struct(F.lit(s).alias("side"), F.col(f"{s}.page_number").alias("page_number"), F.col(f"{s}.source_span").alias("source_span")))
+    refs = F.array_compact(F.array(ref("a"), ref("b"))).alias("refs")
     verdict = F.when(F.col("b").isNull(), only[0]).when(F.col("a").isNull(), only[1]).when(same, same_name).otherwise(changed)
-    return matched.select("pair_id", kind.alias("category"), verdict.alias("classification"), label.alias("label"), F.col("a.ordinal").alias("a_ordinal"), F.col("b.ordinal").alias("b_ordinal"))
+    return matched.select("pair_id", kind.alias("category"), verdict.alias("classification"), label.alias("label"), F.col("a.ordinal").alias("a_ordinal"), F.col("b.ordinal").alias("b_ordinal"), refs)
 
 
 ONLY = ("PRESENT_IN_ONE_ONLY", "PRESENT_IN_ONE_ONLY")
@@ -114,7 +116,7 @@ def diff_clauses(clauses: DataFrame, pairs: DataFrame) -> DataFrame:
     by_category = (low("a.category") != "") & (low("a.category") != "general") & (low("a.category") == low("b.category"))
     holds = by_category | ((a != "") & (b != "") & (F.contains(b, a) | F.contains(a, b)))
     same = text.strip(F.col("a.text")) == text.strip(F.col("b.text"))
-    return _found(first_fit(sides(clauses, pairs), holds), either("category"), same, "MODIFIED", "UNCHANGED", CHANGED, either("title"))
+    return _found(first_fit(sides(clauses, pairs), holds), rules.diff_category(either("category")), same, "MODIFIED", "UNCHANGED", CHANGED, either("title"))
 
 
 def summary(findings: DataFrame, classes: tuple[str, ...]) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +36,31 @@ def term_vectors(texts: DataFrame, *, id_cols: tuple[str, ...] = ("id",), text_c
     return keyed.drop("t").join(vectors, "h", "left").select(*id_cols, F.coalesce("vector", zero).alias("vector"))
 
 
+def embedded(texts: DataFrame, embedder: Callable[[DataFrame], DataFrame] | None = None, *, id_cols: tuple[str, ...] = ("id",), text_col: str = "text") -> DataFrame:
+    """(ids, content_hash, vector), each distinct text embedded once.
+
+    ``embedder`` makes (content_hash, vector) of (content_hash, text), for any model; without one the hashed term
+    vectors stand in. Null texts are empty.
+    """
+    keyed = texts.select(*id_cols, F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("content_hash", F.sha2(F.col("text").cast("binary"), 256))
+    once = keyed.dropDuplicates(["content_hash"]).select("content_hash", "text")
+    made = term_vectors(once, id_cols=("content_hash",)) if embedder is None else embedder(once).select("content_hash", "vector")
+    return keyed.drop("text").join(made.hint("merge"), "content_hash").select(*id_cols, "content_hash", "vector")
+
+
+def unit(vector: Column) -> Column:
+    """The vector at length 1, as doubles; one without length stays as it is."""
+    wide = F.transform(vector, lambda x: x.cast("double"))
+    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+    return text.let(wide, lambda v: text.let(norm(v), lambda n: F.when(n > 1e-9, F.transform(v, lambda x: x / n)).otherwise(F.transform(v, lambda x: F.lit(0.0)))))
+
+
+def dot(a: Column, b: Column) -> Column:
+    """Inner product; 0 for vectors of different length."""
+    product = F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+    return F.when(F.size(a) != F.size(b), 0.0).otherwise(product)
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine similarity; 0 for vectors of different length or without length."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
@@ -41,22 +68,43 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) != F.size(b)) | (na <= 1e-9) | (nb <= 1e-9), 0.0).otherwise(dot(a, b) / F.greatest(na * nb, F.lit(1e-300)))
 
 
+def cosine_distance(a: Column, b: Column) -> Column:
+    """1 less the cosine similarity."""
+    return 1.0 - cosine(a, b)
+
+
+#: Bytes of queries that a search may broadcast at once; more are searched in blocks.
+BLOCK_BYTES = 32 << 20
+
+
 def top_k(queries: DataFrame, rows: DataFrame, k: int, *, order: tuple[str, ...], min_similarity: float | None = None, within: str | None = None) -> DataFrame:
     """The ``k`` most similar rows (vector and key columns) of every query (query_id, query_vector[, ``within``]).
 
-    The queries are a stated set of bounded size and are broadcast; partial limits come before the shuffle.
+    The queries are a stated set. They are counted, and broadcast in blocks of at most ``BLOCK_BYTES``, so that a set
+    of any size meets all rows block by block; partial limits come before the shuffle. Vectors are brought to length 1
+    once, on both sides, and a pair costs an inner product.
     ``within`` names a column of the rows, as a tenant: each of its values, null too, has its own ``k`` rows of every
     query. Queries that have the column as well meet only rows of their own value.
     """
     if not 1 <= k <= 50:
         raise ValueError("k is 1 to 50")
-    if within and within in queries.columns:
-        own = queries.withColumnRenamed(within, "__within")
-        joined = rows.join(F.broadcast(own), F.col(within).eqNullSafe(F.col("__within"))).drop("__within")
-    else:
-        joined = rows.crossJoin(F.broadcast(queries))
-    scored = joined.withColumn("similarity", cosine(F.col("query_vector"), F.col("vector"))).drop("query_vector", "vector")
-    if min_similarity is not None:
-        scored = scored.filter(F.col("similarity") >= min_similarity)
+    n, width = queries.agg(F.count("*"), F.coalesce(F.max(F.size("query_vector")), F.lit(0))).first()
+    blocks = -(-n * (8 * width + 64) // BLOCK_BYTES) or 1
+    asked = queries.withColumn("query_vector", unit(F.col("query_vector")))
+    rows = rows.withColumn("vector", unit(F.col("vector")))
     keys = ["query_id", *([within] if within else [])]
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("similarity"), *order))).filter(F.col("rank") <= k)
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("similarity"), *order))
+    found = None
+    for block in range(blocks):
+        some = asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
+        if within and within in queries.columns:
+            own = some.withColumnRenamed(within, "_within")
+            joined = rows.join(F.broadcast(own), F.col(within).eqNullSafe(F.col("_within"))).drop("_within")
+        else:
+            joined = rows.crossJoin(F.broadcast(some))
+        scored = joined.withColumn("similarity", dot(F.col("query_vector"), F.col("vector"))).drop("query_vector", "vector")
+        if min_similarity is not None:
+            scored = scored.filter(F.col("similarity") >= min_similarity)
+        best = scored.withColumn("rank", rank).filter(F.col("rank") <= k)
+        found = best if found is None else found.unionByName(best)
+    return found

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from deedflow.functions import rules, text
-from deedflow.operators import answers, chunking, evidence, extraction, matching, questions, tables, timeline, trust, vectors
+from deedflow.operators import answers, briefs, chunking, evaluation, evidence, extraction, findings, gates, matching, questions, tables, timeline, trust, vectors
 from deedflow.sources.contracts import CONTRACTS_SQL, contract_pages
 from deedflow.sources.scratch import written
 from deedflow.streaming.pages import counts_by_hour
@@ -217,13 +217,13 @@ HEAD_RE = "^((?:(?:Section|Article|Clause)[ \\t]+)?(?:[0-9IVXLCDM]+(?:\\.[0-9]+)
 CLAUSES_SQL = f"""
 heads AS (SELECT document_id, page_number, unnest(string_split(regexp_replace(text, '(?m){HEAD_RE}', chr(1) || '\\1', 'g'), chr(1))) AS part, generate_subscripts(string_split(regexp_replace(text, '(?m){HEAD_RE}', chr(1) || '\\1', 'g'), chr(1)), 1) AS i FROM cpages),
 titled AS (SELECT document_id, page_number, i, regexp_extract(part, '^([0-9IVXLCDM]+(?:\\.[0-9]+)*|[A-Z])[.:\\-]', 1) AS ident, trim(regexp_extract(part, '^[^.:\\-]+[.:\\-][ \\t]*([^\\n\\r]+)', 1)) AS title, trim(part, ' ' || chr(10)) AS text FROM heads WHERE i > 1),
-clauses AS (SELECT document_id, page_number, row_number() OVER (PARTITION BY document_id ORDER BY page_number, i) AS ordinal, 'Clause-' || ident AS clause_identifier, title,
+clauses AS MATERIALIZED (SELECT document_id, page_number, row_number() OVER (PARTITION BY document_id ORDER BY page_number, i) AS ordinal, 'Clause-' || ident AS clause_identifier, title,
             {rules.case_sql("lower(title || ' ' || text)", list(rules.CATEGORIES.items()), "general")} AS category, text, left(text, 300) AS source_span FROM titled)"""
 MODAL_RE = "(?i)\\b([A-Z][A-Za-z0-9\\s]{2,25})\\s+(shall|must|agrees to|is required to|undertakes to)\\s+([^.;]+)"
 TRIGGER_RE = "(?i)\\b(upon\\s+[^,]+|in the event of\\s+[^,]+|if\\s+[^,]+|prior to\\s+[^,]+)"
 DEADLINE_RE = "(?i)\\b(within\\s+[0-9]+\\s+(?:days|months|business days)|on or before\\s+[^,.;]+|by\\s+no\\s+later\\s+than\\s+[^,.;]+|monthly on the [0-9]+(?:st|nd|rd|th)? day)"
 OBLIGATIONS_SQL = f"""
-obligations AS (SELECT document_id, page_number, row_number() OVER (PARTITION BY document_id ORDER BY page_number, i) AS ordinal, trim(regexp_extract(s, '{MODAL_RE}', 1)) AS obligor,
+obligations AS MATERIALIZED (SELECT document_id, page_number, row_number() OVER (PARTITION BY document_id ORDER BY page_number, i) AS ordinal, trim(regexp_extract(s, '{MODAL_RE}', 1)) AS obligor,
                 regexp_extract(s, '{MODAL_RE}', 2) || ' ' || trim(regexp_extract(s, '{MODAL_RE}', 3)) AS duty, nullif(trim(regexp_extract(s, '{TRIGGER_RE}', 1)), '') AS trigger,
                 nullif(trim(regexp_extract(s, '{DEADLINE_RE}', 1)), '') AS deadline, trim(s) AS source_span FROM sents WHERE regexp_matches(s, '{MODAL_RE}'))"""
 LONG_DATE_RE = f"(?i)\\b(?:{rules.MONTHS})\\s+[0-9]{{1,2}}(?:st|nd|rd|th)?,?\\s+[0-9]{{4}}\\b"
@@ -406,7 +406,7 @@ def pair_sql(t: str, on: str, columns: str, category: str, same: str, label: str
 
 
 def longs(df: DataFrame) -> DataFrame:
-    return df.withColumns({c: F.col(c).cast("long") for c in ("a_ordinal", "b_ordinal")})
+    return df.withColumns({c: F.col(c).cast("long") for c in ("a_ordinal", "b_ordinal")}).drop("refs")
 
 
 def paired(spark: SparkSession, sf_dir: str, kind: Callable[[DataFrame], DataFrame], compare: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
@@ -465,7 +465,7 @@ def compare_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paired(spark, sf_dir, extraction.clauses, matching.compare_clauses)
 
 
-@query(pair_sql("clauses", "((a.category = b.category AND a.category <> 'general') OR a.title = b.title) AND a.clause_identifier = b.clause_identifier", HEADS, "category", "ta = tb", "label", True))
+@query(pair_sql("clauses", "((a.category = b.category AND a.category <> 'general') OR a.title = b.title) AND a.clause_identifier = b.clause_identifier", HEADS, rules.case_sql("category", list(rules.DIFF_CATEGORIES), "OTHER"), "ta = tb", "label", True))
 def diff_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paired(spark, sf_dir, extraction.clauses, matching.diff_clauses)
 
@@ -673,4 +673,166 @@ def events_by_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts_by_hour(table(spark, sf_dir, "events"), "ts", "event_type")
 
 
+# --- checks, gates, briefs and evaluation ---------------------------------------------------------------------------
+
+
+@query(with_all("""SELECT document_id, ordinal, array_to_string(list_filter([CASE WHEN document_id % 5 = 0 THEN 'EMPTY_NAME' END, CASE WHEN document_id % 7 = 0 THEN 'PAGE_START' END], lambda x: x IS NOT NULL), ',') AS violations,
+CASE WHEN document_id % 3 = 0 THEN 'Party' ELSE role END AS role FROM parties"""))
+def row_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parties with blank names, roles and page 0 in some documents, checked."""
+    k = F.col("document_id")
+    spoilt = extraction.parties(written_pages(spark, sf_dir)).withColumns({"name": F.when(k % 5 == 0, " ").otherwise(F.col("name")), "role": F.when(k % 3 == 0, " \n").otherwise(F.col("role")), "page_number": F.when(k % 7 == 0, 0).otherwise(F.col("page_number"))})
+    checked = gates.violations(gates.coerced(spoilt), "parties")
+    return checked.select("document_id", F.col("ordinal").cast("long").alias("ordinal"), F.array_join("violations", ",").alias("violations"), "role")
+
+
+@query("""SELECT doc_id, CASE WHEN lower(trim(c)) IN ('payment', 'termination', 'notices') THEN lower(trim(c)) ELSE 'general' END AS category, CASE doc_id % 4 WHEN 0 THEN 'high' WHEN 1 THEN 'low' ELSE 'medium' END AS severity,
+CASE WHEN doc_id % 2 = 0 THEN 'clause' ELSE 'general_fact' END AS claim_type FROM (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN ' Payment' WHEN 1 THEN 'TERMINATION' WHEN 2 THEN 'notices ' WHEN 3 THEN source ELSE NULL END AS c FROM documents)""")
+def enum_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("doc_id")
+    category = F.when(k % 5 == 0, " Payment").when(k % 5 == 1, "TERMINATION").when(k % 5 == 2, "notices ").when(k % 5 == 3, F.col("source"))
+    severity = F.when(k % 4 == 0, "High").when(k % 4 == 1, " low").when(k % 4 == 2, "urgent")
+    d = table(spark, sf_dir, "documents").select("doc_id", category.alias("category"), severity.alias("severity"), F.when(k % 2 == 0, "Clause").otherwise("rumour").alias("claim_type"))
+    return gates.coerced(d)
+
+
+AD_HOC_SQL = f"""WITH {ALL_SQL},
+asked AS (SELECT u.user_id AS request_id, c.document_id AS document_id, row_number() OVER (PARTITION BY u.user_id ORDER BY c.document_id, c.ordinal) AS seq, c.title AS title, c.page_number AS page_number,
+          CASE WHEN c.document_id % 3 = 0 THEN c.source_span || ' never' ELSE c.source_span END AS span FROM clauses c JOIN (SELECT DISTINCT document_id, user_id FROM cpages) u ON c.document_id = u.document_id),
+counted AS (SELECT *, count(*) OVER (PARTITION BY request_id) AS n FROM asked)"""
+
+
+@query(AD_HOC_SQL + """ SELECT request_id, s.document_id AS document_id, seq, title AS claim_text, CASE WHEN seq % 4 = 0 THEN 'clause' ELSE 'general_fact' END AS claim_type,
+CASE WHEN instr(p.text, span) > 0 THEN 'VALID' ELSE 'INVALID' END AS validation_status, CASE WHEN instr(p.text, span) > 0 THEN 'DOCUMENT_FACT' ELSE 'PROFESSIONAL_REVIEW_NEEDED' END AS trust_tier
+FROM counted s JOIN cpages p ON s.document_id = p.document_id AND s.page_number = p.page_number WHERE n <= 50 AND seq % 10 <> 0""")
+def ad_hoc_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims that a customer makes of the clauses of its contracts, tampered with in every third document; requests of over 50 are rejected."""
+    pages = written_pages(spark, sf_dir)
+    owners = pages.filter("page_number = 1").select("document_id", F.col("user_id").alias("request_id"))
+    c = extraction.clauses(pages).join(owners.hint("merge"), "document_id")
+    seq = F.row_number().over(Window.partitionBy("request_id").orderBy("document_id", "ordinal"))
+    span = F.when(F.col("document_id") % 3 == 0, F.concat("source_span", F.lit(" never"))).otherwise(F.col("source_span"))
+    requested = c.select("request_id", "document_id", seq.alias("seq"), "title", F.col("page_number").alias("page_start"), F.lit(None).cast("int").alias("page_end"), span.alias("source_span"))
+    text_, kind = F.when(F.col("seq") % 10 == 0, "  ").otherwise(F.col("title")), F.when(F.col("seq") % 4 == 0, "Clause").otherwise("opinion")
+    claims_, _ = gates.ad_hoc_claims(requested.withColumns({"claim_text": text_, "claim_type": kind}))
+    checked = evidence.resolve(claims_, pages).withColumns({"claim_id": F.concat_ws("|", "request_id", "seq"), "evidence_document_id": F.col("document_id")})
+    return trust.assess(checked).select("request_id", "document_id", F.col("seq").cast("long").alias("seq"), "claim_text", "claim_type", "validation_status", "trust_tier")
+
+
+def tampered(pages: DataFrame) -> DataFrame:
+    """Pages of which the second of the later version was withdrawn in every ninth pair."""
+    gone = (F.col("pair_id") % 9 == 0) & (F.col("version") == 2) & (F.col("page_number") == 2)
+    return pages.withColumn("text", F.when(gone, "withdrawn").otherwise(F.col("text")))
+
+
+def gated_sql(kind: str, facts: str) -> str:
+    return f"""SELECT pair_id, category, CASE WHEN bad THEN 'UNRESOLVED' ELSE classification END AS classification, CASE WHEN bad THEN 'PROFESSIONAL_REVIEW_NEEDED' ELSE 'DOCUMENT_FACT' END AS trust_tier,
+CASE WHEN bad THEN 'REVIEW_REQUIRED' WHEN classification IN ({facts}) THEN 'SAFE' ELSE 'REVIEW_REQUIRED' END AS safety_status, a_ordinal, b_ordinal FROM (
+SELECT *, pair_id % 9 = 0 AND b_ordinal IN (1, 2) AS bad FROM ({ORACLE_SQL[kind]}))"""
+
+
+@query(gated_sql("diff_clauses", "'UNCHANGED', 'ADDED', 'REMOVED', 'MODIFIED'"))
+def diff_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changed clauses with their citations resolved; clauses 1 and 2 stand on the page that some later versions lack."""
+    pages = written_pages(spark, sf_dir)
+    pairs = written(version_pairs(pages), "pairs")
+    found = findings.gated(written(matching.diff_clauses(extraction.clauses(pages), pairs), "findings"), pairs, tampered(pages))
+    return longs(found).select("pair_id", "category", "classification", "trust_tier", "safety_status", "a_ordinal", "b_ordinal")
+
+
+@query(gated_sql("compare_obligations", "'MATCH', 'DIFFERENT', 'PRESENT_IN_ONE_ONLY'"))
+def compare_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = written_pages(spark, sf_dir)
+    pairs = written(version_pairs(pages), "pairs")
+    found = findings.gated(written(matching.compare_obligations(extraction.obligations(pages), pairs), "findings"), pairs, tampered(pages))
+    return longs(found).select("pair_id", "category", "classification", "trust_tier", "safety_status", "a_ordinal", "b_ordinal")
+
+
+@query(f"""WITH {ALL_SQL}, {CLAIMS_SQL},
+j AS (SELECT claim_type, pos >= 0 AS ok, (document_id % 7 <> 0 AND document_id % 11 <> 0) = (pos >= 0) AS passed FROM resolved)
+SELECT claim_type, count(*) AS n, count(*) FILTER (passed) AS passed, round_even(100.0::DOUBLE * count(*) FILTER (passed) / count(*), 1) AS pass_rate, round_even(100.0::DOUBLE * count(*) FILTER (ok) / count(*), 1) AS citation_rate FROM j GROUP BY 1""")
+def evidence_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Resolved claims against the status that their document's citations should have."""
+    pages = written_pages(spark, sf_dir)
+    cited = cited_claims(pages)
+    keys = ["document_id", "claim_type", "ordinal"]
+    right = (F.col("document_id") % 7 != 0) & (F.col("document_id") % 11 != 0)
+    golden = cited.select(*keys, F.when(right, "VALID").otherwise("INVALID").alias("expected_citation_validity"))
+    cases = evaluation.judged(written(evidence.resolve(cited, pages), "resolved"), golden, keys, {"expected_citation_validity": "validation_status"})
+    return evaluation.rates(cases, F.col("predicted_validation_status") == "VALID", "claim_type")
+
+
+@query(f"""WITH {ALL_SQL}, {CLAIMS_SQL},
+g AS (SELECT document_id, count(*) AS n_items, count(*) FILTER (pos >= 0) AS n_supported, count(DISTINCT claim_type) AS n_sections FROM resolved GROUP BY 1),
+q AS (SELECT document_id, count(*) AS n FROM flags GROUP BY 1),
+f AS (SELECT document_id, min_by(title, ordinal) AS title FROM clauses GROUP BY 1)
+SELECT g.document_id AS document_id, n_items, n_supported, round_even(n_sections / 5.0::DOUBLE, 2) AS score, n_sections, q.n AS n_questions, 'Clause Clause-1: ' || f.title || ' (Category: payment)' AS first_clause
+FROM g JOIN q ON g.document_id = q.document_id JOIN f ON g.document_id = f.document_id""")
+def briefs_assembled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = written_pages(spark, sf_dir)
+    c, fl = written(extraction.clauses(pages), "clauses"), written(extraction.review_flags(pages), "flags")
+    b = briefs.assemble(pages.select("document_id").distinct(), cited_claims(pages), pages, c, fl)
+    first = F.col("sections")["clauses"]["items"][0]["title"]
+    return b.select("document_id", "n_items", "n_supported", "score", F.size("sections").cast("long").alias("n_sections"), F.size("questions").cast("long").alias("n_questions"), first.alias("first_clause"))
+
+
+@query(with_all("SELECT DISTINCT document_id FROM flags WHERE flag_type IN ('renewal_lock_in', 'restrictive_covenant')"))
+def has_understanding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a renewal or a covenant to look at."""
+    pages = written_pages(spark, sf_dir)
+    fl = extraction.review_flags(pages)
+    return tables.existing(pages.select("document_id").distinct(), fl.filter("flag_type = 'renewal_lock_in'"), fl.filter("flag_type = 'restrictive_covenant'"))
+
+
+@query(with_all("""SELECT o.document_id AS document_id, o.ordinal AS ordinal, min_by(c.document_id || ':' || c.ordinal, c.ordinal) AS clause_id
+FROM obligations o LEFT JOIN clauses c ON o.document_id = c.document_id AND o.page_number = c.page_number AND contains(c.text, o.source_span) GROUP BY ALL"""))
+def clause_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = written_pages(spark, sf_dir)
+    c = written(extraction.clauses(pages), "clauses")
+    ids = c.withColumn("clause_id", F.concat_ws(":", "document_id", "ordinal"))
+    return extraction.linked(extraction.obligations(pages, c), ids).select("document_id", F.col("ordinal").cast("long").alias("ordinal"), "clause_id")
+
+
+@query(with_all("""SELECT f.document_id AS document_id, flag_type, min_by(clause_identifier, c.ordinal) AS clause_identifier
+FROM flags f LEFT JOIN clauses c ON f.document_id = c.document_id AND f.page_number = c.page_number AND contains(c.text, trim(f.source_span, ' ' || chr(10))) GROUP BY f.document_id, flag_type, f.page_number, f.source_span"""))
+def flag_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = written_pages(spark, sf_dir)
+    return extraction.review_flags(pages, extraction.clauses(pages)).select("document_id", "flag_type", "clause_identifier")
+
+
+@query("SELECT user_id, document_id, place FROM (SELECT o_custkey AS user_id, o_orderkey AS document_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS place FROM orders)")
+def newest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = gates.newest_first(order_documents(spark, sf_dir), "user_id", F.desc("o_orderdate"), F.desc("document_id"))
+    return listed.select("user_id", "document_id", F.col("place").cast("long").alias("place"))
+
+
+@query("SELECT a.vec_id AS vec_id, round(1.0 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS distance FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+def vector_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    after = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
+    return e.join(after.hint("merge"), "vec_id").select("vec_id", F.round(vectors.cosine_distance(F.col("embedding"), F.col("other")), 5).alias("distance"))
+
+
+@query("SELECT conv_id, turn, CASE WHEN trim(q) = '' THEN 'BLANK_QUESTION' ELSE 'QUESTION_TOO_LONG' END AS reject_reason FROM (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN '   ' WHEN 1 THEN repeat(text, 12) ELSE text END AS q FROM conversations) WHERE trim(q) = '' OR length(q) > 1000")
+def query_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("turn") % 4
+    asked_ = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(k == 0, "   ").when(k == 1, F.repeat("text", F.lit(12))).otherwise(F.col("text")).alias("question"))
+    return questions.checked(asked_, most=1000)[1].select("conv_id", "turn", "reject_reason")
+
+
+@query()
+def chunk_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = document_pages(spark, sf_dir)
+    return tables.index_summary(pages, chunking.chunks(pages))
+
+
+@query()
+def qa_retrieved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers whose context is retrieved from the question's document, with their verdicts' grounds."""
+    pages = written_pages(spark, sf_dir).withColumn("page_id", F.concat_ws("-", "document_id", "page_number"))
+    asked_ = contract_questions(pages)
+    context = written(answers.retrieved(asked_, pages), "context")
+    return answers.verdicts(asked_, answers.assessed_answers(asked_, context, pages))
+
+
 __all__ = ["ORACLE_SQL", "QUERIES"]
