@@ -7,7 +7,7 @@ words that two texts share gives them a common fingerprint entry.
 
 Scale: a text's fingerprint is made inside its row, in the JVM; no text is
 exploded. A document's neighbour in id order comes from one shuffle of the texts
-into ranges of ids, with the ends of ranges joined on.
+into ranges of ids, as many as the table needs, with the ends of ranges joined on.
 
 Defined cases: null and empty texts (and blank ones) have the empty fingerprint;
 a text of fewer than k words has one entry, of all its words; fewer than w
@@ -98,27 +98,57 @@ def range_of(key: Column, edges: list[float]) -> Column:
     return F.when(key.isNull(), 0).otherwise(found["lo"])
 
 
-def with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rows_per_range: int = 1_000, most_ranges: int = 4_096) -> DataFrame:
+def entries(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, entries) of every row: the fingerprint as (place, hash), in text order; place is the k-gram's first word, from 0."""
+    packed = docs.select(F.col(id_col).alias("doc_id"), fingerprint(F.col(text_col)).alias("p"))
+    top = (1 << PLACE) - 1
+    one = lambda x: F.struct((F.lit(top) - x.bitwiseAND(top)).cast("int").alias("place"), F.shiftright(x, PLACE).alias("hash"))
+    return packed.select("doc_id", F.transform("p", one).alias("entries"))
+
+
+def range_number(d: DataFrame, key: Column, ranges: int, most_edges: int) -> Column:
+    """Number of the range of ids that a key lies in, rising with the key.
+
+    Quantiles, ``most_edges`` of them at most, cut the ids; where more ranges are needed, the ids between two
+    quantiles are cut evenly. Null keys are in range 0.
+    """
+    edges = min(ranges, most_edges)
+    if edges < 2:
+        return F.lit(0).cast("long")
+    found = sorted(set(d.select(key.alias("k")).approxQuantile("k", [i / edges for i in range(edges + 1)], 1 / (4 * edges))))
+    if len(found) < 2:
+        return F.lit(0).cast("long")
+    parts = -(-ranges // edges)
+    table = F.array(*[F.lit(float(e)) for e in found])
+    cell = F.greatest(F.least(range_of(key, found[1:-1]), F.lit(len(found) - 2)), F.lit(0))
+    lo, hi = F.get(table, cell), F.get(table, cell + 1)
+    inside = F.greatest(F.least(F.floor((key - lo) / (hi - lo) * parts), F.lit(parts - 1)), F.lit(0))
+    return F.when(key.isNull(), 0).otherwise(cell.cast("long") * parts + inside)
+
+
+#: Bytes of range ends that may be broadcast with their texts.
+FOLLOWING_BYTES = 8 << 20
+
+
+def with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rows_per_range: int = 1_000, most_edges: int = 4_096) -> DataFrame:
     """(doc_id, text, print, next_text, next_print): every row beside the row that follows in id order, after the last the first.
 
     Texts are shuffled once, into ranges of ids; inside a range the next row is a window's lead.
     """
     d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    key = F.col("doc_id").cast("double")
-    n = d.count()
-    ranges = max(1, min(most_ranges, n // rows_per_range))
-    edges = sorted(set(d.select(key.alias("k")).approxQuantile("k", [i / ranges for i in range(1, ranges)], 1 / (4 * ranges)))) if ranges > 1 else []
-    placed = d.withColumn("range", range_of(key, edges))
+    ranges = max(1, d.count() // rows_per_range)
+    placed = d.withColumn("range", range_number(d, F.col("doc_id").cast("double"), ranges, most_edges))
     # the first row of each range, found without moving texts, serves the last row of the range before
     rank = F.struct(F.col("doc_id").isNotNull().alias("known"), F.col("doc_id"), F.xxhash64("text").alias("h"))
     firsts = materialise(placed.groupBy("range").agg(F.min(rank).alias("f")).select("range", F.col("f.doc_id").alias("first_id"), F.col("f.h").alias("first_hash")), "firsts")
     after = F.coalesce(F.lag("range").over(Window.orderBy("range")), F.max("range").over(Window.partitionBy()))
     firsts = firsts.select(after.alias("before"), "first_id", "first_hash")
-    found = d.join(small(firsts, ranges, most_ranges), F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.xxhash64("text") == F.col("first_hash"))).dropDuplicates(["before"])
+    found = d.join(small(firsts, ranges), F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.xxhash64("text") == F.col("first_hash"))).dropDuplicates(["before"])
     following = materialise(found.select(F.col("before").alias("range"), F.col("text").alias("first_text"), fingerprint(F.col("text")).alias("first_print")), "following")
+    size = following.agg(F.coalesce(F.sum(F.octet_length("first_text") + 8 * F.size("first_print")), F.lit(0))).first()[0]
     ordered = Window.partitionBy("range").orderBy(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     inside = placed.repartition(F.col("range")).withColumn("print", fingerprint(F.col("text"))).withColumn("next_text", F.lead("text").over(ordered)).withColumn("next_print", F.lead("print").over(ordered))
-    joined = inside.join(following.hint("broadcast" if ranges <= 512 else "merge"), "range")
+    joined = inside.join(following.hint("broadcast" if size <= FOLLOWING_BYTES else "merge"), "range")
     return joined.select("doc_id", "text", "print", F.coalesce("next_text", "first_text").alias("next_text"), F.coalesce("next_print", "first_print").alias("next_print"))
 
 

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textops as tx
-from .common import crc32_bucket, materialise, ship, unit_hash
+from .common import crc32_bucket, materialise, ship, small, unit_hash
 
 #: Widths of n-grams, in UTF-8 bytes of lower-cased words and the gaps beside them.
 WIDTHS = (3, 4)
@@ -110,8 +110,8 @@ def fit(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang",
     spark = labelled.sparkSession
     ship(spark)
     known = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), unit_hash(F.col(text_col)).alias("u"))
-    per_language = known.groupBy("lang").count().withColumn("below", F.lit(2.0 * fit_rows) / F.col("count"))
-    near = known.join(F.broadcast(per_language.select("lang", "below")), "lang").filter(F.col("u") < F.col("below")).dropDuplicates(["lang", "text"])
+    per_language = materialise(known.groupBy("lang").count().select("lang", (F.lit(2.0 * fit_rows) / F.col("count")).alias("below")), "languages")
+    near = known.join(small(per_language, per_language.count()), "lang").filter(F.col("u") < F.col("below")).dropDuplicates(["lang", "text"])
     sample = near.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("u", "text"))).filter(F.col("k") <= fit_rows).select("lang", "text")
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

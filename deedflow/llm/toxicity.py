@@ -10,7 +10,8 @@ their weight. A linear classifier is trained on the label model's posteriors and
 scores every whole text in one narrow pass.
 
 The lexicons, the label model and the classifier are fitted on a bounded sample:
-at most ``fit_rows`` labelled texts of either class, lowest hash first. The
+at most ``fit_rows`` labelled texts of either class, lowest hash first. Texts are
+read in tasks; the driver sees the entries and votes of the sample, no text. The
 sample takes both classes evenly and scores are kept at that even prior.
 
 Defined cases: a null, empty or blank text gets the score of a text without any
@@ -204,12 +205,19 @@ def fit(docs: DataFrame, labels: DataFrame, *, fit_rows: int = 2500, most_entrie
     counted = rows.mapInArrow(count, "entry string, pos long, neg long").groupBy("entry").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     marked = counted.filter((F.col("pos") >= max(least, least_share * n_pos)) & ((F.col("pos") / n_pos) >= 100 * (F.col("neg") + 0.01) / n_neg)).orderBy(F.desc("pos"), "entry").limit(most_entries)
     lexicon = Lexicon([r["entry"] for r in marked.select("entry").collect()])
-    texts = rows.toPandas()
-    v, names, found = votes(lexicon, texts["text"].tolist())
-    if len(texts) == 0 or not lexicon.names:
+    def vote(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v, _, found = votes(lexicon, batch.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array(v.tolist(), pa.list_(pa.int8())), pa.array(found, pa.list_(pa.int32()))], ["votes", "found"])
+
+    names = votes(lexicon, [])[1]
+    seen = rows.mapInArrow(vote, "votes array<tinyint>, found array<int>").toPandas()  # 2 * fit_rows rows of numbers at most
+    if len(seen) == 0 or not lexicon.names:
         return ToxicityModel(lexicon, np.zeros(len(lexicon.names)), -2.0, names, np.zeros((len(names), 2, 3)))
+    order = np.lexsort(np.array(seen["votes"].tolist()).T)  # sums do not depend on the order that tasks end in
+    v, found = np.array(seen["votes"].tolist(), np.int8)[order], [seen["found"].iloc[k] for k in order]
     post, table = label_model(v)
-    x = np.zeros((len(texts), len(lexicon.names)))
+    x = np.zeros((len(v), len(lexicon.names)))
     for row, f in enumerate(found):
         x[row, f] = 1
     w = linear(x, post)
