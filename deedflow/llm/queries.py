@@ -71,7 +71,7 @@ def op8_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(documents(spark, sf_dir), vocabulary())
+    return packing.pack(documents(spark, sf_dir), vocabulary()).withColumn("piece", F.col("piece").cast("int"))
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
