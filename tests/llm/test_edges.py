@@ -8,7 +8,7 @@ import corpus_pipeline
 from deedflow.llm import fingerprints, langid, mixing, near_duplicates, packing, passages, quality, sharding, toxicity, warc
 from deedflow.llm.queries import vocabulary
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, node long, shard int, slot long, taken long, score double"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, node long, shard int, slot long, taken long, score double, __key long, __id long, __node long, __spans string, __hash string, __source string, __copy int, __t_slot int"
 LONG = " ".join(f"w{i}x" for i in range(6000))
 PROSE = "the old house on the hill was sold to a family from the north who wanted a garden and some quiet years"
 
@@ -20,7 +20,7 @@ def nasty(spark):
         (4, "", "fr", "b"), (5, " \n\t ", "de", "b"), (6, LONG, "en", "a"), (7, LONG + " end", "en", "a"), (8, "12 34 !!", "en", "c"), (9, "one", "en", "c"),
         (9, "one", "en", "c"), (10, "Été à l’école \x85 naïve 中文 \x00 x", "fr", "c"), (-5, "a b c d", "es", "a"),
     ]
-    return spark.createDataFrame([(*r, None if r[1] is None else len(r[1]), 1, 2, 3, 4, 5, 0.5) for r in rows], SCHEMA)
+    return spark.createDataFrame([(*r, None if r[1] is None else len(r[1]), 1, 2, 3, 4, 5, 0.5, 1, 2, 3, "s", None, "x", 7, 8) for r in rows], SCHEMA)
 
 
 @pytest.fixture(scope="module")
