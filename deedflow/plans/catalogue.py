@@ -194,10 +194,12 @@ def chunk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "user_id", "document_id", "chunk_index", "rank", F.round("similarity", 6).alias("similarity"))
 
 
-@query("SELECT sha256(text) AS content_hash, count(*) AS n_documents FROM documents GROUP BY 1")
+@query("SELECT sha256(text) AS content_hash, count(*) AS n_documents, 384::BIGINT AS dimensions, 1.0::DOUBLE AS length FROM documents GROUP BY 1")
 def embed_once(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("content_hash"))
-    return d.groupBy("content_hash").agg(F.count("*").alias("n_documents"))
+    """Distinct texts with their vectors' dimensions and length, each embedded once however many documents have it."""
+    v = vectors.embedded(table(spark, sf_dir, "documents"), id_cols=("doc_id",))
+    length = F.sqrt(F.aggregate(F.col("vector"), F.lit(0.0), lambda s, x: s + x * x))
+    return v.groupBy("content_hash").agg(F.count("*").alias("n_documents"), F.max(F.size("vector")).cast("long").alias("dimensions"), F.max(F.round(length, 6)).alias("length"))
 
 
 # --- extraction ---------------------------------------------------------------------------------------------------
