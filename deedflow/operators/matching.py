@@ -37,7 +37,10 @@ def sides(entities: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def _found(matched: DataFrame, kind: Column, same: Column, changed: str, same_name: str, only: tuple[str, str], label: Column) -> DataFrame:
-    ref = lambda s: F.when(F.col(s).isNotNull(), F.struct(F.lit(s).alias("side"), F.col(f"{s}.page_number").alias("page_number"), F.col(f"{s}.source_span").alias("source_span")))
+    # entities without page and span are compared, but cite nothing
+    fields = matched.schema["a"].dataType.fieldNames()
+    place = lambda s: [F.col(f"{s}.{c}").alias(c) if c in fields else F.lit(None).cast(t).alias(c) for c, t in (("page_number", "int"), ("source_span", "string"))]
+    ref = lambda s: F.when(F.col(s).isNotNull() & F.lit("source_span" in fields), F.struct(F.lit(s).alias("side"), *place(s)))
     refs = F.array_compact(F.array(ref("a"), ref("b"))).alias("refs")
     verdict = F.when(F.col("b").isNull(), only[0]).when(F.col("a").isNull(), only[1]).when(same, same_name).otherwise(changed)
     return matched.select("pair_id", kind.alias("category"), verdict.alias("classification"), label.alias("label"), F.col("a.ordinal").alias("a_ordinal"), F.col("b.ordinal").alias("b_ordinal"), refs)
