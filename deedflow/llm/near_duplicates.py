@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textops as tx
-from .common import materialise, ship, small, unused
+from .common import forget, materialise, ship, small, unused
 from .graph import components
 
 #: Words of a k-mer.
@@ -211,6 +211,7 @@ def near_roots(nodes: DataFrame, rows: DataFrame, *, least: float = 0.8) -> Data
             later = near if later is None else later.unionByName(near)
         judged = with_root(with_root(stars, roots, "node", "own"), roots, "centre", "other")
         judged = materialise(judged.select("band", "bucket", "node", "n", (F.col("open") & (F.col("own") != F.col("other"))).alias("open")), "judged")
+        forget(stars, pairs, centre)
         alive = materialise(judged.groupBy("bucket").agg(F.bool_or("open").alias("some"), F.count("*").alias("size")).filter("some and size > 1").select("bucket"), "alive")
         n = alive.count()
         if n == 0:
@@ -220,7 +221,10 @@ def near_roots(nodes: DataFrame, rows: DataFrame, *, least: float = 0.8) -> Data
         others = [F.element_at("sketch", (F.col("band") + k) % F.size("sketch") + 1) for k in range((3**turn + 1) // 2, (3 ** (turn + 1) + 1) // 2)]
         narrowed = again.join(small(sketch, 8 * sketch.count()), "node").select("band", F.xxhash64("bucket", *others).alias("bucket"), "node", "n", "open")
         opened = materialise(narrowed, "opened")
+        forget(judged, alive, again, sketch)
         turn = min(turn + 1, 4)  # by then a bucket's sketches are all equal
+    if texts is not None:
+        forget(texts)
     if later is None or later.isEmpty():
         return roots
     return materialise(components(later.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))), "roots")
