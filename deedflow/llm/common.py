@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -39,11 +40,18 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def forget(*tables: DataFrame) -> None:
-    """Delete scratch tables that no table still to be computed reads."""
+    """Delete scratch tables that no table still to be computed reads, and let Spark drop the shuffle files behind them.
+
+    Spark keeps a shuffle's files until the driver collects the plan they belong to, which a driver with memory to
+    spare does rarely.
+    """
+    gc.collect()
     for df in tables:
         spark = df.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(df.scratch_)
         path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    if tables:
+        tables[0].sparkSession._jvm.System.gc()
 
 
 def unused(df: DataFrame, *names: str) -> list[str]:

@@ -183,7 +183,7 @@ def sample(docs: DataFrame, labels: DataFrame, fit_rows: int) -> DataFrame:
     return materialise(texts, "labelled")
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, fit_rows: int = 2500, most_entries: int = 600, least: int = 4, least_share: float = 0.01) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, *, fit_rows: int = 2500, most_entries: int = 600, least: int = 4, least_share: float = 0.002) -> ToxicityModel:
     """Fit on labelled documents (doc_id, text) and labels (doc_id, toxic), as given: leave held-out rows out before.
 
     ``fit_rows`` bounds the labelled texts of a class, ``most_entries`` the lexicon; an entry stands in ``least``
