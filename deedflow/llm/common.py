@@ -3,29 +3,19 @@
 from __future__ import annotations
 
 import gc
-import re
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import shared_dir
+
 #: Separators of words, wherever an operator counts or cuts words.
 WORD = r"[^\x20\x09-\x0D]+"
 SEPARATORS = " \t\n\x0b\f\r"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors and the driver share. Where none is named, a local session gets one of its own; a cluster is an error."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="spark-deedflow-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/deedflow/{uuid.uuid4().hex}/{name}"
 
@@ -90,8 +80,6 @@ def copy_number(df: DataFrame, keys: list[str], name: str) -> DataFrame:
 
     Only rows with a partner are shuffled. Which of two equal rows comes first is left open.
     """
-    from pyspark.sql import Window
-
     repeated = materialise(df.groupBy(*keys).count().filter("count > 1").drop("count"), "repeated")
     n = repeated.count()
     if n == 0:
@@ -107,6 +95,28 @@ def copy_number(df: DataFrame, keys: list[str], name: str) -> DataFrame:
     return alone.unionByName(again)
 
 
+def numbered(df: DataFrame, name: str, within: list[str], by: list[str], rows_per_part: int = 50_000) -> DataFrame:
+    """The table with ``name``: a row's place, from 0, among rows equal in ``within``, in the order of ``by`` (nulls first).
+
+    Rows are sorted into ranges, so that one group may fill many of them; the first place of a group in each range is
+    a sum over one row per group and range. The table is read twice: hand over a written one.
+    """
+    order = [F.col(c).asc_nulls_first() for c in [*within, *by]]
+    at, part, first, n, before = unused(df, "at", "part", "first", "n", "before")
+    ranges = max(1, -(-df.count() // rows_per_part))
+    line = df.repartitionByRange(ranges, *order).sortWithinPartitions(*order).withColumn(at, F.monotonically_increasing_id())
+    line = materialise(line.withColumn(part, F.shiftright(at, 33)), "line")
+    heads = line.groupBy(*within, part).agg(F.min(at).alias(first), F.count(F.lit(1)).alias(n))
+    running = Window.partitionBy(*within).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    heads = materialise(heads.withColumn(before, F.coalesce(F.sum(n).over(running), F.lit(0))), "heads")
+    right = heads.select(*[F.col(c).alias(f"__h_{c}") for c in [*within, part]], first, before)
+    same = F.lit(True)
+    for c in [*within, part]:
+        same = same & F.col(c).eqNullSafe(F.col(f"__h_{c}"))
+    place = (F.col(at) - F.col(first) + F.col(before)).alias(name)
+    return line.join(small(right, heads.count()), same).select(*df.columns, place)
+
+
 _SHIPPED: set[str] = set()
 
 
