@@ -21,7 +21,8 @@ several goes through one hash in order, a string at a time.
 
 Defined cases: null role and text are empty; null turns come first, turns of equal
 number follow each other by their hash; a null conv_id is one conversation without a
-shared beginning, its id comes last and is spelt ``null``; a conversation without
+shared beginning, its id comes last and is spelt ``null``; the remainder of a
+negative id has its sign; a conversation without
 turns ends at the root; other columns are not read; an empty table has no nodes.
 """
 
