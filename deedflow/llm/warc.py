@@ -174,27 +174,49 @@ def member(raw: bytes, at: int) -> tuple[bytes, int] | None:
     return (b"".join(out), at - len(unpack.unused_data)) if unpack.eof else None
 
 
-def salvage(raw: bytes) -> Iterator[tuple[int, int, dict[str, str] | None, bytes]]:
-    """(from byte, to byte, headers, block) of every good record; headers None for a quarantined gap."""
+def records_of(plain: bytes) -> tuple[list[tuple[dict[str, str], bytes]], bool]:
+    """The good records of an unpacked member, which may hold several, and whether it holds nothing else."""
+    found = [x[2:] for x in salvage(plain, packed=False)]
+    return [x for x in found if x[0] is not None], all(x[0] is not None for x in found)
+
+
+def salvage(raw: bytes, packed: bool = True) -> Iterator[tuple[int, int, dict[str, str] | None, bytes]]:
+    """(from byte, to byte, headers, block) of every good record; headers None for a quarantined gap.
+
+    Records of one gzip member all have its place; a member with bad bytes among them is also a gap. ``packed`` false
+    looks for no members. The next mark of each kind is searched for once, however many records fail before it.
+    """
     at, bad = 0, None
+    line = mark = -1
     while at < len(raw):
-        found = None
-        if raw.startswith(MEMBER, at):
+        found, end = [], at
+        if packed and raw.startswith(MEMBER, at):
             got = member(raw, at)
-            if got and (inner := parse(got[0], 0, len(got[0]))) and inner[2] == len(got[0]):
-                found = inner[0], inner[1], got[1]
+            if got:
+                found, whole = records_of(got[0])
+                end = got[1] if found else at
         else:
-            found = parse(raw, at, len(raw))
+            one, whole = parse(raw, at, len(raw)), True
+            if one:
+                found, end = [one[:2]], one[2]
         if found:
             if bad is not None:
                 yield bad, at, None, b""
                 bad = None
-            yield at, found[2], found[0], found[1]
-            at = found[2]
+            for headers, block in found:
+                yield at, end, headers, block
+            if not whole:
+                yield at, end, None, b""
+            at = end
             continue
         bad = at if bad is None else bad
-        line, packed = VERSION.search(raw, at + 1), raw.find(MEMBER, at + 1)
-        at = min(x for x in (line.start() if line else len(raw), packed if packed >= 0 else len(raw)))
+        if line <= at:
+            hit = VERSION.search(raw, at + 1)
+            line = hit.start() if hit else len(raw)
+        if mark <= at:
+            mark = raw.find(MEMBER, at + 1) if packed else -1
+            mark = mark if mark >= 0 else len(raw)
+        at = min(line, mark)
     if bad is not None:
         yield bad, len(raw), None, b""
 

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -330,16 +332,18 @@ def test_shards_keep_their_law(spark):
     assert max(sizes) - min(sizes) < 2 * 400
 
 
-def test_warc_salvage():
-    def plain(i, body):
-        digest = hashlib.sha256(body).hexdigest()
-        head = f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{i}>\r\nWARC-Block-Digest: sha256:{digest}\r\nContent-Length: {len(body)}\r\n\r\n"
-        return head.encode() + body + b"\r\n\r\n"
+def plain(i, body):
+    digest = hashlib.sha256(body).hexdigest()
+    head = f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{i}>\r\nWARC-Block-Digest: sha256:{digest}\r\nContent-Length: {len(body)}\r\n\r\n"
+    return head.encode() + body + b"\r\n\r\n"
+
 
-    def packed(i, body):
-        z = zlib.compressobj(wbits=31)
-        return z.compress(plain(i, body)) + z.flush()
+def packed(i, body):
+    z = zlib.compressobj(wbits=31)
+    return z.compress(plain(i, body)) + z.flush()
 
+
+def test_warc_salvage():
     for make in (plain, packed):
         records = [make(i, f"page {i} WARC/1.1 inside".encode() * 9) for i in range(6)]
         good = b"".join(records)
@@ -358,6 +362,22 @@ def test_warc_salvage():
     assert list(warc.salvage(b"")) == [] and [x[2] for x in warc.salvage(b"\x00" * 50)] == [None]
 
 
+def test_warc_members_of_several_records():
+    body = [plain(i, f"text {i}".encode()) for i in range(4)]
+    raw = gzip.compress(b"".join(body[:3])) + gzip.compress(body[3]) + gzip.compress(body[0] + b"junk" + body[1])
+    found = list(warc.salvage(raw))
+    assert [x[2] and x[2]["warc-record-id"][10:-1] for x in found] == ["0", "1", "2", "3", "0", "1", None]
+    assert len({x[:2] for x in found}) == 3 and found[-1][:2] == found[-2][:2]
+
+
+def test_many_bad_records_are_passed_in_one_search():
+    bad = plain(7, b"x" * 900).replace(b"x" * 900 + b"\r", b"x" * 899 + b"y\r")
+    raw = bad * 40_000 + plain(8, b"good")
+    began = time.time()
+    found = list(warc.salvage(raw))
+    assert [x[2] is None for x in found] == [True, False] and time.time() - began < 30
+
+
 def test_warc_of_other_writers():
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n<p>body</p>"
     sha1 = base64.b32encode(hashlib.sha1(b"<p>body</p>").digest()).decode()
@@ -375,7 +395,7 @@ def test_damaged_archives_are_salvaged_and_logged(spark, tmp_path):
     bodies = {i: f"<p>page {i} " + "text " * (40 + i) for i in range(60)} | {100 + i: "<p>same " * 30 for i in range(20)}
     pages = spark.createDataFrame([(i, f"http://x/{i}", t) for i, t in bodies.items()], "page_id long, url string, html string").coalesce(2)
     warc.write_archives(warc.planned(pages), f"file://{tmp_path}/a", archive_bytes=1 << 20)
-    files = sorted((tmp_path / "a").glob("part-*"))
+    files = sorted((tmp_path / "a").glob("part-*"), key=lambda f: -f.stat().st_size)
     before = {r.page_id: r for r in warc.resolved(spark, f"file://{tmp_path}/a")[0].collect()}
     assert {i: (r.payload_bytes, r.payload_digest) for i, r in before.items()} == {i: (len(t), hashlib.sha256(t.encode()).hexdigest()) for i, t in bodies.items()}
     assert len(files) > 2
