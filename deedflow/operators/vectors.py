@@ -77,6 +77,12 @@ def cosine_distance(a: Column, b: Column) -> Column:
 BLOCK_BYTES = 32 << 20
 
 
+def best_of(scored: DataFrame, k: int, keys: list[str], order: tuple[str, ...]) -> DataFrame:
+    """The ``k`` rows of highest similarity of each key, with their rank; ``order`` settles ties."""
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("similarity"), *order))
+    return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
 def top_k(queries: DataFrame, rows: DataFrame, k: int, *, order: tuple[str, ...], min_similarity: float | None = None, within: str | None = None) -> DataFrame:
     """The ``k`` most similar rows (vector and key columns) of every query (query_id, query_vector[, ``within``]).
 
@@ -93,7 +99,6 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int, *, order: tuple[str, ...]
     asked = queries.withColumn("query_vector", unit(F.col("query_vector")))
     rows = rows.withColumn("vector", unit(F.col("vector")))
     keys = ["query_id", *([within] if within else [])]
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("similarity"), *order))
     found = None
     for block in range(blocks):
         some = asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
@@ -105,6 +110,6 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int, *, order: tuple[str, ...]
         scored = joined.withColumn("similarity", dot(F.col("query_vector"), F.col("vector"))).drop("query_vector", "vector")
         if min_similarity is not None:
             scored = scored.filter(F.col("similarity") >= min_similarity)
-        best = scored.withColumn("rank", rank).filter(F.col("rank") <= k)
+        best = best_of(scored, k, keys, order)
         found = best if found is None else found.unionByName(best)
     return found

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import re
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: Folders of local sessions that name none, by application.
 _OWN: dict[str, str] = {}
+_SHIPPED: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,3 +33,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/deedflow/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once an application, so that tasks can import it on any cluster."""
+    app = spark.sparkContext.applicationId
+    if app not in _SHIPPED:
+        package = Path(__file__).resolve().parents[1]
+        into = tempfile.mkdtemp(prefix="deedflow-")
+        spark.sparkContext.addPyFile(shutil.make_archive(f"{into}/deedflow_tasks", "zip", package.parent, package.name))
+        _SHIPPED.add(app)
