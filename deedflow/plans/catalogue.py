@@ -12,7 +12,7 @@ from deedflow.functions import rules, text
 from deedflow.operators import answers, briefs, chunking, evaluation, evidence, extraction, findings, gates, matching, questions, tables, timeline, trust, vector_index, vectors
 from deedflow.sources.contracts import CONTRACTS_SQL, contract_pages
 from deedflow.sources.scratch import shared_dir, written
-from deedflow.streaming.pages import counts_by_hour
+from deedflow.streaming import pages as pages_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -333,10 +333,14 @@ def contract_claims(pages: DataFrame) -> DataFrame:
     return evidence.claims(extraction.parties(pages), extraction.clauses(pages), extraction.obligations(pages), extraction.dates(pages), extraction.review_flags(pages))
 
 
-def cited_claims(pages: DataFrame) -> DataFrame:
+def miscited(found: DataFrame) -> DataFrame:
     """Claims, those of every seventh document citing a wrong page and of every eleventh a missing one."""
     page = F.when(F.col("document_id") % 7 == 0, F.col("page_start") % 3 + 1).when(F.col("document_id") % 11 == 0, 9).otherwise(F.col("page_start")).cast("int")
-    return written(contract_claims(pages).withColumns({"page_start": page, "page_end": page}), "claims")
+    return found.withColumns({"page_start": page, "page_end": page})
+
+
+def cited_claims(pages: DataFrame) -> DataFrame:
+    return written(miscited(contract_claims(pages)), "claims")
 
 
 @query(with_all("SELECT document_id, claim_type, claim_text, page_number AS page_start, source_span FROM claims").replace("\nSELECT document_id, claim_type", "," + CLAIMS_SQL + "\nSELECT document_id, claim_type"))
@@ -377,10 +381,7 @@ def evidence_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def assessed_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = written_pages(spark, sf_dir)
-    found = evidence.resolve(cited_claims(pages), pages)
-    keyed = found.withColumn("claim_id", F.concat_ws("|", "document_id", "claim_type", "ordinal")).withColumn("evidence_document_id", F.col("document_id"))
-    return trust.assess(keyed.select("claim_id", "document_id", "claim_type", "claim_text", "evidence_document_id", "validation_status"))
+    return pages_stream.assessed_claims(contract_pages(spark, sf_dir), miscited)
 
 
 TRUST_SQL = f"""WITH {ALL_SQL}, {CLAIMS_SQL},
@@ -389,9 +390,13 @@ assessed AS (SELECT document_id, claim_type, claim_text, CASE WHEN e OR NOT ok T
              CASE WHEN e THEN 'REVIEW_REQUIRED' WHEN NOT ok THEN 'UNSUPPORTED' ELSE 'SAFE' END AS safety_status, CASE WHEN e THEN 'LEGAL_ENFORCEABILITY,PROFESSIONAL_JUDGMENT' WHEN NOT ok THEN 'INVALID_EVIDENCE' ELSE '' END AS limitations FROM rated)"""
 
 
+def tiers(assessed: DataFrame) -> DataFrame:
+    return assessed.select("document_id", "claim_type", "claim_text", "trust_tier", "safety_status", F.array_join("limitations", ",").alias("limitations"))
+
+
 @query(TRUST_SQL + " SELECT * FROM assessed")
 def trust_assess(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assessed_claims(spark, sf_dir).select("document_id", "claim_type", "claim_text", "trust_tier", "safety_status", F.array_join("limitations", ",").alias("limitations"))
+    return tiers(assessed_claims(spark, sf_dir))
 
 
 @query(TRUST_SQL + """ SELECT document_id, count(*) AS total_claims, count(*) FILTER (trust_tier = 'DOCUMENT_FACT') AS n_facts, count(*) FILTER (trust_tier = 'PROFESSIONAL_REVIEW_NEEDED') AS n_review,
@@ -682,7 +687,7 @@ def qa_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, event_type AS kind, count(*) AS n FROM events GROUP BY 1, 2")
 def events_by_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return counts_by_hour(table(spark, sf_dir, "events"), "ts", "event_type")
+    return pages_stream.counts_by_hour(table(spark, sf_dir, "events"), "ts", "event_type")
 
 
 # --- checks, gates, briefs and evaluation ---------------------------------------------------------------------------
