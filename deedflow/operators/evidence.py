@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from deedflow.functions import text
+from deedflow.sources.scratch import ship, written
 
 #: Widest range of pages a citation may span (last less first).
 MAX_PAGE_RANGE = 10
 ZERO_WIDTH = r"​‌‍﻿"
-TOKEN = rf"(?U)[^\s\p{{Zs}}]*[^\s\p{{Zs}}{ZERO_WIDTH}][^\s\p{{Zs}}]*"
-
 CLAIM_COLUMNS = ("document_id", "claim_type", "ordinal", "claim_text", "page_start", "page_end", "source_span", "section")
 
 
@@ -32,42 +36,85 @@ def claims(parties: DataFrame, clauses: DataFrame, obligations: DataFrame, dates
     )
 
 
-def located(page: Column, span: Column) -> Column:
-    """Struct (start, end, exact) of a span in a page, 0-based, null where it is not there.
+def bare(token: str) -> str:
+    return token.translate(_DROP)
 
-    Exact first; else the span's tokens in the page's, white space and zero-width characters aside.
-    """
-    exact = F.instr(page, span) - 1
-    tokens = lambda c: F.regexp_extract_all(c, F.lit(TOKEN), F.lit(0))
-    bare = lambda a: F.transform(a, lambda t: F.regexp_replace(t, f"[{ZERO_WIDTH}]", ""))
-    edge = lambda c: F.regexp_replace(c, f"^[{ZERO_WIDTH}]+|[{ZERO_WIDTH}]+$", "")
-    missing = F.lit(None).cast("struct<start:int,end:int,exact:boolean>")
 
-    def search(s: Column) -> Column:
-        raw, words = s["page"], s["span"]
-        n = F.size(words)
-        tries = F.sequence(F.lit(1), F.size(raw) - n + 1)
-        hit = F.get(F.filter(tries, lambda i: F.slice(s["bare"], i, n) == words), F.lit(0))
+_DROP = dict.fromkeys(map(ord, ZERO_WIDTH))
+#: The characters that Unicode counts as white space.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+RUN = re.compile(f"[^{WHITE}]+")
 
-        def ends(i: Column) -> Column:
-            # where each token up to the last matched one begins and ends, found from left to right
-            zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("begin"))
-            step = lambda acc, t: F.struct((_after(page, t, acc["at"]) + F.length(t)).alias("at"), _after(page, t, acc["at"]).alias("begin"))
-            first = F.aggregate(F.slice(raw, F.lit(1), i), zero, step)
-            last = F.aggregate(F.slice(raw, F.lit(1), i + n - 1), zero, step)
-            lead = F.length(F.regexp_extract(F.get(raw, i - 1), f"^[{ZERO_WIDTH}]*", 0))
-            trail = F.length(F.regexp_extract(F.get(raw, i + n - 2), f"[{ZERO_WIDTH}]*$", 0))
-            return F.struct((first["begin"] + lead).cast("int").alias("start"), (last["at"] - trail).cast("int").alias("end"), F.lit(False).alias("exact"))
 
-        return F.when((n == 0) | (n > F.size(raw)), missing).otherwise(text.let(hit, lambda i: F.when(i.isNull(), missing).otherwise(ends(i))))
+def tokens(body: str) -> list[tuple[str, int, int]]:
+    """Tokens without zero-width characters, and where each begins and ends less those at its edges; runs of nothing else are none."""
+    out = []
+    for m in RUN.finditer(body):
+        t = m.group()
+        if word := bare(t):
+            out.append((word, m.end() - len(t.lstrip(ZERO_WIDTH)), m.start() + len(t.rstrip(ZERO_WIDTH))))
+    return out
 
-    loose = text.let(F.struct(tokens(page).alias("page"), bare(tokens(page)).alias("bare"), bare(tokens(edge(span))).alias("span")), search)
-    return F.when(exact >= 0, F.struct(exact.cast("int").alias("start"), (exact + F.length(span)).cast("int").alias("end"), F.lit(True).alias("exact"))).otherwise(loose)
 
+def places(page: str, spans: list[str]) -> list[tuple[int, int] | None]:
+    """Where each span's tokens first stand in the page's, white space and zero-width characters aside (from, to; 0-based).
 
-def _after(page: Column, token: Column, at: Column) -> Column:
-    """0-based place of a token at or after a place."""
-    return F.call_function("locate", token, page, (at + 1).cast("int")) - 1
+    The page is cut once; sums of its token numbers, weighted by powers, tell every run of tokens, so that a span is
+    one comparison of arrays and what agrees is compared token by token.
+    """
+    cut = tokens(page)
+    number: dict[str, int] = {}
+    ids = np.array([number.setdefault(t, len(number) + 1) for t, _, _ in cut], np.uint64)
+    power = np.full(len(ids) + 1, np.uint64(0x9E3779B97F4A7C15))
+    power[0] = 1
+    power = np.multiply.accumulate(power)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(ids * power[:-1], dtype=np.uint64)])
+    found: list[tuple[int, int] | None] = []
+    for span in spans:
+        want = [t for t, _, _ in tokens(span)]
+        n, hit = len(want), None
+        if 0 < n <= len(cut) and all(t in number for t in want):
+            value = (np.array([number[t] for t in want], np.uint64) * power[:n]).sum(dtype=np.uint64)
+            for i in np.flatnonzero(sums[n:] - sums[: len(sums) - n] == value * power[: len(sums) - n]).tolist():
+                if all(cut[i + k][0] == t for k, t in enumerate(want)):
+                    hit = (cut[i][1], cut[i + n - 1][2])
+                    break
+        found.append(hit)
+    return found
+
+
+#: Spans that are looked up in one copy of a page.
+SPANS = 1_000
+
+
+def tolerant(missed: DataFrame, texts: DataFrame) -> DataFrame:
+    """(t_document, t_start, t_end, t_span, t_from, t_to) of spans (r_document, r_start, r_end, span) found by tokens in the texts of their ranges.
+
+    A range's text goes to one task for every ``SPANS`` of its spans.
+    """
+    ship(missed.sparkSession)
+    key = ["r_document", "r_start", "r_end"]
+    counted = missed.groupBy(*key).agg(F.ceil(F.count("*") / SPANS).cast("long").alias("blocks"))
+    blocked = missed.join(counted.hint("merge"), key).withColumn("block", F.pmod(F.xxhash64("span"), F.col("blocks")))
+    lists = blocked.groupBy(*key, "block").agg(F.collect_list("span").alias("spans"))
+    asked = lists.join(texts.hint("merge"), key).select(*key, "spans", F.array_join(F.col("ps.pt"), "\n").alias("all"))
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, span, start, end = [], [], [], []
+            for k, (spans, page) in enumerate(zip(batch.column("spans").to_pylist(), batch.column("all").to_pylist(), strict=True)):
+                for s, hit in zip(spans, places(page, spans), strict=True):
+                    if hit:
+                        row.append(k)
+                        span.append(s)
+                        start.append(hit[0])
+                        end.append(hit[1])
+            at = pa.array(row, pa.int64())
+            columns = [batch.column(c).take(at) for c in key]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(span, pa.string()), pa.array(start, pa.int32()), pa.array(end, pa.int32())], ["t_document", "t_start", "t_end", "t_span", "t_from", "t_to"])
+
+    kinds = dict(missed.dtypes)
+    return asked.mapInArrow(look, f"t_document {kinds['r_document']}, t_start {kinds['r_start']}, t_end {kinds['r_end']}, t_span string, t_from int, t_to int")
 
 
 def page_ranges(cited: DataFrame, pages: DataFrame) -> DataFrame:
@@ -97,20 +144,35 @@ def resolve(claims_: DataFrame, pages: DataFrame) -> DataFrame:
     proper = F.coalesce((F.col("page_start") >= 1) & (F.col("page_end") >= 1), F.lit(False))
     one = F.col("page_start") == F.col("page_end")
     fits = one | ((F.col("page_end") > F.col("page_start")) & (F.col("page_end") - F.col("page_start") <= MAX_PAGE_RANGE))
-    texts = page_ranges(c.filter(proper & fits), pages)
-    joined = c.join(texts.hint("merge"), (F.col("document_id") == F.col("r_document")) & (F.col("page_start") == F.col("r_start")) & (F.col("page_end") == F.col("r_end")), "left")
+    texts = written(page_ranges(c.filter(proper & fits), pages), "ranges")
+    same_range = lambda d, a, z: (F.col("document_id") == F.col(d)) & (F.col("page_start") == F.col(a)) & (F.col("page_end") == F.col(z))
+    joined = c.join(texts.hint("merge"), same_range("r_document", "r_start", "r_end"), "left")
     absent = F.when(F.col("r_document").isNull(), F.col("page_start")).otherwise(F.col("absent"))  # a claim without document has no pages
     joined = joined.withColumns({"absent": absent, "all": F.array_join(F.col("ps.pt"), "\n"), "proper": proper, "one": one, "fits": proper & fits})
-    found = F.col("found")
-    search = F.col("fits") & F.col("absent").isNull() & (F.col("span") != "") & (text.strip(F.col("all")) != "")
-    joined = joined.withColumn("found", F.when(search, located(F.col("all"), F.col("span"))))
+    blank = text.strip(F.col("all")) == ""
+    search = F.col("fits") & F.col("absent").isNull() & (F.col("span") != "") & ~blank
+    place = F.when(search, F.instr("all", F.col("span")) - 1)
     ends = F.aggregate("ps", F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<pn:int,z:int>>").alias("out")), lambda a, x: F.struct((a["at"] + F.length(x["pt"]) + 1).alias("at"), F.concat(a["out"], F.array(F.struct(x["pn"].alias("pn"), (a["at"] + F.length(x["pt"])).alias("z")))).alias("out")))["out"]
+    # the exact search first; only spans that it misses are looked up by tokens
+    joined = joined.withColumns({"blank": blank, "place": place, "ends": F.when(~F.col("one"), ends)}).drop("all", "ps", "r_document", "r_start", "r_end")
+    joined = written(joined, "searched")
+    missed = joined.filter("place = -1").select(F.col("document_id").alias("r_document"), F.col("page_start").alias("r_start"), F.col("page_end").alias("r_end"), "span").distinct()
+    exact = F.when(F.col("place") >= 0, F.struct(F.col("place").alias("start"), (F.col("place") + F.length("span")).alias("end"), F.lit(True).alias("exact")))
+    if missed.isEmpty():
+        joined = joined.withColumn("found", exact)
+    else:
+        loose = tolerant(written(missed, "missed"), texts)
+        again = joined.filter("place = -1").join(loose.hint("merge"), same_range("t_document", "t_start", "t_end") & (F.col("span") == F.col("t_span")), "left")
+        hit = F.when(F.col("t_from").isNotNull(), F.struct(F.col("t_from").alias("start"), F.col("t_to").alias("end"), F.lit(False).alias("exact")))
+        again = again.withColumn("found", hit).drop("t_document", "t_start", "t_end", "t_span", "t_from", "t_to")
+        joined = joined.filter("place is null or place >= 0").withColumn("found", exact).unionByName(again)
+    found = F.col("found")
     page_of = lambda place: F.get(F.filter("ends", lambda e: place < e["z"]), F.lit(0))["pn"]
-    joined = joined.withColumn("ends", F.when(~F.col("one"), ends)).withColumn("on", page_of(found["start"])).withColumn("off", page_of(found["end"] - 1))
+    joined = joined.withColumn("on", page_of(found["start"])).withColumn("off", page_of(found["end"] - 1))
     right = F.col("one") | F.coalesce((F.col("on") == F.col("page_start")) & (F.col("off") == F.col("page_end")), F.lit(False))
     valid = found.isNotNull() & right
     missing = F.concat(F.lit("PAGE_"), F.col("absent").cast("string"), F.lit("_NOT_FOUND"))
-    on_page = F.when(F.col("absent").isNotNull(), missing).when(F.col("span") == "", "EMPTY_SOURCE_SPAN").when(text.strip(F.col("all")) == "", "PAGE_TEXT_EMPTY").when(found.isNull(), "SPAN_NOT_FOUND_ON_PAGE")
+    on_page = F.when(F.col("absent").isNotNull(), missing).when(F.col("span") == "", "EMPTY_SOURCE_SPAN").when(F.col("blank"), "PAGE_TEXT_EMPTY").when(found.isNull(), "SPAN_NOT_FOUND_ON_PAGE")
     over_pages = (
         F.when(F.col("span") == "", "EMPTY_SOURCE_SPAN")
         .when(F.col("page_end") < F.col("page_start"), "INVALID_PAGE_RANGE")
