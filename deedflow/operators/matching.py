@@ -286,7 +286,7 @@ def summary(findings: DataFrame, classes: tuple[str, ...]) -> DataFrame:
 
 
 COMPARISON_CLASSES = ("MATCH", "DIFFERENT", "PRESENT_IN_ONE_ONLY", "POTENTIAL_INCONSISTENCY", "UNRESOLVED")
-DIFF_CLASSES = ("UNCHANGED", "MODIFIED", "ADDED", "REMOVED")
+DIFF_CLASSES = ("UNCHANGED", "MODIFIED", "ADDED", "REMOVED", "POTENTIAL_CHANGE", "UNRESOLVED")
 
 
 def compatible(parties: DataFrame, clauses: DataFrame, pairs: DataFrame) -> DataFrame:

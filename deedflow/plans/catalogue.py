@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 import uuid
 from collections.abc import Callable
 
@@ -9,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from deedflow.functions import rules, text
-from deedflow.operators import answers, briefs, chunking, evaluation, evidence, extraction, findings, gates, matching, questions, tables, timeline, trust, vector_index, vectors
+from deedflow.operators import answers, briefs, chunking, evaluation, evidence, extraction, findings, gates, matching, preparation, providers, questions, tables, timeline, trust, vector_index, vectors
 from deedflow.sources.contracts import CONTRACTS_SQL, contract_pages
 from deedflow.sources.scratch import shared_dir, written
 from deedflow.streaming import pages as pages_stream
@@ -495,7 +497,7 @@ def compare_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.summary(every, matching.COMPARISON_CLASSES)
 
 
-@query(f"SELECT pair_id, count(*) FILTER (classification = 'UNCHANGED') AS n_unchanged, count(*) FILTER (classification = 'MODIFIED') AS n_modified, count(*) FILTER (classification = 'ADDED') AS n_added, count(*) FILTER (classification = 'REMOVED') AS n_removed, count(*) AS total FROM ({ORACLE_SQL['diff_clauses']}) GROUP BY 1")
+@query(f"SELECT pair_id, count(*) FILTER (classification = 'UNCHANGED') AS n_unchanged, count(*) FILTER (classification = 'MODIFIED') AS n_modified, count(*) FILTER (classification = 'ADDED') AS n_added, count(*) FILTER (classification = 'REMOVED') AS n_removed, count(*) FILTER (classification = 'POTENTIAL_CHANGE') AS n_potential_change, count(*) FILTER (classification = 'UNRESOLVED') AS n_unresolved, count(*) AS total FROM ({ORACLE_SQL['diff_clauses']}) GROUP BY 1")
 def diff_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = written_pages(spark, sf_dir)
     return matching.summary(matching.diff_clauses(extraction.clauses(pages), version_pairs(pages)), matching.DIFF_CLASSES)
@@ -643,6 +645,70 @@ def brief_checklists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return questions.checklists(p, extraction.clauses(p), extraction.review_flags(p)).select("document_id", F.array_join("bring", ",").alias("bring"), F.array_join("open_questions", ",").alias("open_questions"))
 
 
+def case_text(texts: dict[str, str], column: str, value: str) -> str:
+    """The text of each value of a column, its ``{}`` filled."""
+    said = lambda t: "'" + t.replace("'", "''") + "'"
+    return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN replace({said(t)}, '{{}}', coalesce({value}, ''))" for k, t in texts.items()) + " END"
+
+
+TELLING_SQL = "SELECT document_id, category, arg_min(title, ordinal) AS cause, arg_min(clause_identifier, ordinal) AS clause_identifier FROM clauses WHERE category IN ('liability', 'indemnification', 'dispute_resolution') GROUP BY 1, 2"
+LINKED_SQL = "SELECT f.document_id, flag_type, title, min_by(c.clause_identifier, c.ordinal) AS clause_identifier FROM flags f LEFT JOIN (SELECT document_id, page_number, ordinal, clause_identifier, text FROM clauses) c ON f.document_id = c.document_id AND f.page_number = c.page_number AND contains(c.text, trim(f.source_span, ' ' || chr(10))) GROUP BY f.document_id, flag_type, title, f.page_number, f.source_span"
+
+
+@query(with_all(f"""SELECT document_id, category, {case_text({k: v[0] for k, v in preparation.QUESTION_TEXTS.items()}, "category", "cause")} AS question, {case_text({k: v[1] for k, v in preparation.QUESTION_TEXTS.items()}, "category", "cause")} AS rationale, clause_identifier FROM (
+SELECT document_id, CASE flag_type {' '.join(f"WHEN '{f}' THEN '{c}'" for f, c in questions.FLAG_QUESTIONS.items())} ELSE 'general_review' END AS category, title AS cause, clause_identifier FROM ({LINKED_SQL})
+UNION ALL {TELLING_SQL}
+UNION ALL SELECT d.document_id, c, NULL, NULL FROM (SELECT DISTINCT document_id FROM cpages WHERE document_id NOT IN (SELECT document_id FROM flags) AND document_id NOT IN (SELECT document_id FROM ({TELLING_SQL}))) d CROSS JOIN (VALUES ('general'), ('jurisdiction')) v(c))"""))
+def prepared_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = written_pages(spark, sf_dir)
+    c = written(extraction.clauses(p), "clauses")
+    return preparation.prepared_questions(p, extraction.review_flags(p, c), c).drop("seq")
+
+
+@query(with_all(f"""SELECT d.document_id, coalesce(concat_ws('; ', any_value(n.t), any_value(e.t)), '{preparation.CONFIRM_DEFAULT}') AS facts FROM (SELECT DISTINCT document_id FROM cpages) d
+LEFT JOIN (SELECT document_id, replace('{preparation.CONFIRM_PARTIES}', '{{}}', string_agg(name, ', ' ORDER BY ordinal)) AS t FROM parties GROUP BY 1) n ON n.document_id = d.document_id
+LEFT JOIN (SELECT document_id, string_agg({case_text(preparation.CONFIRM_DATES, "date_type", "coalesce(normalized_date, raw_text)")}, '; ' ORDER BY ordinal) AS t FROM dates GROUP BY 1) e ON e.document_id = d.document_id GROUP BY d.document_id"""))
+def facts_to_confirm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = written_pages(spark, sf_dir)
+    return preparation.facts_to_confirm(p, extraction.parties(p), extraction.dates(p)).select("document_id", F.array_join("facts", "; ").alias("facts"))
+
+
+@query(with_all(f"""SELECT document_id, concat_ws('; ', '{"; ".join(preparation.BRING_ALWAYS)}', CASE WHEN p THEN '{preparation.BRING["invoices"]}' END, CASE WHEN r THEN '{preparation.BRING["correspondence"]}' END, CASE WHEN document_id IN (SELECT document_id FROM flags) THEN '{preparation.BRING["negotiation_records"]}' END) AS documents_to_bring,
+concat_ws('; ', CASE WHEN NOT r THEN '{preparation.OPEN["governing_law"].replace("'", "''")}' END, CASE WHEN NOT t THEN '{preparation.OPEN["termination_rights"]}' END, CASE WHEN document_id % 3 = 0 THEN 'Unresolved inquiry from analysis: Is it binding?' WHEN r AND t THEN '{preparation.OPEN["standard_addenda"]}' END) AS open_questions
+FROM (SELECT document_id, bool_or(category = 'payment') AS p, bool_or(category = 'dispute_resolution') AS r, bool_or(category = 'termination') AS t FROM clauses GROUP BY 1)"""))
+def preparation_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists in words; every third document has a question that its answer left for review."""
+    p = written_pages(spark, sf_dir)
+    asked = p.filter("page_number = 1").select("document_id", F.lit(1).alias("seq"), F.lit("Is it binding?").alias("question"), (F.col("document_id") % 3 == 0).alias("needs_review"))
+    made = preparation.lists(p, extraction.clauses(p), extraction.review_flags(p), asked)
+    return made.select("document_id", F.array_join("documents_to_bring", "; ").alias("documents_to_bring"), F.array_join("open_questions", "; ").alias("open_questions"))
+
+
+def headed_lines(batch) -> list[str | None]:  # noqa: ANN001
+    """A stand-in for a model: numbered lines are clauses; every ninth contract gets an answer that is none."""
+    out: list[str | None] = []
+    for document, body in zip(batch.column("document_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+        found = [re.match(r"(\d+)\. (\w+)\. (.*)", line) for line in body.split("\n")]
+        rows = [{"clause_identifier": m[1], "title": m[2] if m[2] != "Delivery" else " ", "category": m[2].upper(), "text": m[3], "source_span": m[0]} for m in found if m]
+        out.append("no answer" if document // 10 % 9 == 0 else json.dumps({"clauses": rows}))
+    return out
+
+
+@query(f"""WITH {CONTRACTS_SQL},
+l AS (SELECT *, unnest(string_split(text, chr(10))) AS line FROM cpages WHERE pair_id % 9 <> 0),
+h AS (SELECT document_id, page_number, regexp_extract(line, '^([0-9]+)\\. (\\w+)\\. ', 1) AS no, regexp_extract(line, '^([0-9]+)\\. (\\w+)\\. ', 2) AS title FROM l WHERE regexp_matches(line, '^[0-9]+\\. \\w+\\. '))
+SELECT document_id, page_number, CASE WHEN title = 'Delivery' THEN 'EMPTY_TITLE' ELSE 'Clause ' || no || ': ' || title || ' (Category: ' || lower(title) || ')' END AS claim, CASE WHEN title = 'Delivery' THEN 'REJECTED' ELSE 'VALID' END AS outcome FROM h
+UNION ALL SELECT document_id, page_number, 'INVALID_RESPONSE', 'REJECTED' FROM cpages WHERE pair_id % 9 = 0""")
+def provider_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clauses of a provider through checks, claims and citations, and what was rejected."""
+    pages = written_pages(spark, sf_dir)
+    good, rejected = providers.entities(providers.answers(pages, headed_lines), "clauses")
+    none = extraction.parties(pages.limit(0)), extraction.obligations(pages.limit(0)), extraction.dates(pages.limit(0)), extraction.review_flags(pages.limit(0))
+    found = evidence.resolve(evidence.claims(none[0], good, *none[1:]), pages)
+    kept = found.select("document_id", F.col("page_start").alias("page_number"), F.col("claim_text").alias("claim"), F.col("validation_status").alias("outcome"))
+    return kept.unionByName(rejected.select("document_id", "page_number", F.array_join("violations", ",").alias("claim"), F.lit("REJECTED").alias("outcome")))
+
+
 @query(with_all("""SELECT document_id, round_even(((document_id IN (SELECT document_id FROM parties))::INT + (document_id IN (SELECT document_id FROM clauses))::INT + (document_id IN (SELECT document_id FROM obligations))::INT
 + (document_id IN (SELECT document_id FROM dates))::INT + (document_id IN (SELECT document_id FROM flags))::INT) / 5.0, 2)::DOUBLE AS score FROM (SELECT DISTINCT document_id FROM cpages)"""))
 def brief_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -782,15 +848,28 @@ def evidence_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {ALL_SQL}, {CLAIMS_SQL},
 g AS (SELECT document_id, count(*) AS n_items, count(*) FILTER (pos >= 0) AS n_supported, count(DISTINCT claim_type) AS n_sections FROM resolved GROUP BY 1),
 q AS (SELECT document_id, count(*) AS n FROM flags GROUP BY 1),
-f AS (SELECT document_id, min_by(title, ordinal) AS title FROM clauses GROUP BY 1)
-SELECT g.document_id AS document_id, n_items, n_supported, round_even(n_sections / 5.0::DOUBLE, 2) AS score, n_sections, q.n AS n_questions, 'Clause Clause-1: ' || f.title || ' (Category: payment)' AS first_clause
-FROM g JOIN q ON g.document_id = q.document_id JOIN f ON g.document_id = f.document_id""")
+f AS (SELECT document_id, min_by('Clause ' || clause_identifier || ': ' || title || ' (Category: ' || category || ')', ordinal) AS title FROM clauses GROUP BY 1),
+k AS (SELECT document_id, count(*) AS n FROM dates WHERE date_type IN ('effective_date', 'expiration_date', 'renewal_deadline') GROUP BY 1),
+p AS (SELECT document_id, 1 AS n FROM parties GROUP BY 1)
+SELECT d.document_id AS document_id, coalesce(n_items, 0) AS n_items, coalesce(n_supported, 0) AS n_supported, round_even(coalesce(n_sections, 0) / 5.0::DOUBLE, 2) AS score,
+coalesce(n_sections, 0) + CASE WHEN d.document_id % 4 = 0 THEN 1 ELSE 0 END AS n_sections, coalesce(q.n, 2) AS n_questions, f.title AS first_clause, greatest(1, coalesce(k.n, 0) + coalesce(p.n, 0)) AS n_facts,
+CASE WHEN d.document_id % 4 = 0 THEN 'Q&A Finding: Question 2?' END AS second_finding, CASE WHEN d.document_id % 4 = 0 THEN 5 END AS n_findings
+FROM (SELECT DISTINCT document_id FROM cpages) d LEFT JOIN g ON g.document_id = d.document_id LEFT JOIN q ON q.document_id = d.document_id LEFT JOIN f ON f.document_id = d.document_id LEFT JOIN k ON k.document_id = d.document_id LEFT JOIN p ON p.document_id = d.document_id""")
 def briefs_assembled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Briefs of all contracts; every fourth has seven answers, of which its brief holds five."""
     pages = written_pages(spark, sf_dir)
-    c, fl = written(extraction.clauses(pages), "clauses"), written(extraction.review_flags(pages), "flags")
-    b = briefs.assemble(pages.select("document_id").distinct(), cited_claims(pages), pages, c, fl)
-    first = F.col("sections")["clauses"]["items"][0]["title"]
-    return b.select("document_id", "n_items", "n_supported", "score", F.size("sections").cast("long").alias("n_sections"), F.size("questions").cast("long").alias("n_questions"), first.alias("first_clause"))
+    pa, c, o = written(extraction.parties(pages), "parties"), written(extraction.clauses(pages), "clauses"), extraction.obligations(pages)
+    d, fl = written(extraction.dates(pages), "dates"), written(extraction.review_flags(pages), "flags")
+    cited = written(miscited(evidence.claims(pa, c, o, d, fl)), "claims")
+    k = F.col("seq").cast("string")
+    seven = pages.filter("page_number = 1 and document_id % 4 = 0").select("document_id", F.explode(F.sequence(F.lit(1), F.lit(7))).alias("seq"), F.col("page_number").alias("page_start"), F.col("page_number").alias("page_end"), F.left("text", F.lit(20)).alias("source_span"), F.col("text").alias("answer"))
+    answered = seven.withColumns({"question": F.concat(F.lit("Question "), k, F.lit("?")), "trust_tier": F.lit("GENERAL_INFORMATION"), "safety_status": F.lit("SAFE")})
+    b = briefs.assemble(pages.select("document_id").distinct(), cited, pages, c, fl, parties=pa, dates=d, answered=answered)
+    first, qa = F.col("sections")["clauses"]["items"][0]["title"], F.try_element_at("sections", F.lit(briefs.FINDINGS))["items"]
+    return b.select(
+        "document_id", "n_items", "n_supported", "score", F.size("sections").cast("long").alias("n_sections"), F.size("questions").cast("long").alias("n_questions"), first.alias("first_clause"),
+        F.size("facts_to_confirm").cast("long").alias("n_facts"), F.get(qa, F.lit(1))["title"].alias("second_finding"), F.size(qa).cast("long").alias("n_findings"),
+    )
 
 
 @query(with_all("SELECT DISTINCT document_id FROM flags WHERE flag_type IN ('renewal_lock_in', 'restrictive_covenant')"))
