@@ -29,6 +29,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return back
 
 
+def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """Like ``materialise``, in as many buckets of ``key`` as a shuffle has partitions: joins by the key leave this table where it is."""
+    spark = df.sparkSession
+    path, table = scratch_path(spark, name), f"deedflow_{name}_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(buckets, key).option("path", path).saveAsTable(table)
+    back = spark.table(table)
+    back.scratch_, back.table_ = path, table
+    return back
+
+
 def forget(*tables: DataFrame) -> None:
     """Delete scratch tables that no table still to be computed reads, and let Spark drop the shuffle files behind them.
 
@@ -38,6 +49,8 @@ def forget(*tables: DataFrame) -> None:
     gc.collect()
     for df in tables:
         spark = df.sparkSession
+        if hasattr(df, "table_"):
+            spark.sql(f"DROP TABLE IF EXISTS {df.table_}")
         path = spark._jvm.org.apache.hadoop.fs.Path(df.scratch_)
         path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
     if tables:

@@ -15,10 +15,13 @@ that the first text does not explain are the rest, however many: each gives the
 hashes of all runs of ``least_words`` words around its minimum, and texts that
 share a run are joined with the first text that has it. Such a text always
 explains them, so that no verbatim passage is lost and nothing is tried in turns.
+Before that, every run is stood for by half of it, chosen by its content alone, so
+that neighbouring runs have one half in common: only runs whose half another text
+has as well are hashed and compared.
 
-Scale: the windows are made twice in narrow passes rather than kept, and only
-minima of different texts travel with their place; from there on equal texts are
-one. Groups are counted with map-side combining, written, and joined with their
+Scale: distinct texts are written once, in buckets of their key, and move no more
+except to a first text. The windows are made twice in narrow passes rather than
+kept. Groups are counted with map-side combining, written, and joined with their
 first text, which splits a passage that very many documents share.
 
 Defined cases: the first occurrence, by document id (null ids last), is kept. A
@@ -41,8 +44,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textops as tx
-from .common import forget, materialise, ship, small, unused, word_count
-from .near_duplicates import candidate_texts, text_key
+from .common import bucketed, forget, materialise, ship, small, unused, word_count
+from .near_duplicates import text_key
 
 #: Words of a shingle.
 SHINGLE = 5
@@ -124,35 +127,84 @@ def run_starts(places: np.ndarray, n: int, width: int) -> np.ndarray:
     return starts[(starts >= 0) & (starts + width <= n)]
 
 
+def prefix_sums(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(upto, back): the hash of shingles [a, b) is ``(upto[b] - upto[a]) * back[a]``, mixed."""
+    base = tx.U64(0x9E3779B97F4A7C15)  # odd, so that it has an inverse among 64-bit numbers
+    n = len(hashes)
+    power, back = (np.full(n + 1, x) for x in (base, tx.U64(pow(int(base), -1, 1 << 64))))
+    for x in (power, back):
+        x[0] = 1
+        np.multiply.accumulate(x, out=x)
+    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * power[:n], dtype=np.uint64)]), back
+
+
+def halves(hashes: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(key, begin) of the half that stands for each run of ``width`` shingles from ``at``.
+
+    The half reaches from the run's least shingle (under a hash of its own, the first of equal ones) to the side that
+    has room for ``width // 2`` shingles more, which one always has: equal runs have equal halves.
+    """
+    half = width // 2
+    value = tx.mix(hashes ^ tx.seed(300))
+    least, step = np.arange(len(value)), 1
+    while 2 * step <= width:
+        one, two = least[:-step], least[step:]
+        least = np.where(value[two] < value[one], two, one)
+        step *= 2
+    one, two = least[at], least[at + width - step]
+    place = np.where(value[two] < value[one], two, one)
+    begin = np.where(place - at >= half, place - half, place)
+    upto, back = prefix_sums(hashes)
+    return tx.mix((upto[begin + half + 1] - upto[begin]) * back[begin]), begin
+
+
+def half_runs(joined: DataFrame, width: int) -> DataFrame:
+    """(half, node, lo, hi) of all runs of ``width`` shingles around the open positions of (node, positions, text): those from lo to hi have the half in common."""
+    ship(joined.sparkSession)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = tx.as_bytes(batch.column(2))
+            for lo, hi in tx.spans(offsets):
+                s = tx.shingles(tx.words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]), SHINGLE)
+                starts = [run_starts(batch.column(1).slice(k, 1).flatten().to_numpy(zero_copy_only=False).astype(np.int64), int(s.counts[k - lo]), width) for k in range(lo, hi)]
+                row = np.repeat(np.arange(hi - lo), [len(x) for x in starts])
+                if not len(row):
+                    continue
+                own = np.concatenate(starts)
+                key, begin = halves(s.hash, s.first[row] + own, width)
+                new = np.concatenate([[True], (row[1:] != row[:-1]) | (own[1:] != own[:-1] + 1) | (begin[1:] != begin[:-1])])
+                head = np.flatnonzero(new)
+                last = np.append(head[1:], len(row)) - 1
+                yield pa.RecordBatch.from_arrays([pa.array(key[head].view(np.int64)), batch.column(0).take(pa.array(lo + row[head])), pa.array(own[head]), pa.array(own[last])], ["half", "node", "lo", "hi"])
+            tx.release()
+
+    return joined.select("node", "positions", "text").mapInArrow(run, "half long, node long, lo long, hi long")
+
+
 def runs(joined: DataFrame, width: int) -> DataFrame:
-    """(run, node, rank, at) of all runs of ``width`` shingles around the open positions of (node, rank, positions, text); at is where the run begins."""
+    """(run, node, rank, at) of the runs of ``width`` shingles of (node, rank, starts, text), from lo to hi each, or around the open positions of (node, rank, positions, text); at is where the run begins."""
     ship(joined.sparkSession)
+    given = "starts" in joined.columns
     schema = T.StructType([T.StructField("run", T.LongType()), *joined.select("node", "rank").schema.fields, T.StructField("at", T.LongType())])
-    base = tx.U64(0x9E3779B97F4A7C15)  # odd, so that it has an inverse among 64-bit numbers
-    inverse = tx.U64(pow(int(base), -1, 1 << 64))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = tx.as_bytes(batch.column(3))
             for lo, hi in tx.spans(offsets):
                 s = tx.shingles(tx.words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]), SHINGLE)
-                n = len(s.hash)
-                power, back = (np.full(n + 1, x) for x in (base, inverse))
-                for x in (power, back):
-                    x[0] = 1
-                    np.multiply.accumulate(x, out=x)
-                upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum(s.hash * power[:n], dtype=np.uint64)])
+                upto, back = prefix_sums(s.hash)
                 for k in range(lo, hi):
-                    first, size = int(s.first[k - lo]), int(s.counts[k - lo])
-                    starts = run_starts(np.array(batch.column(2)[k].as_py(), np.int64), size, width)
-                    if len(starts):
-                        at = first + starts
-                        key = tx.mix((upto[at + width] - upto[at]) * back[at])
-                        same = pa.array(np.full(len(starts), k))
-                        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(0).take(same), batch.column(1).take(same), pa.array(starts)], schema.names)
+                    first = int(s.first[k - lo])
+                    where = batch.column(2)[k].as_py()
+                    starts = np.unique(np.concatenate([np.arange(x["lo"], x["hi"] + 1) for x in where])) if given else run_starts(np.array(where, np.int64), int(s.counts[k - lo]), width)
+                    at = first + starts
+                    key = tx.mix((upto[at + width] - upto[at]) * back[at])
+                    same = pa.array(np.full(len(starts), k))
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(0).take(same), batch.column(1).take(same), pa.array(starts)], schema.names)
             tx.release()
 
-    return joined.mapInArrow(run, schema)
+    return joined.select("node", "rank", "starts" if given else "positions", "text").mapInArrow(run, schema)
 
 
 def turning_points(ka: np.ndarray, kb: np.ndarray, beside_a: np.ndarray, beside_b: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -321,8 +373,10 @@ def verified_spans(pairs: DataFrame, texts: DataFrame, width: int, agree: int, s
     An anchor is the position of a shared minimum in ``node``, times 16, plus its hash's number; a span needs
     anchors of ``agree`` different hash functions.
     """
-    ship(texts.sparkSession)
-    one = texts.select(F.col("node").alias("first_node"), F.col("text").alias("left"))
+    ship(pairs.sparkSession)
+    # first texts are written for themselves: both sides of their join are then shuffled, so that a popular one is split
+    wanted = materialise(pairs.select(F.col("first_node").alias("node")).distinct(), "wanted")
+    one = materialise(texts.select("node", "text").join(wanted.hint("merge"), "node", "left_semi").select(F.col("node").alias("first_node"), F.col("text").alias("left")), "firsts")
     two = texts.select("node", F.col("text").alias("right"))
     joined = pairs.join(two.hint("merge"), "node").join(one.hint("merge"), "first_node").select("first_node", "node", "anchors", "left", "right")
 
@@ -350,14 +404,16 @@ def verified_spans(pairs: DataFrame, texts: DataFrame, width: int, agree: int, s
             del batch
             tx.release()
 
-    return joined.mapInArrow(run, "first_node long, node long, start long, end long, first_start long, first_end long, similarity double")
+    spans = materialise(joined.mapInArrow(run, "first_node long, node long, start long, end long, first_start long, first_end long, similarity double"), "spans")
+    forget(wanted, one)
+    return spans
 
 
-def repeated_spans(rows: DataFrame, nodes: DataFrame, *, hashes: int = 4, agree: int = 2, least_words: int = 50, similarity: float = 0.8) -> DataFrame:
-    """Verified spans of distinct texts: ``nodes`` (node, least_id) order the texts, ``rows`` (doc_id, node, text) hold them."""
+def repeated_spans(texts: DataFrame, *, hashes: int = 4, agree: int = 2, least_words: int = 50, similarity: float = 0.8) -> DataFrame:
+    """Verified spans of distinct ``texts`` (doc_id, node, text), which are in buckets of node and in the order of doc_id."""
     width = least_words - SHINGLE + 1
     at, left, right = lambda p: F.shiftright(p, 32), lambda p: F.shiftright(p, 16) % 65536, lambda p: p % 65536
-    made = windows(rows, hashes, width)
+    made = windows(texts, hashes, width)
     shared = made.groupBy("minimum").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a <> z").select("minimum")
     shared = materialise(shared, "shared")
     held = materialise(made.join(shared.hint("merge"), "minimum", "left_semi"), "windows")
@@ -374,7 +430,7 @@ def repeated_spans(rows: DataFrame, nodes: DataFrame, *, hashes: int = 4, agree:
     anchors = F.transform("wide", lambda p: at(p) * 16 + F.col("minimum").bitwiseAND(15))
     pairs = stars.filter(F.size("wide") > 0).groupBy("first_node", "node").agg(F.flatten(F.collect_list(anchors)).alias("anchors"), F.countDistinct(F.col("minimum").bitwiseAND(15)).alias("agreeing"))
     pairs = materialise(pairs.filter(F.col("agreeing") >= agree).select("first_node", "node", "anchors"), "pairs")
-    spans = verified_pairs(pairs, nodes, rows, width, agree, similarity)
+    spans = verified_spans(pairs, texts, width, agree, similarity)
     # the rest: windows that no span of their pair explains
     explained = materialise(spans.groupBy("first_node", "node").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "explained")
     within = lambda p: F.exists("spans", lambda s: (at(p) >= s["start"]) & (at(p) < s["end"]))
@@ -386,27 +442,24 @@ def repeated_spans(rows: DataFrame, nodes: DataFrame, *, hashes: int = 4, agree:
     opened = rest.join(several.hint("merge"), "minimum", "left_semi").groupBy("node", "rank").agg(F.array_distinct(F.flatten(F.collect_list("positions"))).alias("positions"))
     opened = materialise(opened, "opened")
     forget(rest, several)
-    texts = candidate_texts(opened.select("node"), nodes, rows)
-    joined = materialise(opened.join(texts.hint("merge"), "node").select("node", "rank", "positions", "text"), "positions")
-    forget(opened, texts)
+    # of two texts that share a run both have its half
+    made = materialise(half_runs(opened.join(texts.hint("merge"), "node"), width), "halves")
+    common = made.groupBy("half").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a <> z").select("half")
+    common = materialise(common, "common_halves")
+    starts = made.join(small(common, common.count()), "half", "left_semi").groupBy("node").agg(F.collect_list(F.struct("lo", "hi")).alias("starts"))
+    starts = materialise(starts.join(opened.select("node", "rank").hint("merge"), "node"), "starts")
+    forget(opened, made, common)
     # like the windows, runs are made twice: few of them stand in two texts
-    made = runs(joined, width)
+    made = runs(starts.join(texts.hint("merge"), "node"), width)
     common = made.groupBy("run").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a <> z").select("run")
     common = materialise(common, "common")
     found = materialise(made.join(small(common, common.count()), "run", "left_semi"), "runs")
-    forget(joined, common)
+    forget(starts, common)
     leader = materialise(found.groupBy("run").agg(F.min("rank").alias("f")).select("run", F.col("f.node").alias("first_node")), "leaders")
     more = found.join(leader.hint("merge"), "run").filter("node <> first_node").groupBy("first_node", "node").agg(F.collect_list(F.col("at") * 16 + RUN).alias("anchors"))
     more = materialise(more, "more")
     forget(found, leader)
-    return spans.unionByName(verified_pairs(more, nodes, rows, width, 1, similarity))
-
-
-def verified_pairs(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, width: int, agree: int, similarity: float) -> DataFrame:
-    texts = candidate_texts(pairs.select("node").unionByName(pairs.select(F.col("first_node").alias("node"))), nodes, rows)
-    spans = materialise(verified_spans(pairs, texts, width, agree, similarity), "spans")
-    forget(texts)
-    return spans
+    return spans.unionByName(verified_spans(more, texts, width, 1, similarity))
 
 
 def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", hashes: int = 4, agree: int = 2, least_words: int = 50, similarity: float = 0.8) -> DataFrame:
@@ -417,16 +470,18 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), text_key(F.col(text_col)).alias("node"))
     found = materialise(rows.select("doc_id", "node", word_count(F.col("text")).alias("n_words")), "words")
-    nodes = found.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.max("n_words").alias("n_words"))
-    nodes = materialise(nodes.filter(F.col("n_words") >= least_words), "nodes")
-    spans = repeated_spans(rows, nodes, hashes=hashes, agree=agree, least_words=least_words, similarity=similarity)
+    long_enough = rows.filter(F.length("text") >= 2 * least_words - 1)  # words and what parts them
+    texts = bucketed(long_enough.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("text").alias("text")), "texts", "node")
+    nodes = materialise(texts.select("node", F.col("doc_id").alias("least_id")), "nodes")
+    spans = repeated_spans(texts, hashes=hashes, agree=agree, least_words=least_words, similarity=similarity)
     names = nodes.select(F.col("node").alias("first_node"), F.col("least_id").alias("first_doc_id"))
     spans = materialise(spans.distinct().join(names.hint("merge"), "first_node"), "spans")
+    forget(texts)
     columns = ["doc_id", "node", "start", "end", "first_doc_id", "first_start", "first_end", "similarity", "kept"]
     firsts = nodes.select("node", F.col("least_id").alias("doc_id"))
     cut = spans.join(firsts.hint("merge"), "node").withColumn("kept", F.lit(False)).select(*columns)
     keep = spans.select(F.col("first_doc_id").alias("doc_id"), F.col("first_node").alias("node"), F.col("first_start").alias("start"), F.col("first_end").alias("end"), "first_doc_id", "first_start", "first_end", F.lit(1.0).alias("similarity"), F.lit(True).alias("kept")).distinct()
-    copies = found.filter(F.col("n_words") >= least_words).select("doc_id", "node").distinct().join(nodes.hint("merge"), "node").filter(~F.col("doc_id").eqNullSafe(F.col("least_id")))
+    copies = found.filter(F.col("n_words") >= least_words).distinct().join(nodes.hint("merge"), "node").filter(~F.col("doc_id").eqNullSafe(F.col("least_id")))
     zero = F.lit(0).cast("long")
     copies = materialise(copies.select("doc_id", "node", zero.alias("start"), F.col("n_words").alias("end"), F.col("least_id").alias("first_doc_id"), zero.alias("first_start"), F.col("n_words").alias("first_end"), F.lit(1.0).alias("similarity"), F.lit(False).alias("kept")), "copies")
     kept_copies = copies.select(F.col("first_doc_id").alias("doc_id"), *columns[1:-1], F.lit(True).alias("kept")).distinct()
