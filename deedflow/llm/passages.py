@@ -434,12 +434,14 @@ def repeated_spans(texts: DataFrame, *, hashes: int = 4, agree: int = 2, least_w
     # the rest: windows that no span of their pair explains
     explained = materialise(spans.groupBy("first_node", "node").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "explained")
     within = lambda p: F.exists("spans", lambda s: (at(p) >= s["start"]) & (at(p) < s["end"]))
-    rest = stars.join(explained.hint("merge"), ["first_node", "node"], "left").withColumn("places", F.filter("places", lambda p: ~F.coalesce(within(p), F.lit(False))))
+    # outer, since Spark would look for empty arrays by filtering twice
+    unexplained = F.explode_outer(F.filter("places", lambda p: ~F.coalesce(within(p), F.lit(False)))).alias("place")
+    rest = stars.join(explained.hint("merge"), ["first_node", "node"], "left").select("minimum", "node", "rank", unexplained).filter("place is not null")
     # a text's window is open only if another text's is, which the first one's never are
-    rest = materialise(rest.filter(F.size("places") > 0).select("minimum", "node", "rank", F.transform("places", at).alias("positions")), "rest")
+    rest = materialise(rest.select("minimum", "node", "rank", at(F.col("place")).alias("position")), "rest")
     forget(stars, explained, pairs)
-    several = materialise(rest.groupBy("minimum").count().filter("count > 1").select("minimum"), "several")
-    opened = rest.join(several.hint("merge"), "minimum", "left_semi").groupBy("node", "rank").agg(F.array_distinct(F.flatten(F.collect_list("positions"))).alias("positions"))
+    several = materialise(rest.groupBy("minimum").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a <> z").select("minimum"), "several")
+    opened = rest.join(several.hint("merge"), "minimum", "left_semi").groupBy("node", "rank").agg(F.collect_set("position").alias("positions"))
     opened = materialise(opened, "opened")
     forget(rest, several)
     # of two texts that share a run both have its half
@@ -469,10 +471,12 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     with ``kept`` true are the first occurrences themselves.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), text_key(F.col(text_col)).alias("node"))
-    found = materialise(rows.select("doc_id", "node", word_count(F.col("text")).alias("n_words")), "words")
-    long_enough = rows.filter(F.length("text") >= 2 * least_words - 1)  # words and what parts them
-    texts = bucketed(long_enough.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("text").alias("text")), "texts", "node")
+    rows = rows.filter(F.length("text") >= 2 * least_words - 1)  # words and what parts them
+    texts = bucketed(rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("text").alias("text")), "texts", "node")
     nodes = materialise(texts.select("node", F.col("doc_id").alias("least_id")), "nodes")
+    copies = materialise(rows.select("doc_id", "node").distinct().join(nodes.hint("merge"), "node").filter(~F.col("doc_id").eqNullSafe(F.col("least_id"))), "copied")
+    copied = copies.select("node").distinct()
+    copied = materialise(texts.join(copied.hint("merge"), "node", "left_semi").select("node", word_count(F.col("text")).alias("n_words")), "copied_words")
     spans = repeated_spans(texts, hashes=hashes, agree=agree, least_words=least_words, similarity=similarity)
     names = nodes.select(F.col("node").alias("first_node"), F.col("least_id").alias("first_doc_id"))
     spans = materialise(spans.distinct().join(names.hint("merge"), "first_node"), "spans")
@@ -481,7 +485,7 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     firsts = nodes.select("node", F.col("least_id").alias("doc_id"))
     cut = spans.join(firsts.hint("merge"), "node").withColumn("kept", F.lit(False)).select(*columns)
     keep = spans.select(F.col("first_doc_id").alias("doc_id"), F.col("first_node").alias("node"), F.col("first_start").alias("start"), F.col("first_end").alias("end"), "first_doc_id", "first_start", "first_end", F.lit(1.0).alias("similarity"), F.lit(True).alias("kept")).distinct()
-    copies = found.filter(F.col("n_words") >= least_words).distinct().join(nodes.hint("merge"), "node").filter(~F.col("doc_id").eqNullSafe(F.col("least_id")))
+    copies = copies.join(copied.filter(F.col("n_words") >= least_words).hint("merge"), "node")
     zero = F.lit(0).cast("long")
     copies = materialise(copies.select("doc_id", "node", zero.alias("start"), F.col("n_words").alias("end"), F.col("least_id").alias("first_doc_id"), zero.alias("first_start"), F.col("n_words").alias("first_end"), F.lit(1.0).alias("similarity"), F.lit(False).alias("kept")), "copies")
     kept_copies = copies.select(F.col("first_doc_id").alias("doc_id"), *columns[1:-1], F.lit(True).alias("kept")).distinct()
