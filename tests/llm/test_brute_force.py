@@ -9,6 +9,7 @@ import itertools
 import random
 import re
 import time
+import unicodedata
 import zlib
 
 import numpy as np
@@ -186,11 +187,16 @@ def test_quality_verdicts_recomputed(spark):
         n, chars = len(w), max(1, sum(map(len, w)))
         assert (x.n_distinct, x.dots, x.upper_chars, x.letters) == (len(set(w)), t.count("."), sum("A" <= c <= "Z" for c in t), sum(c.isalnum() for c in t))
         lines = [y for y in t.split("\n") if WORD.search(y)]
+        ended, short = sum(y.strip(" \t\n\x0b\f\r")[-1] in quality.ENDS for y in lines), sum(len(y) <= 3 for y in w)
+        marks = sum(unicodedata.category(c).startswith("P") for c in t)
+        assert (x.n_ended, x.n_short, x.marks) == (ended, short, marks)
         dup, up, dots, letters, rep = len(lines) - len(set(lines)), x.upper_chars, x.dots, x.letters, x.n_repeat_words
         both = [
             (n < 20, n >= 50), (x.n_symbols > 0.05 * n, x.n_symbols <= 0.002 * n), (rep > 0.3 * n, rep <= 0.01 * n), (dup >= 3 and dup > 0.1 * len(lines), dup == 0 and len(lines) >= 3),
             (up > 0.1 * chars, 0.002 * chars <= up <= 0.05 * chars), (letters < 0.9 * chars, letters >= 0.93 * chars), (chars < 4.2 * n or chars > 6.2 * n, 4.6 * n <= chars <= 5.8 * n),
             (len(set(w)) < 0.3 * n and n < 5000, len(set(w)) >= 0.5 * n), (dots < 0.03 * n or dots > 0.22 * n, 0.04 * n <= dots <= 0.18 * n),
+            (len(lines) >= 2 and ended < 0.7 * len(lines), len(lines) >= 2 and ended >= 0.95 * len(lines)), (short < 0.15 * n or short > 0.42 * n, 0.22 * n <= short <= 0.38 * n),
+            (marks < 0.1 * n or marks > 0.2 * n, 0.12 * n <= marks <= 0.18 * n),
         ]
         votes.append([0 if bad else 1 if good else 2 for bad, good in both])
         base.append(n < 20 or 100 * rep > 30 * n)
@@ -204,7 +210,7 @@ def test_quality_verdicts_recomputed(spark):
                 logit[m] += np.log((p[m].sum() + 0.5) / (p.sum() + 1.5)) - np.log(((1 - p)[m].sum() + 0.5) / ((1 - p).sum() + 1.5))
         p = 1 / (1 + np.exp(-np.clip(logit, -40, 40)))
     for i, (q, b) in enumerate(zip(p, base, strict=True)):
-        assert abs(got[i].quality - q) < 1e-6 and got[i].base_failed == b and got[i].kept == (not b and q >= 0.5)
+        assert abs(got[i].quality - q) < 1e-6 and got[i].base_failed == b and got[i].kept == (not b and q >= 0.1)
     one_bad = [i for i in range(len(texts)) if (v[i] == 0).any() and not base[i]]
     assert any(got[i].kept for i in one_bad) and any(not got[i].kept for i in one_bad)
 
