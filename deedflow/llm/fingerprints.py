@@ -98,12 +98,16 @@ def range_of(key: Column, edges: list[float]) -> Column:
     return F.when(key.isNull(), 0).otherwise(found["lo"])
 
 
+def entry_list(packed: Column) -> Column:
+    """A fingerprint as (place, hash), in text order; place is the k-gram's first word, from 0."""
+    top = (1 << PLACE) - 1
+    return F.transform(packed, lambda x: F.struct((F.lit(top) - x.bitwiseAND(top)).cast("int").alias("place"), F.shiftright(x, PLACE).alias("hash")))
+
+
 def entries(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, entries) of every row: the fingerprint as (place, hash), in text order; place is the k-gram's first word, from 0."""
+    """(doc_id, entries) of every row: its ``entry_list``."""
     packed = docs.select(F.col(id_col).alias("doc_id"), fingerprint(F.col(text_col)).alias("p"))
-    top = (1 << PLACE) - 1
-    one = lambda x: F.struct((F.lit(top) - x.bitwiseAND(top)).cast("int").alias("place"), F.shiftright(x, PLACE).alias("hash"))
-    return packed.select("doc_id", F.transform("p", one).alias("entries"))
+    return packed.select("doc_id", entry_list(F.col("p")).alias("entries"))
 
 
 def range_number(d: DataFrame, key: Column, ranges: int, most_edges: int) -> Column:

@@ -63,6 +63,7 @@ def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
         fingerprints.likeness(F.col("print_hashes"), F.col("edited_print_hashes")).alias("near_edited"),
         fingerprints.likeness(F.col("print_hashes"), F.col("next_print_hashes")).alias("near_next"),
         F.size("print").cast("long").alias("n_entries"),
+        fingerprints.entry_list(F.col("print")).alias("entries"),
     )
 
 

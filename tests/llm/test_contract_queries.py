@@ -139,6 +139,7 @@ def test_winnowing(spark, corpus, results):
         own, after, changed = (set(winnowed(x).values()) for x in (t, nxt, edited))
         r = rows[i]
         assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
+        assert {e.place: e.hash for e in r.entries} == winnowed(t) and r.n_entries == len(r.entries)
         assert abs(r.near_edited - like(own, changed)) < 1e-12 and abs(r.near_next - like(own, after)) < 1e-12
     assert all((rows[a].fingerprint == rows[b].fingerprint) == (winnowed(texts[a]) == winnowed(texts[b])) for a in range(0, N, 5) for b in range(N))
 
