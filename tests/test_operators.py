@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -210,3 +211,22 @@ def test_streaming(spark, lease, tmp_path):
         streaming.write_batches(streaming.arriving(spark, f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
     got = spark.read.parquet(f"{tmp_path}/out")
     assert got.count() == 11 and got.filter("validation_status = 'VALID'").count() == 11
+
+
+def test_flags_of_a_long_page(spark):
+    """A long sentence before the phrase is passed once, not once from each of its places."""
+    body = "word " * 40_000 + ". At itſ SOLE dıscretion. sole discretion without end"
+    pages = spark.createDataFrame([(1, 1, body), (2, 1, "Nothing here."), (3, 1, "no mark at best efforts")], "document_id long, page_number int, text string")
+    start = time.monotonic()
+    found = {(r.document_id, r.flag_type, r.source_span) for r in extraction.review_flags(pages).collect()}
+    assert found == {(1, "unilateral_discretion", "At itſ SOLE dıscretion."), (3, "ambiguous_term", "Potentially Subjective Standard")}
+    assert time.monotonic() - start < 30
+
+
+def test_plain_searches_keep_what_patterns_find(spark):
+    pages = [(1, 1, "They ſhall pay on AUGUſT 5, 2020 or 2024/12/01. Bob\u00a0mUſt go"), (1, 2, "No heads here\u2003\n payment \nx"), (2, 1, "betweEn Foo Inc and Bar Ltd.\nſeller : Acme Co\n")]
+    df = spark.createDataFrame(pages, "document_id long, page_number int, text string")
+    assert [(r.obligor, r.duty) for r in extraction.obligations(df).orderBy("ordinal").collect()] == [("They", "ſhall pay on AUGUſT 5, 2020 or 2024/12/01"), ("Bob", "mUſt go")]
+    assert [r.clause_identifier for r in extraction.clauses(df).collect()] == ["Section-2"]
+    assert {r.raw_text for r in extraction.dates(df).collect()} == {"AUGUſT 5, 2020", "2024/12/01"}
+    assert {r.name for r in extraction.parties(df).collect()} >= {"Foo Inc", "Bar Ltd"}
