@@ -55,3 +55,15 @@ def test_a_long_page_with_many_citations(spark):
         r = found[k]
         assert r.validation_status == "VALID" and text[1][r.char_start : r.char_end].split() == s.split()
     assert (found[5000].match_type, found[5001].reason, found[5002].match_type, found[5003].reason) == ("normalized_whitespace", "SPAN_NOT_FOUND_ON_PAGE", "exact", "SPAN_NOT_FOUND_ON_PAGE")
+
+
+def test_only_likely_spans_are_looked_up(spark, monkeypatch):
+    """A span that is nowhere on its page goes to no Python task; one that differs in white space and zero-width characters does."""
+    asked, whole = [], evidence.tolerant
+    monkeypatch.setattr(evidence, "tolerant", lambda missed, texts: asked.extend(r.span for r in missed.collect()) or whole(missed, texts))
+    pages = spark.createDataFrame([(1, 1, "Buyer shall pay​ now. End")], "document_id long, page_number int, text string")
+    rows = [(1, "party", i, "x", 1, 1, s, None) for i, s in enumerate(["shall pay now.", "not there", "Buyer shall"])]
+    kinds = "document_id long, claim_type string, ordinal int, claim_text string, page_start int, page_end int, source_span string, section string"
+    found = {r.source_span: (r.match_type, r.reason) for r in evidence.resolve(spark.createDataFrame(rows, kinds), pages).collect()}
+    assert asked == ["shall pay now."]
+    assert found == {"shall pay now.": ("normalized_whitespace", None), "not there": ("unmatched", "SPAN_NOT_FOUND_ON_PAGE"), "Buyer shall": ("exact", None)}
