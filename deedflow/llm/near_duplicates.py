@@ -10,11 +10,10 @@ within a band as wide as the similarity allows: similarity is
 components of the verified pairs.
 
 Candidates: in every bucket a member chosen at random per band is the centre and
-all others are compared with it (a star, never all pairs). A bucket that holds
-members of another class than its centre goes on, narrowed by the sketches of one,
-then three, then nine more bands and so on, with one of those as the next centre;
-members of the centre's class stay in it as partners. This ends by itself, when no
-bucket holds such a member and another one.
+all others are compared with it (a star, never all pairs). Members of buckets that
+hold another class than their centre's meet again, all of them, by the rarest of
+their k-mers: so many that two near texts share a known number of them. Pairs of different
+classes that share it are compared, so that no link inside a bucket is left out.
 
 Scale: sketches are made in one narrow pass over all rows (copies too: that costs
 less than moving texts to drop them first), and from there on equal texts are
@@ -180,51 +179,107 @@ def with_root(df: DataFrame, roots: DataFrame, column: str, name: str) -> DataFr
     return df.join(small(found, roots.count()), column, "left").withColumn(name, F.coalesce(name, column))
 
 
+#: Slots in which k-mers are counted, to take the rare ones first.
+SLOTS = 1 << 18
+
+
+def kmer_counts(texts: DataFrame) -> np.ndarray:
+    """How many k-mers of the texts (node, text) fall into each slot: a fixed number of sums."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            data, offsets = tx.as_bytes(batch.column(0))
+            for lo, hi in tx.spans(offsets):
+                s = tx.shingles(tx.words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]), GRAM)
+                total += np.bincount((s.hash % tx.U64(SLOTS)).astype(np.int64), minlength=SLOTS)
+            tx.release()
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["slot", "n"])
+
+    found = texts.select("text").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()
+    out = np.zeros(SLOTS, np.int64)
+    for slot, n in found:
+        out[slot] = n
+    return out
+
+
+def rare_kmers(members: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """(node, n, root, kmer, share): as many of the rarest labelled k-mers of each member (node, n, root) that two texts near each other share as many as the smaller ``share`` of both.
+
+    A word edit takes at most two k-mers of two words from the longer text, so near texts share
+    (2 * least - 1) * n - 1 of them, and of lists in one order the heads that leave ``share`` less of these share that many.
+    """
+    ship(texts.sparkSession)
+    rows = materialise(members.join(texts.hint("merge"), "node").select("node", "n", "root", "text"), "members")
+    counts = kmer_counts(rows)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = tx.as_bytes(batch.column(3))
+            for lo, hi in tx.spans(offsets):
+                w = tx.words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                s = tx.shingles(w, GRAM)
+                have, label = s.counts.astype(np.int64), tx.labelled(s)
+                order = np.lexsort((label, counts[(s.hash % tx.U64(SLOTS)).astype(np.int64)], s.doc))
+                need = np.maximum(1, np.ceil((2 * least - 1) * w.counts - 1 - 1e-9)).astype(np.int64)
+                share = np.maximum(1, need // 3)
+                head = have - need + share
+                text = s.doc[order]
+                keep = np.arange(len(order)) - s.first[text] < head[text]
+                at = pa.array(lo + text[keep])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in range(3)), pa.array(label[order[keep]].view(np.int64)), pa.array(share[text[keep]])], ["node", "n", "root", "kmer", "share"])
+            tx.release()
+
+    return rows.mapInArrow(run, "node long, n int, root long, kmer long, share long")
+
+
+def pairs_of_classes(members: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """(a, b): pairs of members (node, n, root) of different classes that may be near, none left out."""
+    kmers = materialise(rare_kmers(members, texts, least), "kmers")
+    mixed = kmers.groupBy("kmer").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("kmer")
+    shared = materialise(kmers.join(mixed.hint("merge"), "kmer", "left_semi"), "shared")
+    forget(kmers)
+    side = lambda s: shared.select("kmer", F.col("node").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("n", "root", "share")])
+    one, two = side("a"), side("b")
+    met = one.join(two.hint("merge"), "kmer").filter((F.col("a") < F.col("b")) & (F.col("a_root") != F.col("b_root")) & (F.least("a_n", "b_n") >= least * F.greatest("a_n", "b_n")))
+    enough = met.groupBy("a", "b").agg(F.count("*").alias("n"), F.first(F.least("a_share", "b_share")).alias("least")).filter("n >= least")
+    pairs = materialise(enough.select("a", "b"), "pairs")
+    forget(shared)
+    return pairs
+
+
 def near_roots(nodes: DataFrame, rows: DataFrame, *, least: float = 0.8) -> DataFrame:
     """(node, root) of every text that is near another: ``nodes`` (node, n, sketch, least_id), their texts in ``rows`` (doc_id, node, text)."""
     place = F.posexplode("sketch").alias("band", "value")
-    opened = nodes.filter("n > 0").select("node", "n", place).select("band", F.xxhash64("band", "value").alias("bucket"), "node", "n", F.lit(True).alias("open"))
-    roots = rows.sparkSession.createDataFrame([], "node long, root long")
-    tried, texts, later, turn = None, None, None, 0
-    while True:
-        rank = F.struct((~F.col("open")).alias("closed"), F.xxhash64("node", "band", F.lit(turn)).alias("h"), F.col("node"), F.col("n"))
-        centre = opened.groupBy("bucket").agg(F.min(rank).alias("c"), F.count("*").alias("size")).filter("size > 1 and not c.closed")
-        centre = materialise(centre.select("bucket", F.col("c.node").alias("centre"), F.col("c.n").alias("centre_n")), "centres")
-        n = centre.count()
-        if n == 0:
-            break
-        stars = materialise(opened.join(small(centre, n), "bucket").filter("node <> centre"), "stars")
-        if texts is None:  # later buckets are parts of the first ones
-            texts = candidate_texts(stars.select("node").unionByName(centre.select(F.col("centre").alias("node"))), nodes, rows)
-        possible = F.least("n", "centre_n") >= least * F.greatest("n", "centre_n")
-        pairs = stars.filter(possible).select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-        if tried is not None:
-            pairs = with_root(with_root(pairs, roots, "a", "root_a"), roots, "b", "root_b").filter("root_a <> root_b").select("a", "b")
-            pairs = pairs.join(small(tried, tried.count()), ["a", "b"], "left_anti")
-        pairs = materialise(pairs, "pairs")
-        new = materialise(verified(pairs, texts, least), "verified")
-        tried = new.select("a", "b") if tried is None else tried.unionByName(new.select("a", "b"))
-        near = new.filter("near").select("a", "b")
-        if turn == 0:
-            roots = materialise(components(near), "roots")
-        else:  # few: they join classes at the end
-            later = near if later is None else later.unionByName(near)
-        judged = with_root(with_root(stars, roots, "node", "own"), roots, "centre", "other")
-        judged = materialise(judged.select("band", "bucket", "node", "n", (F.col("open") & (F.col("own") != F.col("other"))).alias("open")), "judged")
-        forget(stars, pairs, centre)
-        alive = materialise(judged.groupBy("bucket").agg(F.bool_or("open").alias("some"), F.count("*").alias("size")).filter("some and size > 1").select("bucket"), "alive")
-        n = alive.count()
-        if n == 0:
-            break
-        again = materialise(judged.join(small(alive, n), "bucket", "left_semi"), "again")
-        sketch = materialise(nodes.select("node", "sketch").join(small(again.select("node").distinct(), again.count()), "node", "left_semi"), "sketch")
-        others = [F.element_at("sketch", (F.col("band") + k) % F.size("sketch") + 1) for k in range((3**turn + 1) // 2, (3 ** (turn + 1) + 1) // 2)]
-        narrowed = again.join(small(sketch, 8 * sketch.count()), "node").select("band", F.xxhash64("bucket", *others).alias("bucket"), "node", "n", "open")
-        opened = materialise(narrowed, "opened")
-        forget(judged, alive, again, sketch)
-        turn = min(turn + 1, 4)  # by then a bucket's sketches are all equal
-    if texts is not None:
-        forget(texts)
+    opened = nodes.filter("n > 0").select("node", "n", place).select("band", F.xxhash64("band", "value").alias("bucket"), "node", "n")
+    rank = F.struct(F.xxhash64("node", "band").alias("h"), F.col("node"), F.col("n"))
+    centre = opened.groupBy("bucket").agg(F.min(rank).alias("c"), F.count("*").alias("size")).filter("size > 1")
+    centre = materialise(centre.select("bucket", F.col("c.node").alias("centre"), F.col("c.n").alias("centre_n")), "centres")
+    n = centre.count()
+    if n == 0:
+        return rows.sparkSession.createDataFrame([], "node long, root long")
+    stars = materialise(opened.join(small(centre, n), "bucket").filter("node <> centre"), "stars")
+    texts = candidate_texts(stars.select("node").unionByName(centre.select(F.col("centre").alias("node"))), nodes, rows)
+    possible = F.least("n", "centre_n") >= least * F.greatest("n", "centre_n")
+    pairs = materialise(stars.filter(possible).select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct(), "pairs")
+    new = materialise(verified(pairs, texts, least), "verified")
+    roots = materialise(components(new.filter("near").select("a", "b")), "roots")
+    judged = with_root(with_root(stars, roots, "node", "own"), roots, "centre", "other")
+    judged = materialise(judged.select("bucket", "node", "n", "own", "other"), "judged")
+    forget(stars, pairs, centre)
+    # a bucket of the centre's class and one more text is done: the two have met
+    split = materialise(judged.groupBy("bucket").agg(F.bool_or(F.col("own") != F.col("other")).alias("some"), F.count("*").alias("size")).filter("some and size > 1").select("bucket"), "split")
+    n = split.count()
+    again = judged.join(small(split, n), "bucket", "left_semi").select("node", "n", F.col("own").alias("root")).distinct()
+    again = materialise(again, "again")
+    later = None
+    if n:
+        pairs = pairs_of_classes(again, texts, least)
+        untried = materialise(pairs.join(new.select("a", "b").hint("merge"), ["a", "b"], "left_anti"), "untried")
+        later = materialise(verified(untried, texts, least), "verified").filter("near").select("a", "b")
+        forget(pairs, untried)
+    forget(texts, judged, split, again)
     if later is None or later.isEmpty():
         return roots
     return materialise(components(later.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))), "roots")

@@ -74,7 +74,7 @@ def compact_windows(value: np.ndarray, first: np.ndarray, width: int) -> tuple[n
         levels.append(np.minimum(levels[-1][:-step], levels[-1][step:]))
     half = (width + 1) // 2
     j = min(half.bit_length() - 1, len(levels) - 1)
-    if half >= 2 * (1 << j):  # no text is as long as half a window
+    if longest < half:  # no text is as long as half a window
         z = np.zeros(0, np.int64)
         return z, z, z
     low = np.minimum(levels[j][: len(v) - half + 1], levels[j][half - (1 << j) : len(v) - (1 << j) + 1])
