@@ -106,7 +106,7 @@ def cells_of(queries: DataFrame, index: Index, probes: int) -> DataFrame:
             for lo in range(0, batch.num_rows, 512):
                 some = batch.slice(lo, 512)
                 ids, vecs = some.column("query_id"), some.column("query_vector")
-                q = as_matrix(vecs, width)
+                q = vectors.as_matrix(vecs, width)
                 # nearest by distance, as rows were placed: |q - c|^2 less the query's own part
                 order = np.argsort(-(2 * q @ centres.T - (centres**2).sum(1)), axis=1, kind="stable")[:, :probes]
                 n = len(q) * order.shape[1]
@@ -120,18 +120,6 @@ def cells_of(queries: DataFrame, index: Index, probes: int) -> DataFrame:
     return asked.mapInArrow(rank, f"query_id {dict(queries.dtypes)['query_id']}, query_vector array<double>, cell int, place int")
 
 
-def as_matrix(column: pa.Array, width: int) -> np.ndarray:
-    """Vectors as rows; one of another width is zeros."""
-    flat = column.flatten()
-    if column.null_count == 0 and len(flat) == len(column) * width and (np.diff(np.asarray(column.offsets)) == width).all():
-        return np.asarray(flat, dtype=float).reshape(-1, width)
-    out = np.zeros((len(column), width))
-    for i, v in enumerate(column.to_pylist()):
-        if v is not None and len(v) == width:
-            out[i] = v
-    return out
-
-
 def search(queries: DataFrame, index: Index, k: int, *, probes: int | None = None, min_similarity: float | None = None) -> DataFrame:
     """About the ``k`` most similar rows of every query (query_id, query_vector): the index's columns, similarity, rank.
 
@@ -161,7 +149,7 @@ def search(queries: DataFrame, index: Index, k: int, *, probes: int | None = Non
         columns = [these["query_id"].combine_chunks(), *(some[c].combine_chunks() for c in order)]
         if len(some) == 0 or len(these) == 0:
             return pa.Table.from_arrays([*[c.slice(0, 0) for c in columns], pa.array([], pa.float64())], names=["query_id", *order, "similarity"])
-        near = as_matrix(these["query_vector"].combine_chunks(), width) @ as_matrix(some["vector"].combine_chunks(), width).T
+        near = vectors.as_matrix(these["query_vector"].combine_chunks(), width) @ vectors.as_matrix(some["vector"].combine_chunks(), width).T
         ties = [np.asarray(some[c].to_pylist(), dtype=object) if pa.types.is_string(some.schema.field(c).type) else np.asarray(some[c]) for c in order]
         who, what = [], []
         for i, line in enumerate(near):
