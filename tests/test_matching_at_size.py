@@ -47,3 +47,15 @@ def test_two_thousand_clauses_a_side(spark):
         free.pop(fit, None)
         want.append((r[1], fit))
     assert sorted(map(str, map(tuple, rows))) == sorted(map(str, want + [(None, j) for j in free]))
+
+
+def test_what_rules_compare_is_made_once_an_entity(spark):
+    from pyspark.sql import functions as F
+
+    once = F.udf(lambda t: made.add(1) or t, "string")
+    made = spark.sparkContext.accumulator(0)
+    entities = spark.createDataFrame([(doc, i, f"t{i}") for doc in (1, 2) for i in range(12)], "document_id int, ordinal int, title string")
+    pairs = spark.createDataFrame([(1, 1, 2)], "pair_id int, a_document_id int, b_document_id int")
+    rows = matching.matched(matching.sides(entities, pairs), [matching.Equal(lambda x: once(x("title")))]).select("a.ordinal", "b.ordinal").collect()
+    assert sorted(map(tuple, rows)) == [(i, i) for i in range(12)]
+    assert made.value == 24
