@@ -1,10 +1,10 @@
-"""Citations of single pages are resolved in one pass over the claims."""
+"""Citations of single pages are resolved in one pass over the claims; questions make their causes once."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from deedflow.operators import answers, evidence
+from deedflow.operators import answers, evidence, questions
 
 
 def counted(spark):
@@ -22,6 +22,15 @@ def test_claims_of_single_pages_are_read_once(spark):
     assert made.value == len(rows)
 
 
+def test_causes_of_questions_are_made_once(spark):
+    made, once = counted(spark)
+    flags = spark.createDataFrame([(d, 1, "renewal_lock_in", "t") for d in range(6)], "document_id long, ordinal int, flag_type string, title string")
+    clauses = spark.createDataFrame([], "document_id long, ordinal int, category string, title string, clause_identifier string")
+    documents = spark.createDataFrame([(d,) for d in range(8)], "document_id long")
+    assert questions.brief_questions(documents, flags.withColumn("document_id", once("document_id")), clauses).count() == 6 + 2 * 2
+    assert made.value == 6
+
+
 def test_an_answer_cites_the_first_sentence_that_speaks_of_its_topic(spark):
     body = "No word of it here! Either party may give notice.\nThen, after ten days written notice; it ends. Terminate twice?"
     asked = spark.createDataFrame([(1, 1, "When may a party terminate?")], "question_id long, document_id long, question string")
