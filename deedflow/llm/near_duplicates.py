@@ -12,7 +12,7 @@ components of the verified pairs.
 Candidates: in every bucket a member chosen at random per band is the centre and
 all others are compared with it (a star, never all pairs). Members of buckets that
 hold another class than their centre's meet again, all of them, by the rarest of
-their k-mers: so many that two near texts share a known number of them. Pairs of different
+their words: so many that two near texts share one of them. Pairs of different
 classes that share it are compared, so that no link inside a bucket is left out.
 
 Scale: sketches are made in one narrow pass over all rows (copies too: that costs
@@ -34,7 +34,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -179,19 +179,21 @@ def with_root(df: DataFrame, roots: DataFrame, column: str, name: str) -> DataFr
     return df.join(small(found, roots.count()), column, "left").withColumn(name, F.coalesce(name, column))
 
 
-#: Slots in which k-mers are counted, to take the rare ones first.
+#: Slots in which words are counted, to take the rare ones first.
 SLOTS = 1 << 18
+#: Rare words before a meeting that are looked at to see whether the pair has met already.
+LATEST = 32
 
 
-def kmer_counts(texts: DataFrame) -> np.ndarray:
-    """How many k-mers of the texts (node, text) fall into each slot: a fixed number of sums."""
+def word_counts(texts: DataFrame) -> np.ndarray:
+    """How many words of the texts (node, text) fall into each slot: a fixed number of sums."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SLOTS, np.int64)
         for batch in batches:
             data, offsets = tx.as_bytes(batch.column(0))
             for lo, hi in tx.spans(offsets):
-                s = tx.shingles(tx.words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]), GRAM)
+                s = tx.shingles(tx.words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]), 1)
                 total += np.bincount((s.hash % tx.U64(SLOTS)).astype(np.int64), minlength=SLOTS)
             tx.release()
         at = np.flatnonzero(total)
@@ -205,47 +207,56 @@ def kmer_counts(texts: DataFrame) -> np.ndarray:
 
 
 def rare_kmers(members: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """(node, n, root, kmer, share): as many of the rarest labelled k-mers of each member (node, n, root) that two texts near each other share as many as the smaller ``share`` of both.
+    """(node, n, root, kmer, share, at): as many of the rarest labelled words (k-mers of one word) of each member (node, n, root) that two texts near each other share ``share``, one.
 
-    A word edit takes at most two k-mers of two words from the longer text, so near texts share
-    (2 * least - 1) * n - 1 of them, and of lists in one order the heads that leave ``share`` less of these share that many.
+    An edit takes one word at most from the longer text, so near texts share ``least`` of its words, and of lists in one
+    order the heads that leave one less of these share the first word that both hold. ``at`` is a word's place in the
+    whole list. A word that no other text holds is left out.
     """
     ship(texts.sparkSession)
     rows = materialise(members.join(texts.hint("merge"), "node").select("node", "n", "root", "text"), "members")
-    counts = kmer_counts(rows)
+    counts = word_counts(rows)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = tx.as_bytes(batch.column(3))
             for lo, hi in tx.spans(offsets):
                 w = tx.words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                s = tx.shingles(w, GRAM)
-                have, label = s.counts.astype(np.int64), tx.labelled(s)
-                order = np.lexsort((label, counts[(s.hash % tx.U64(SLOTS)).astype(np.int64)], s.doc))
-                need = np.maximum(1, np.ceil((2 * least - 1) * w.counts - 1 - 1e-9)).astype(np.int64)
-                share = np.maximum(1, need // 3)
-                head = have - need + share
+                s = tx.shingles(w, 1)
+                label, seen = tx.labelled(s), counts[(s.hash % tx.U64(SLOTS)).astype(np.int64)]
+                order = np.lexsort((label, seen, s.doc))
+                head = w.counts - np.ceil(least * w.counts - 1e-9).astype(np.int64) + 1
                 text = s.doc[order]
-                keep = np.arange(len(order)) - s.first[text] < head[text]
+                place = np.arange(len(order)) - s.first[text]
+                keep = (place < head[text]) & (seen[order] > 1)
                 at = pa.array(lo + text[keep])
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in range(3)), pa.array(label[order[keep]].view(np.int64)), pa.array(share[text[keep]])], ["node", "n", "root", "kmer", "share"])
+                share = pa.array(np.ones(len(at), np.int32))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in range(3)), pa.array(label[order[keep]].view(np.int64)), share, pa.array(place[keep].astype(np.int32))], ["node", "n", "root", "kmer", "share", "at"])
             tx.release()
 
-    return rows.mapInArrow(run, "node long, n int, root long, kmer long, share long")
+    return rows.mapInArrow(run, "node long, n int, root long, kmer long, share int, at int")
 
 
 def pairs_of_classes(members: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """(a, b): pairs of members (node, n, root) of different classes that may be near, none left out."""
+    """(a, b): pairs of members (node, n, root) of different classes that may be near, none left out.
+
+    A pair meets in the first rare word that both hold. In a later one it meets again only if the first is not among the
+    ``LATEST`` before it, and if the words from there on would do for a near pair.
+    """
     kmers = materialise(rare_kmers(members, texts, least), "kmers")
     mixed = kmers.groupBy("kmer").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("kmer")
     shared = materialise(kmers.join(mixed.hint("merge"), "kmer", "left_semi"), "shared")
     forget(kmers)
-    side = lambda s: shared.select("kmer", F.col("node").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("n", "root", "share")])
-    one, two = side("a"), side("b")
-    met = one.join(two.hint("merge"), "kmer").filter((F.col("a") < F.col("b")) & (F.col("a_root") != F.col("b_root")) & (F.least("a_n", "b_n") >= least * F.greatest("a_n", "b_n")))
-    enough = met.groupBy("a", "b").agg(F.count("*").alias("n"), F.first(F.least("a_share", "b_share")).alias("least")).filter("n >= least")
-    pairs = materialise(enough.select("a", "b"), "pairs")
+    before = F.collect_list("kmer").over(Window.partitionBy("node").orderBy("at").rowsBetween(-LATEST, -1))
+    line = materialise(shared.withColumn("before", before), "line")
     forget(shared)
+    side = lambda s: line.select("kmer", F.col("node").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("n", "root", "at", "before")])
+    one, two = side("a").alias("one"), side("b").alias("two")
+    left = F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at"))
+    may = (F.col("a") < F.col("b")) & (F.col("a_root") != F.col("b_root")) & (left >= least * F.greatest("a_n", "b_n") - 1e-9)
+    met = one.join(two.hint("merge"), (F.col("one.kmer") == F.col("two.kmer")) & may & ~F.arrays_overlap("a_before", "b_before"))
+    pairs = materialise(met.select("a", "b").distinct(), "pairs")
+    forget(line)
     return pairs
 
 

@@ -58,3 +58,14 @@ def test_no_text_as_long_as_half_a_window():
     for n in range(1, 30):
         at, left, right = compact_windows(np.arange(1, n + 1, dtype=np.uint64), np.array([0, n]), 46)
         assert len(at) == len(left) == len(right) == 0
+
+
+def test_texts_that_repeat_one_line_meet_only_where_they_may_be_near(spark):
+    d = random.Random(7)
+    said = lambda n: [f"w{d.randrange(10**6)}" for _ in range(n)]
+    texts = [said(90) + ["Is", "onhe."] * 120 for _ in range(60)]  # 240 of 330 words are the same: too few for 0.8
+    texts += [texts[k][:20] + said(30) + texts[k][50:] for k in range(5)]
+    table = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "node long, text string")
+    members = spark.createDataFrame([(i, len(t), i) for i, t in enumerate(texts)], "node long, n int, root long")
+    pairs = {(r.a, r.b) for r in near_duplicates.pairs_of_classes(members, table, 0.8).collect()}
+    assert {(k, 60 + k) for k in range(5)} <= pairs and len(pairs) < 20
