@@ -14,10 +14,12 @@ first text only (a star), by the widest extents of that text's windows. Windows
 that the first text does not explain are the rest, however many: each gives the
 hashes of all runs of ``least_words`` words around its minimum, and texts that
 share a run are joined with the first text that has it. Such a text always
-explains them, so that no verbatim passage is lost and nothing is tried in turns.
-Before that, every run is stood for by half of it, chosen by its content alone, so
-that neighbouring runs have one half in common: only runs whose half another text
-has as well are hashed and compared.
+explains them. At last the same is done with every run, of any text, that the spans
+found so far do not hold whole: an earlier text that has it may be explained by a
+third one, and a passage may go on where that one's ends. So no verbatim passage is
+lost and nothing is tried in turns. Before runs are hashed, every run is stood for
+by half of it, chosen by its content alone, so that neighbouring runs have one half
+in common: only runs whose half another text has as well are hashed and compared.
 
 Scale: distinct texts are written once, in buckets of their key, and move no more
 except to a first text. The windows are made twice in narrow passes rather than
@@ -182,11 +184,48 @@ def half_runs(joined: DataFrame, width: int) -> DataFrame:
     return joined.select("node", "positions", "text").mapInArrow(run, "half long, node long, lo long, hi long")
 
 
+def open_halves(rows: DataFrame, width: int) -> DataFrame:
+    """(half, node, lo, hi, open) of all runs of ``width`` shingles of rows (node, covered, text): those from lo to hi have the half in common.
+
+    ``covered`` are spans of words; runs are open unless the spans together hold them whole.
+    """
+    ship(rows.sparkSession)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = tx.as_bytes(batch.column(2))
+            for lo, hi in tx.spans(offsets):
+                w = tx.words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                s = tx.shingles(w, SHINGLE)
+                many = np.maximum(s.counts - width + 1, 0)
+                row = np.repeat(np.arange(hi - lo), many)
+                if not len(row):
+                    continue
+                own = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+                key, begin = halves(s.hash, s.first[row] + own, width)
+                held = np.zeros(len(w.start) + 1, np.int64)
+                for k, spans in enumerate(batch.column(1).slice(lo, hi - lo).to_pylist()):
+                    for x in spans or ():
+                        held[1 + w.first[k] + x["start"] : 1 + w.first[k] + x["end"]] = 1
+                held = np.cumsum(held)
+                one = w.first[row] + own
+                end = np.minimum(one + width + SHINGLE - 1, w.first[row + 1])
+                open_ = held[end] - held[one] < end - one
+                new = np.concatenate([[True], (row[1:] != row[:-1]) | (begin[1:] != begin[:-1]) | (open_[1:] != open_[:-1])])
+                head = np.flatnonzero(new)
+                last = np.append(head[1:], len(row)) - 1
+                yield pa.RecordBatch.from_arrays([pa.array(key[head].view(np.int64)), batch.column(0).take(pa.array(lo + row[head])), pa.array(own[head], pa.int32()), pa.array(own[last], pa.int32()), pa.array(open_[head])], ["half", "node", "lo", "hi", "open"])
+            del data, batch
+            tx.release()
+
+    return rows.select("node", "covered", "text").mapInArrow(run, "half long, node long, lo int, hi int, open boolean")
+
+
 def runs(joined: DataFrame, width: int) -> DataFrame:
-    """(run, node, rank, at) of the runs of ``width`` shingles of (node, rank, starts, text), from lo to hi each, or around the open positions of (node, rank, positions, text); at is where the run begins."""
+    """(run, node, rank, at, open) of the runs of ``width`` shingles of (node, rank, starts, text), from lo to hi each, or around the positions of (node, rank, positions, text), all open; at is where the run begins."""
     ship(joined.sparkSession)
     given = "starts" in joined.columns
-    schema = T.StructType([T.StructField("run", T.LongType()), *joined.select("node", "rank").schema.fields, T.StructField("at", T.LongType())])
+    schema = T.StructType([T.StructField("run", T.LongType()), *joined.select("node", "rank").schema.fields, T.StructField("at", T.LongType()), T.StructField("open", T.BooleanType())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -197,11 +236,16 @@ def runs(joined: DataFrame, width: int) -> DataFrame:
                 for k in range(lo, hi):
                     first = int(s.first[k - lo])
                     where = batch.column(2)[k].as_py()
-                    starts = np.unique(np.concatenate([np.arange(x["lo"], x["hi"] + 1) for x in where])) if given else run_starts(np.array(where, np.int64), int(s.counts[k - lo]), width)
+                    if given:  # a run has one half, so that no two stretches of a text overlap
+                        starts = np.concatenate([np.arange(x["lo"], x["hi"] + 1, dtype=np.int64) for x in where])
+                        open_ = np.concatenate([np.full(x["hi"] + 1 - x["lo"], x["open"]) for x in where])
+                    else:
+                        starts = run_starts(np.array(where, np.int64), int(s.counts[k - lo]), width)
+                        open_ = np.ones(len(starts), bool)
                     at = first + starts
                     key = tx.mix((upto[at + width] - upto[at]) * back[at])
                     same = pa.array(np.full(len(starts), k))
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(0).take(same), batch.column(1).take(same), pa.array(starts)], schema.names)
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(0).take(same), batch.column(1).take(same), pa.array(starts), pa.array(open_)], schema.names)
             tx.release()
 
     return joined.select("node", "rank", "starts" if given else "positions", "text").mapInArrow(run, schema)
@@ -448,9 +492,34 @@ def repeated_spans(texts: DataFrame, *, hashes: int = 4, agree: int = 2, least_w
     made = materialise(half_runs(opened.join(texts.hint("merge"), "node"), width), "halves")
     common = made.groupBy("half").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a <> z").select("half")
     common = materialise(common, "common_halves")
-    starts = made.join(small(common, common.count()), "half", "left_semi").groupBy("node").agg(F.collect_list(F.struct("lo", "hi")).alias("starts"))
+    starts = made.join(small(common, common.count()), "half", "left_semi").groupBy("node").agg(F.collect_list(F.struct("lo", "hi", F.lit(True).alias("open"))).alias("starts"))
     starts = materialise(starts.join(opened.select("node", "rank").hint("merge"), "node"), "starts")
     forget(opened, made, common)
+    spans = materialise(spans.unionByName(verified_spans(run_pairs(starts, texts, width), texts, width, 1, similarity)), "spans")
+    return spans.unionByName(verified_spans(run_pairs(open_starts(texts, spans, width), texts, width), texts, width, 1, similarity))
+
+
+def open_starts(texts: DataFrame, spans: DataFrame, width: int) -> DataFrame:
+    """(node, rank, starts) of the runs of ``texts`` that may repeat an earlier text's and that the spans do not hold whole, and of the runs that they may repeat, held or not."""
+    covered = materialise(spans.groupBy("node").agg(F.collect_list(F.struct("start", "end")).alias("covered")), "covered")
+    made = materialise(open_halves(texts.join(covered.hint("merge"), "node", "left"), width), "halves")
+    forget(covered)
+    common = made.groupBy("half").agg(F.min("node").alias("a"), F.max("node").alias("z"), F.max("open").alias("some")).filter("a <> z and some").select("half")
+    common = materialise(common, "common_halves")
+    ranked = texts.select("node", F.struct(F.col("doc_id").isNull().alias("unknown"), F.col("doc_id").alias("least_id"), F.col("node")).alias("rank"))
+    held = materialise(made.join(small(common, common.count()), "half", "left_semi").join(ranked.hint("merge"), "node"), "held")
+    forget(made, common)
+    # the first text that has a run keeps it: the others' are looked for
+    useful = held.groupBy("half").agg(F.min("rank").alias("first"), F.max(F.when(F.col("open"), F.col("rank"))).alias("last")).filter("last > first").select("half")
+    useful = materialise(useful, "useful")
+    starts = held.join(small(useful, useful.count()), "half", "left_semi").groupBy("node").agg(F.min("rank").alias("rank"), F.collect_list(F.struct("lo", "hi", "open")).alias("starts"))
+    starts = materialise(starts, "starts")
+    forget(held, useful)
+    return starts
+
+
+def run_pairs(starts: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """(first_node, node, anchors): texts with open runs of (node, rank, starts), each with the first text that has the run."""
     # like the windows, runs are made twice: few of them stand in two texts
     made = runs(starts.join(texts.hint("merge"), "node"), width)
     common = made.groupBy("run").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a <> z").select("run")
@@ -458,10 +527,10 @@ def repeated_spans(texts: DataFrame, *, hashes: int = 4, agree: int = 2, least_w
     found = materialise(made.join(small(common, common.count()), "run", "left_semi"), "runs")
     forget(starts, common)
     leader = materialise(found.groupBy("run").agg(F.min("rank").alias("f")).select("run", F.col("f.node").alias("first_node")), "leaders")
-    more = found.join(leader.hint("merge"), "run").filter("node <> first_node").groupBy("first_node", "node").agg(F.collect_list(F.col("at") * 16 + RUN).alias("anchors"))
+    more = found.filter("open").join(leader.hint("merge"), "run").filter("node <> first_node").groupBy("first_node", "node").agg(F.collect_list(F.col("at") * 16 + RUN).alias("anchors"))
     more = materialise(more, "more")
     forget(found, leader)
-    return spans.unionByName(verified_spans(more, texts, width, 1, similarity))
+    return more
 
 
 def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", hashes: int = 4, agree: int = 2, least_words: int = 50, similarity: float = 0.8) -> DataFrame:
