@@ -14,6 +14,8 @@ all others are compared with it (a star, never all pairs). Members of buckets th
 hold another class than their centre's meet again, all of them, by the rarest of
 their words: so many that two near texts share one of them. Pairs of different
 classes that share it are compared, so that no link inside a bucket is left out.
+Before texts are moved to be compared, bits of their words tell pairs that cannot
+be near: those that meet by chance grow with the square of the rows.
 
 Scale: sketches are made in one narrow pass over all rows (copies too: that costs
 less than moving texts to drop them first), and from there on equal texts are
@@ -31,6 +33,8 @@ are told apart by their label, equal hashes by their place.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -166,6 +170,55 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long, near boolean, similarity double")
 
 
+def wide_marks(texts: DataFrame) -> DataFrame:
+    """(node, n, bits) of texts (node, text): their number of words and marks as ``marks``, two bits a word or more."""
+    ship(texts.sparkSession)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = tx.as_bytes(batch.column(1))
+            for lo, hi in tx.spans(offsets):
+                w = tx.words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                s = tx.shingles(w, 1)
+                value = tx.mix(tx.labelled(s) ^ tx.seed(400))
+                bits = []
+                for k, n in enumerate(w.counts.tolist()):
+                    size = max(512, 1 << (2 * n - 1).bit_length())
+                    place = (value[s.first[k] : s.first[k + 1]] % tx.U64(size)).astype(np.int64)
+                    bits.append(np.packbits((np.bincount(place, minlength=size) & 1).astype(np.uint8), bitorder="little").tobytes())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(w.counts, pa.int32()), pa.array(bits, pa.binary())], ["node", "n", "bits"])
+            tx.release()
+
+    return texts.select("node", "text").mapInArrow(run, "node long, n int, bits binary")
+
+
+def fewest_apart(a: bytes, b: bytes) -> int:
+    """So many words stand in one of two texts only, at least: bits in which their marks differ, the longer marks folded to the length of the shorter."""
+    x, y = (np.frombuffer(m, np.uint8) for m in (a, b))
+    while len(x) != len(y):
+        if len(x) < len(y):
+            x, y = y, x
+        half = len(x) // 2
+        x = x[:half] ^ x[half:]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def plausible(pairs: DataFrame, made: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) that may be near by their marks (node, n, bits): only their texts move."""
+    side = lambda s: made.select(F.col("node").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("n", "bits")])
+    joined = pairs.select("a", "b").join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one, two = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("n_a", "n_b"))
+            most = one + two - 2 * least * np.maximum(one, two) + 1e-9
+            apart = np.array([fewest_apart(x, y) for x, y in zip(batch.column("bits_a").to_pylist(), batch.column("bits_b").to_pylist(), strict=True)], np.int64)
+            keep = pa.array(np.flatnonzero(apart <= most))
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(keep) for c in ("a", "b")], ["a", "b"])
+
+    return materialise(joined.mapInArrow(run, "a long, b long"), "plausible")
+
+
 def candidate_texts(wanted: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
     """(node, text) of the texts named in ``wanted``: of each the row of its smallest id, so that copies stay where they are."""
     wanted = materialise(wanted.distinct().join(nodes.select("node", "least_id").hint("merge"), "node").select(F.col("node").alias("w_node"), F.col("least_id").alias("w_id")), "wanted")
@@ -182,7 +235,10 @@ def with_root(df: DataFrame, roots: DataFrame, column: str, name: str) -> DataFr
 #: Slots in which words are counted, to take the rare ones first.
 SLOTS = 1 << 18
 #: Rare words before a meeting that are looked at to see whether the pair has met already.
-LATEST = 32
+LATEST = 8
+#: Longs of a text's marks: its labelled words fall into 64 bits of each, a bit is set if an odd number falls there.
+MARKS = 8
+MARKED = [f"m{k}" for k in range(MARKS)]
 
 
 def word_counts(texts: DataFrame) -> np.ndarray:
@@ -206,12 +262,20 @@ def word_counts(texts: DataFrame) -> np.ndarray:
     return out
 
 
+def marks(s: tx.Shingles, label: np.ndarray) -> np.ndarray:
+    """The marks of every text, [texts, MARKS]: as many bits of two texts differ as labelled words stand in one of them only, at most."""
+    n, bits = len(s.first) - 1, 64 * MARKS
+    place = s.doc * bits + (tx.mix(label ^ tx.seed(400)) % tx.U64(bits)).astype(np.int64)
+    odd = (np.bincount(place, minlength=n * bits) & 1).astype(np.uint8)
+    return np.packbits(odd.reshape(n, bits), axis=1).view(np.int64)
+
+
 def rare_kmers(members: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """(node, n, root, kmer, share, at): as many of the rarest labelled words (k-mers of one word) of each member (node, n, root) that two texts near each other share ``share``, one.
+    """(node, n, root, kmer, share, at, m0, m1, ...): as many of the rarest labelled words (k-mers of one word) of each member (node, n, root) that two texts near each other share ``share``, one.
 
     An edit takes one word at most from the longer text, so near texts share ``least`` of its words, and of lists in one
     order the heads that leave one less of these share the first word that both hold. ``at`` is a word's place in the
-    whole list. A word that no other text holds is left out.
+    whole list, m0 and so on are the text's marks. A word that no other text holds is left out.
     """
     ship(texts.sparkSession)
     rows = materialise(members.join(texts.hint("merge"), "node").select("node", "n", "root", "text"), "members")
@@ -231,17 +295,20 @@ def rare_kmers(members: DataFrame, texts: DataFrame, least: float) -> DataFrame:
                 keep = (place < head[text]) & (seen[order] > 1)
                 at = pa.array(lo + text[keep])
                 share = pa.array(np.ones(len(at), np.int32))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in range(3)), pa.array(label[order[keep]].view(np.int64)), share, pa.array(place[keep].astype(np.int32))], ["node", "n", "root", "kmer", "share", "at"])
+                marked = marks(s, label)[text[keep]]
+                columns = [*(batch.column(c).take(at) for c in range(3)), pa.array(label[order[keep]].view(np.int64)), share, pa.array(place[keep].astype(np.int32)), *(pa.array(marked[:, m]) for m in range(MARKS))]
+                yield pa.RecordBatch.from_arrays(columns, ["node", "n", "root", "kmer", "share", "at", *MARKED])
             tx.release()
 
-    return rows.mapInArrow(run, "node long, n int, root long, kmer long, share int, at int")
+    return rows.mapInArrow(run, "node long, n int, root long, kmer long, share int, at int" + "".join(f", {m} long" for m in MARKED))
 
 
 def pairs_of_classes(members: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """(a, b): pairs of members (node, n, root) of different classes that may be near, none left out.
 
     A pair meets in the first rare word that both hold. In a later one it meets again only if the first is not among the
-    ``LATEST`` before it, and if the words from there on would do for a near pair.
+    ``LATEST`` before it, and if the words from there on would do for a near pair. Pairs whose marks differ in more bits
+    than near texts have words of their own are none: most texts that meet by chance part here, before a text moves.
     """
     kmers = materialise(rare_kmers(members, texts, least), "kmers")
     mixed = kmers.groupBy("kmer").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("kmer")
@@ -250,10 +317,13 @@ def pairs_of_classes(members: DataFrame, texts: DataFrame, least: float) -> Data
     before = F.collect_list("kmer").over(Window.partitionBy("node").orderBy("at").rowsBetween(-LATEST, -1))
     line = materialise(shared.withColumn("before", before), "line")
     forget(shared)
-    side = lambda s: line.select("kmer", F.col("node").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("n", "root", "at", "before")])
+    side = lambda s: line.select("kmer", F.col("node").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("n", "root", "at", "before", *MARKED)])
     one, two = side("a").alias("one"), side("b").alias("two")
     left = F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at"))
     may = (F.col("a") < F.col("b")) & (F.col("a_root") != F.col("b_root")) & (left >= least * F.greatest("a_n", "b_n") - 1e-9)
+    # near texts have ``least`` of the longer one's words in common
+    apart = reduce(add, [F.bit_count(F.col(f"a_{m}").bitwiseXOR(F.col(f"b_{m}"))) for m in MARKED])
+    may = may & (apart <= F.col("a_n") + F.col("b_n") - 2 * least * F.greatest("a_n", "b_n") + 1e-9)
     met = one.join(two.hint("merge"), (F.col("one.kmer") == F.col("two.kmer")) & may & ~F.arrays_overlap("a_before", "b_before"))
     pairs = materialise(met.select("a", "b").distinct(), "pairs")
     forget(line)
@@ -274,6 +344,8 @@ def near_roots(nodes: DataFrame, rows: DataFrame, *, least: float = 0.8) -> Data
     texts = candidate_texts(stars.select("node").unionByName(centre.select(F.col("centre").alias("node"))), nodes, rows)
     possible = F.least("n", "centre_n") >= least * F.greatest("n", "centre_n")
     pairs = materialise(stars.filter(possible).select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct(), "pairs")
+    marked = materialise(wide_marks(texts), "marks")
+    pairs = plausible(pairs, marked, least)
     new = materialise(verified(pairs, texts, least), "verified")
     roots = materialise(components(new.filter("near").select("a", "b")), "roots")
     judged = with_root(with_root(stars, roots, "node", "own"), roots, "centre", "other")
@@ -288,9 +360,10 @@ def near_roots(nodes: DataFrame, rows: DataFrame, *, least: float = 0.8) -> Data
     if n:
         pairs = pairs_of_classes(again, texts, least)
         untried = materialise(pairs.join(new.select("a", "b").hint("merge"), ["a", "b"], "left_anti"), "untried")
+        untried = plausible(untried, marked, least)
         later = materialise(verified(untried, texts, least), "verified").filter("near").select("a", "b")
         forget(pairs, untried)
-    forget(texts, judged, split, again)
+    forget(texts, marked, judged, split, again)
     if later is None or later.isEmpty():
         return roots
     return materialise(components(later.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))), "roots")
