@@ -427,8 +427,8 @@ def verified_spans(pairs: DataFrame, texts: DataFrame, width: int, agree: int, s
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["first_node", "node", "start", "end", "first_start", "first_end", "similarity"]
         for batch in batches:
-            _, offsets = tx.as_bytes(batch.column(4))
-            for lo, hi in tx.spans(offsets):
+            (_, one), (_, two) = (tx.as_bytes(batch.column(c)) for c in (3, 4))
+            for lo, hi in tx.spans(one + two):  # a first text may be far longer than those that repeat it
                 some = batch.slice(lo, hi - lo)
                 rows = []
                 for p, made in groupby(matched_segments(some.column(3), some.column(4), width, similarity), key=lambda x: x[0]):
@@ -445,8 +445,8 @@ def verified_spans(pairs: DataFrame, texts: DataFrame, width: int, agree: int, s
                 columns = list(zip(*rows, strict=True)) if rows else [()] * 7
                 kinds = [pa.int64()] * 6 + [pa.float64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+                tx.release()
             del batch
-            tx.release()
 
     spans = materialise(joined.mapInArrow(run, "first_node long, node long, start long, end long, first_start long, first_end long, similarity double"), "spans")
     forget(wanted, one)
